@@ -128,3 +128,17 @@ def cyclical(quarter: Column, day_of_week: Column, month: Column) -> dict[str, C
         encoded[f"{name}_sin"] = F.sin(2 * F.pi() * turn)
         encoded[f"{name}_cos"] = F.cos(2 * F.pi() * turn)
     return encoded
+
+
+def distinct_quarters(quarter: Column) -> Column:
+    """Aggregate: number of different quarters 0..95, from two 64-bit masks.
+
+    Unlike a distinct count it needs one shuffle and two numbers per group.
+    """
+    low = F.when(quarter < 48, _bit(quarter)).otherwise(F.lit(0).cast("bigint"))
+    high = F.when(quarter >= 48, _bit(quarter - 48)).otherwise(F.lit(0).cast("bigint"))
+    return F.bit_count(F.bit_or(low)) + F.bit_count(F.bit_or(high))
+
+
+def _bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))

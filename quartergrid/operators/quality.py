@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.functions.numbers import any_of, non_finite, reasons
-from quartergrid.functions.timegrid import day_start, on_physical_grid, physical_slots
+from quartergrid.functions.timegrid import (
+    day_start,
+    distinct_quarters,
+    on_physical_grid,
+    physical_slots,
+)
 from quartergrid.market import QUARTERS
 from quartergrid.operators.normalise import MARKET_POLICY, FillPolicy
 
@@ -104,7 +109,7 @@ def day_profile(
     quarter = F.col("quarter_of_day")
     return frame.groupBy(*entity, "delivery_date").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(quarter).alias("quarters"),
+        distinct_quarters(quarter).alias("quarters"),
         F.min(quarter).alias("first_quarter"),
         F.max(quarter).alias("last_quarter"),
         F.count(target).alias("targets"),

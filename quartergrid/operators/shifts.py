@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.market import BOOTSTRAP_SAMPLES, MATERIAL_SHIFT
@@ -65,37 +65,33 @@ def gain_interval(
 ) -> DataFrame:
     """Mean daily gain with a 95% interval from resampling whole days.
 
-    ``gains`` has one row per day. Every sample draws as many days as there are,
-    by a hash of (sample, slot), so the result does not depend on partitioning. The
-    draws of a sample stay in its partition and fold there before the percentiles.
+    ``gains`` has one row per day and group, so a group's gains form an array of at
+    most 366 numbers per year. Each sample draws as many days as there are, by a hash
+    of (sample, slot): the draws need no join and do not depend on partitioning.
     """
     if samples < 1:
         raise ValueError("samples must be positive")
-    order = Window.partitionBy(*by).orderBy("delivery_date")
-    indexed = gains.withColumn("_slot", (F.row_number().over(order) - 1).cast("bigint")).select(
-        *by, "_slot", "gain"
+    ordered = F.array_sort(F.collect_list(F.struct("delivery_date", "gain")))
+    groups = gains.groupBy(*by).agg(
+        F.transform(ordered, lambda day: day["gain"]).alias("_gains"),
+        F.avg("gain").alias("mae_gain"),
     )
-    totals = indexed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_days"), F.avg("gain").alias("mae_gain")
+    days = F.size("_gains")
+    drawn = F.aggregate(
+        F.sequence(F.lit(0), days - 1),
+        F.lit(0.0),
+        lambda total, slot: total
+        + F.get(F.col("_gains"), (slot_hash(F.col("_sample"), slot, seed) % days).cast("int")),
     )
-    drawn = (
-        totals.withColumn("_sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .repartition(*by, "_sample")
-        .withColumn("_draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_days") - 1)))
-        .withColumn(
-            "_slot", slot_hash(F.col("_sample"), F.col("_draw"), seed) % F.col("_days")
-        )
-    )
-    # The broadcast side has one row per calendar day and group.
     means = (
-        drawn.join(F.broadcast(indexed), [*by, "_slot"])
-        .groupBy(*by, "_sample")
-        .agg(F.avg("gain").alias("_mean"), F.first("mae_gain").alias("_gain"))
+        groups.withColumn("_sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        .repartition(*by, "_sample")
+        .select(*by, "mae_gain", (drawn / days).alias("_mean"))
     )
     bounds = F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975)))
     return (
         means.groupBy(*by)
-        .agg(F.first("_gain").alias("mae_gain"), bounds.alias("_bounds"))
+        .agg(F.first("mae_gain").alias("mae_gain"), bounds.alias("_bounds"))
         .select(
             *by,
             "mae_gain",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartergrid.functions.numbers import any_of, non_finite
@@ -76,13 +76,14 @@ def wide_rows(
     layout: WideLayout = MODEL_INPUT,
     *,
     entity: Sequence[str] = (),
-    through: date | None = None,
+    through: date | Column | None = None,
 ) -> DataFrame:
     """Complete days of the wide table: every feature present, target may be missing."""
     columns = [p.column for p in layout.placements]
     wide = pivot_columns(place_series(intervals, layout, entity=entity), columns, entity=entity)
     if through is not None:
-        wide = wide.where(F.col("delivery_date") <= F.lit(through))
+        last = through if isinstance(through, Column) else F.lit(through)
+        wide = wide.where(F.col("delivery_date") <= last)
     wide = wide.na.drop(subset=list(layout.required))
     return add_differences(complete_days(wide, entity=entity), layout.differences)
 
