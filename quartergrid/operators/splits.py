@@ -139,7 +139,4 @@ def day_arrays(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per day with each column as an array in quarter order (96 long)."""
     row = F.struct("quarter_of_day", *columns)
     grouped = frame.groupBy("delivery_date").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    return grouped.select(
-        "delivery_date",
-        *(F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns),
-    )
+    return grouped.select("delivery_date", *(F.col(f"_rows.{c}").alias(c) for c in columns))

@@ -8,7 +8,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quartergrid.functions.numbers import any_of, non_finite
 from quartergrid.market import MODEL_INPUT, QUARTERS, Difference, WideLayout
 
 
@@ -39,13 +38,30 @@ def place_series(
     )
 
 
+def complete_cells(
+    placed: DataFrame, required: Sequence[str], *, entity: Sequence[str] = ()
+) -> DataFrame:
+    """Keep days on which every required column has all 96 quarters.
+
+    Decided on narrow rows before the pivot: a day is complete exactly when it holds
+    96 values of each required column. A predicate over all wide columns would say
+    the same, but Spark derives constraints from it for every column alias.
+    """
+    day = Window.partitionBy(*entity, "delivery_date")
+    counted = F.col("_column").isin(*required) & F.col("value").isNotNull()
+    return (
+        placed.withColumn("_cells", F.count_if(counted).over(day))
+        .where(F.col("_cells") == QUARTERS * len(required))
+        .drop("_cells")
+    )
+
+
 def pivot_columns(
     placed: DataFrame, columns: Sequence[str], *, entity: Sequence[str] = ()
 ) -> DataFrame:
-    """Pivot placed values. Rows are co-located by day, which later steps reuse."""
+    """Pivot placed values to one row per day and quarter."""
     return (
-        placed.repartition(*entity, "delivery_date")
-        .groupBy(*entity, "delivery_date", "quarter_of_day")
+        placed.groupBy(*entity, "delivery_date", "quarter_of_day")
         .pivot("_column", list(columns))
         .agg(F.max("value"))
     )
@@ -79,13 +95,15 @@ def wide_rows(
     through: date | Column | None = None,
 ) -> DataFrame:
     """Complete days of the wide table: every feature present, target may be missing."""
-    columns = [p.column for p in layout.placements]
-    wide = pivot_columns(place_series(intervals, layout, entity=entity), columns, entity=entity)
+    placed = place_series(intervals, layout, entity=entity)
     if through is not None:
         last = through if isinstance(through, Column) else F.lit(through)
-        wide = wide.where(F.col("delivery_date") <= last)
-    wide = wide.na.drop(subset=list(layout.required))
-    return add_differences(complete_days(wide, entity=entity), layout.differences)
+        placed = placed.where(F.col("delivery_date") <= last)
+    # One shuffle by day serves the completeness window and the pivot.
+    by_day = placed.repartition(*entity, "delivery_date")
+    kept = complete_cells(by_day, layout.required, entity=entity)
+    columns = [p.column for p in layout.placements]
+    return add_differences(pivot_columns(kept, columns, entity=entity), layout.differences)
 
 
 def calendar_lags(
@@ -114,8 +132,3 @@ def calendar_lags(
         *(F.max(F.when(F.col("_lag") == days, F.col(value))).alias(name(days)) for days in lags),
     )
     return folded.where("_present").drop("_present").na.drop(subset=[name(days) for days in lags])
-
-
-def drop_incomplete(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Drop rows whose required values are NULL, NaN or infinite."""
-    return frame.where(~any_of([non_finite(F.col(c)) for c in columns]))
