@@ -56,6 +56,5 @@ def affected_days(changed: DataFrame, *, entity: Sequence[str] = ()) -> DataFram
     """Delivery days whose features use a changed source day."""
     reach = F.array(*(F.lit(days) for days in (0, *PRICE_LAGS)))
     days = changed.select(*entity, "delivery_date").distinct()
-    return days.select(
-        *entity, F.date_add("delivery_date", F.explode(reach)).alias("delivery_date")
-    ).distinct()
+    served = F.transform(reach, lambda shift: F.date_add("delivery_date", shift))
+    return days.select(*entity, F.explode(served).alias("delivery_date")).distinct()
