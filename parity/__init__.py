@@ -1,6 +1,6 @@
 """Queries on the supplied tables with the SQL that must give the same rows."""
 
-from parity import features, grid, incremental, quality  # noqa: F401
+from parity import features, grid, incremental, quality, scoring  # noqa: F401
 from parity.registry import CATALOG as ALL
 
 __all__ = ["ALL"]
