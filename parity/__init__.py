@@ -1,6 +1,15 @@
 """Queries on the supplied tables with the SQL that must give the same rows."""
 
-from parity import features, grid, incremental, quality, scoring, serving  # noqa: F401
+from parity import (  # noqa: F401
+    features,
+    grid,
+    incremental,
+    modelling,
+    payloads,
+    quality,
+    scoring,
+    serving,
+)
 from parity.registry import CATALOG as ALL
 
 __all__ = ["ALL"]

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parity import supplied as s
+from parity import features
+from parity.registry import CATALOG as ALL
 from parity.registry import query, with_ctes
 from quartergrid.market import (
     AUSTRIA,
+    CALENDAR_COLUMNS,
     DRIFT_REASONS,
     LAG_7D,
     LOWER,
+    MARKET_FEATURES,
     POINT,
     REFERENCE,
     TARGET,
@@ -464,12 +468,12 @@ def weather_ranges(spark, folder):
 @query(
     "feature_view",
     "V3 F1 X3",
-    None,
+    f"""SELECT * EXCLUDE (delivery_start_local),
+  strftime(delivery_start_local, '%Y-%m-%dT%H:%M:%S') AS delivery_start_local
+FROM (SELECT {", ".join((*CALENDAR_COLUMNS, *MARKET_FEATURES))} FROM ({ALL["flagship_model_input"].sql}))""",
 )
 def feature_view(spark, folder):
-    from parity.features import flagship_model_input
-
-    return v.feature_view(flagship_model_input(spark, folder))
+    return v.feature_view(features.flagship_model_input(spark, folder))
 
 
 @query(
