@@ -207,7 +207,8 @@ def normalised_cte(
   SELECT *, ((degrees(atan2(ms, mc)) % 360) + 360) % 360 AS angle FROM {name}_values),
 {name}_quarters AS (
   SELECT {key}, q, CASE WHEN {angular} AND n > 1
-    THEN CASE WHEN angle > 360 - 1e-9 THEN 0 ELSE angle END ELSE mean END AS value
+    THEN CASE WHEN sqrt(ms * ms + mc * mc) < 1e-12 THEN NULL
+      WHEN angle > 360 - 1e-9 THEN 0 ELSE angle END ELSE mean END AS value
   FROM {name}_circular),
 {name}_grid AS (
   SELECT g.*, v.value FROM (

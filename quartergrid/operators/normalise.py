@@ -39,10 +39,12 @@ def quarter_values(
     *,
     entity: Sequence[str] = (),
     policy: FillPolicy = MARKET_POLICY,
+    on_gap: str = "error",
 ) -> DataFrame:
     """One value per local quarter; a repeated autumn quarter becomes a mean.
 
-    Angles use the circular mean, and only where a quarter really repeats. The
+    Angles use the circular mean, and only where a quarter really repeats. Opposite
+    angles have none: that is an error, or a missing quarter with ``on_gap="null"``. The
     aggregation combines on the map side, so a hot series or day is reduced to at
     most 96 rows per task before it is shuffled.
     """
@@ -60,17 +62,20 @@ def quarter_values(
         )
     )
     repeated_angle = angular & (F.col("_copies") > 1)
+    undefined = F.lit(None).cast("double")
+    if on_gap == "error":
+        message = "repeated angles have an undefined circular mean"
+        undefined = F.raise_error(F.lit(message)).cast("double")
     direction = F.when(
-        resultant(F.col("_sin"), F.col("_cos")) < UNDEFINED_DIRECTION,
-        F.raise_error(F.lit("repeated angles have an undefined circular mean")).cast("double"),
+        resultant(F.col("_sin"), F.col("_cos")) < UNDEFINED_DIRECTION, undefined
     ).otherwise(circular_degrees(F.col("_sin"), F.col("_cos")))
-    return grouped.where(F.col("_mean").isNotNull()).select(
+    return grouped.select(
         *entity,
         "delivery_date",
         "series",
         "quarter_of_day",
         F.when(repeated_angle, direction).otherwise(F.col("_mean")).alias("value"),
-    )
+    ).where(F.col("value").isNotNull())
 
 
 def fill_quarters(
@@ -145,5 +150,5 @@ def normalise_quarters(
     on_gap: str = "error",
 ) -> DataFrame:
     """Measurements to exactly 96 filled quarters per (day, series)."""
-    values = quarter_values(measurements, entity=entity, policy=policy)
+    values = quarter_values(measurements, entity=entity, policy=policy, on_gap=on_gap)
     return fill_quarters(values, entity=entity, policy=policy, on_gap=on_gap)
