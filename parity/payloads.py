@@ -22,7 +22,7 @@ FINE, CUT, UNIT, COMPLETE_CURVE, COPY, NO_START, LATE = (0, 1), 2, 3, 4, 5, 6, 7
 
 
 def _points(spark, folder):
-    kind = F.array_position(F.array(*(F.lit(t) for t in s.EVENT_TYPES)), F.col("event_type")) - 1
+    kind = F.array_position(s.text_array(s.EVENT_TYPES), F.col("event_type")) - 1
     index = F.pmod(kind * 29 + F.col("user_id"), F.lit(len(CURVE_SERIES))).cast("int")
     seconds = F.unix_timestamp("delivery_start_utc") - F.unix_timestamp(
         day_start(F.col("delivery_date"))
@@ -42,7 +42,7 @@ def _points(spark, folder):
 
 def _curve_log(spark, folder):
     """Raw log of curve documents; every key also has an older, wrong version."""
-    names = F.array(*(F.lit(n) for n in CURVE_SERIES))
+    names = s.text_array(CURVE_SERIES)
     docs = (
         _points(spark, folder)
         .groupBy("delivery_date", "idx")
@@ -195,6 +195,15 @@ def accepted_batch(spark, folder):
     return new_versions(log, stored).select("delivery_date", "series")
 
 
+def _places(cell: str):
+    rows = ", ".join(
+        f"struct({p[1]}D AS latitude, {p[2]}D AS longitude)"
+        for p in WEATHER_LOCATIONS
+        if p[3] == cell
+    )
+    return F.expr(f"array({rows})")
+
+
 def _weather_log(spark, folder, listed=False):
     """Hourly documents: event counts per hour plus a location and field number."""
     hour = F.hour("instant")
@@ -226,31 +235,28 @@ def _weather_log(spark, folder, listed=False):
 
         return F.transform(hours, one)
 
-    def location(j, place, fields):
+    units = ", ".join(f"'{unit}' AS {name}" for name, _, unit in WEATHER_FIELDS)
+
+    def location(place, fields):
         return F.struct(
-            F.lit(place[1] + 0.1).alias("latitude"),
-            F.lit(place[2] - 0.1).alias("longitude"),
+            (place["latitude"] + 0.1).alias("latitude"),
+            (place["longitude"] - 0.1).alias("longitude"),
             F.lit("GMT").alias("timezone"),
             F.lit(0).alias("utc_offset_seconds"),
-            F.struct(
-                F.lit("iso8601").alias("time"), *(F.lit(u).alias(n) for n, _, u in WEATHER_FIELDS)
-            ).alias("hourly_units"),
+            F.expr(f"struct('iso8601' AS time, {units})").alias("hourly_units"),
             F.struct(times.alias("time"), *fields).alias("hourly"),
         )
 
-    def cell_rows(cell, make):
-        places = [p for p in WEATHER_LOCATIONS if p[3] == cell]
-        return F.array(*(location(j, p, make(j)) for j, p in enumerate(places)))
-
-    def primary(j):
-        return [values(j, f, n).alias(n) for f, (n, _, _) in enumerate(WEATHER_FIELDS)]
+    def primary(place, j):
+        fields = [values(j, f, n).alias(n) for f, (n, _, _) in enumerate(WEATHER_FIELDS)]
+        return location(place, fields)
 
-    def spare(_):
-        return [F.transform(hours, lambda i: (i + 100).cast("double")).alias("temperature_2m")]
+    def spare(place):
+        field = F.transform(hours, lambda i: (i + 100).cast("double")).alias("temperature_2m")
+        return location(place, [field])
 
-    land = F.col("cell") == "land"
-    main = F.when(land, cell_rows("land", primary)).otherwise(cell_rows("sea", primary))
-    backup = F.when(land, cell_rows("land", spare)).otherwise(cell_rows("sea", spare))
+    places = F.when(F.col("cell") == "land", _places("land")).otherwise(_places("sea"))
+    main, backup = F.transform(places, primary), F.transform(places, spare)
     options = {"ignoreNullFields": "false"}
     wrapped = F.to_json(
         F.struct(main.alias("primary"), F.when(gap, backup).alias("temperature_fallback")), options

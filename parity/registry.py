@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quartergrid.session import use_utc
 
@@ -42,8 +41,8 @@ def _plain(frame: DataFrame) -> DataFrame:
     """Widen small integers and drop zones, so both engines return the same types."""
     casts = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double",
              "timestamp": "timestamp_ntz"}
-    return frame.select(
-        *(F.col(f"`{c}`").cast(casts[t]).alias(c) if t in casts else F.col(f"`{c}`")
+    return frame.selectExpr(
+        *(f"CAST(`{c}` AS {casts[t]}) AS `{c}`" if t in casts else f"`{c}`"
           for c, t in frame.dtypes)
     )
 

@@ -20,14 +20,16 @@ from quartergrid.market import (
     TARGET,
     UPPER,
     WEATHER_LOCATIONS,
+    Placement,
+    WideLayout,
 )
 from quartergrid.operators.metrics import DAILY_METRICS
 from quartergrid.operators.monitoring import ROLLING
 from quartergrid.operators.normalise import normalise_quarters
 from quartergrid.operators.wide import pivot_columns, place_series
-from quartergrid.market import Placement, WideLayout
 from quartergrid.plans import evaluate as e
 from quartergrid.plans import views as v
+from quartergrid.session import durable
 
 PRICES = ("de_lu.price.sdac", "de_lu.price.exaa")
 PRICE_LAYOUT = WideLayout(
@@ -41,9 +43,9 @@ def _prices(spark, folder):
     return s.measurements(spark, folder, s.AUTUMN, PRICES)
 
 
-def _wide(spark, folder):
+def _wide(spark, folder, prices=None):
     """Settled prices on the 96-quarter grid; every ninth day is not settled yet."""
-    intervals = normalise_quarters(_prices(spark, folder))
+    intervals = normalise_quarters(_prices(spark, folder) if prices is None else prices)
     wide = pivot_columns(place_series(intervals, PRICE_LAYOUT), [TARGET, REFERENCE])
     settled = F.dayofyear("delivery_date") % 9 != 0
     lag = F.col("quarter_of_day") * 3 + F.dayofmonth("delivery_date")
@@ -56,15 +58,15 @@ def _wide(spark, folder):
     )
 
 
-def _forecasts(spark, folder):
+def _forecasts(spark, folder, wide=None):
+    wide = _wide(spark, folder) if wide is None else wide
     day, quarter = F.col("delivery_date"), F.col("quarter_of_day")
     doy = F.dayofyear(day)
     late = doy % 4 == 0
     hour = F.unix_timestamp(F.date_add(day, F.when(late, 1).otherwise(-1)).cast("timestamp"))
     point = F.floor(F.col(REFERENCE)) + quarter % 7 - 3
     return (
-        _wide(spark, folder)
-        .where(doy % 6 != 0)
+        wide.where(doy % 6 != 0)
         .select(
             "delivery_date",
             "quarter_of_day",
@@ -79,6 +81,13 @@ def _forecasts(spark, folder):
     )
 
 
+def _published(spark, folder):
+    """Prices, inputs and forecasts as stored tables, which is what an evaluation reads."""
+    prices = durable(_prices(spark, folder))
+    wide = durable(_wide(spark, folder, prices))
+    return prices, wide, durable(_forecasts(spark, folder, wide))
+
+
 SETTLED_CTE = f"""{s.measurements_cte(s.AUTUMN, PRICES)},
 {s.normalised_cte()},
 wide AS (
@@ -143,9 +152,9 @@ _ROUNDED_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in ALL_METRICS)
     ),
 )
 def physical_vs_normalised(spark, folder):
-    rows = e.forecast_rows(_forecasts(spark, folder), _wide(spark, folder))
-    rows = rows.where(F.col(TARGET).isNotNull())
-    metrics = e.grid_metrics(e.physical_rows(_prices(spark, folder), rows), rows)
+    prices, wide, forecasts = _published(spark, folder)
+    rows = e.forecast_rows(forecasts, wide).where(F.col(TARGET).isNotNull())
+    metrics = e.grid_metrics(e.physical_rows(prices, rows), rows)
     return metrics.withColumns({c: F.round(c, 6) for c in ALL_METRICS})
 
 
@@ -163,9 +172,9 @@ def _history(spark, folder):
     )
 
 
-def _model_runs(spark, folder):
+def _model_runs(forecasts):
     doy = F.dayofyear("delivery_date")
-    return _forecasts(spark, folder).groupBy("delivery_date").agg(
+    return forecasts.groupBy("delivery_date").agg(
         F.min("model_version").alias("model_version"),
         F.min("forecast_kind").alias("forecast_kind"),
         F.first(doy % 10 / 30.0).alias("data_outlier_rate"),
@@ -222,13 +231,13 @@ judged AS (SELECT delivery_date, round(r7, 6) AS rolling_7d_mae,
     ),
 )
 def evaluate_days(spark, folder):
-    forecasts, wide = _forecasts(spark, folder), _wide(spark, folder)
+    prices, wide, forecasts = _published(spark, folder)
     evaluated = e.evaluate_days(
         forecasts.select("delivery_date").distinct(),
         forecasts,
         wide,
-        _prices(spark, folder),
-        _model_runs(spark, folder),
+        prices,
+        _model_runs(forecasts),
         _model_mae(spark, folder),
         _history(spark, folder),
     )
@@ -373,9 +382,8 @@ def price_points(spark, folder):
     ),
 )
 def latest_state(spark, folder):
-    return v.latest_state(
-        _forecasts(spark, folder), _model_runs(spark, folder), _metrics(spark, folder)
-    )
+    forecasts = _forecasts(spark, folder)
+    return v.latest_state(forecasts, _model_runs(forecasts), _metrics(spark, folder))
 
 
 # Wide market inputs for the feature views.

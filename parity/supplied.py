@@ -27,6 +27,10 @@ FEATURE_SERIES = tuple(
 )
 
 
+def text_array(values: Sequence[str]) -> Column:
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -117,9 +121,9 @@ def measurements(
     On the 100-quarter day the two late-starting series lack their first hour.
     """
     moved = events(spark, folder, shift)
-    kind = F.array_position(F.array(*(F.lit(t) for t in EVENT_TYPES)), F.col("event_type")) - 1
+    kind = F.array_position(text_array(EVENT_TYPES), F.col("event_type")) - 1
     index = F.pmod(kind * 29 + F.col("user_id"), F.lit(len(series)))
-    names = F.array(*(F.lit(s) for s in series))
+    names = text_array(series)
     hourly = F.col("series").startswith("weather.")
     step = F.when(hourly, 3600).otherwise(900)
     slots = (

@@ -106,22 +106,47 @@ def shrinkage_errors(
 ) -> DataFrame:
     """Mean absolute error of each correction strength from 0 to 1.
 
-    All strengths are aggregates of one pass, not a row per strength.
+    The error of strength s is the weighted distance of s to residual / correction.
+    Rows are summed per interval between neighbouring strengths, and running totals
+    over these few intervals give the exact error of every strength. The work per row
+    does not depend on the number of strengths.
     """
     if steps < 2:
         raise ValueError("steps must be at least two")
-    strengths = [step / (steps - 1) for step in range(steps)]
-    errors = F.array(
-        *(
-            mean_absolute(F.lit(s) * F.col(correction) - F.col(residual))
-            for s in strengths
+    last = steps - 1
+    c, r = F.col(correction), F.col(residual)
+    # Interval k holds ratios in (strength k - 1, strength k]; last + 1 lies above all.
+    position = F.least(F.greatest(F.ceil(r / c * last), F.lit(0)), F.lit(last + 1)).cast("int")
+    sums = (
+        frame.groupBy(*by, F.when(c == 0, 0).otherwise(position).alias("_interval"))
+        .agg(
+            F.sum(F.abs(c)).alias("_weight"),
+            F.sum(F.signum(c) * r).alias("_moment"),
+            F.sum(F.when(c == 0, F.abs(r)).otherwise(0.0)).alias("_constant"),
+            F.count(F.lit(1)).alias("_rows"),
         )
     )
+    intervals = sums.groupBy(*by).agg(
+        F.collect_list(F.struct("_interval", "_weight", "_moment")).alias("_intervals"),
+        F.sum("_weight").alias("_weights"),
+        F.sum("_moment").alias("_moments"),
+        F.sum("_constant").alias("_constants"),
+        F.sum("_rows").alias("_count"),
+    )
+    step = F.col("step")
+    below = F.filter("_intervals", lambda item: item["_interval"] <= step)
+    weight = F.aggregate(below, F.lit(0.0), lambda total, item: total + item["_weight"])
+    moment = F.aggregate(below, F.lit(0.0), lambda total, item: total + item["_moment"])
+    strength = step / float(last)
+    error = (
+        strength * (2 * weight - F.col("_weights"))
+        - (2 * moment - F.col("_moments"))
+        + F.col("_constants")
+    )
     return (
-        frame.groupBy(*by)
-        .agg(errors.alias("_errors"))
-        .select(*by, F.posexplode("_errors").alias("step", "mae"))
-        .withColumn("shrinkage", F.col("step") / float(steps - 1))
+        intervals.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(last))))
+        .select(*by, "step", (error / F.col("_count")).alias("mae"))
+        .withColumn("shrinkage", strength)
     )
 
 

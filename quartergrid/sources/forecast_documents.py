@@ -95,77 +95,76 @@ def missing_temperatures(raw: DataFrame) -> DataFrame:
 
 
 def _locations(cell: str) -> Column:
-    return F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(latitude).alias("latitude"),
-                F.lit(longitude).alias("longitude"),
-            )
-            for name, latitude, longitude, at in WEATHER_LOCATIONS
-            if at == cell
-        )
+    places = ", ".join(
+        f"struct('{name}' AS name, {latitude}D AS latitude, {longitude}D AS longitude)"
+        for name, latitude, longitude, at in WEATHER_LOCATIONS
+        if at == cell
     )
+    return F.expr(f"array({places})")
 
 
 def _location_row(expected: Column, i: Column) -> Column:
     place = F.get(F.col("_doc.primary"), i)
     spare = F.get(F.col("_doc.temperature_fallback"), i)
-    spare_values = spare["hourly"][TEMPERATURE]
-    fields = F.array(*(_field(place, spare_values, *field) for field in WEATHER_FIELDS))
+    fields = F.array(
+        *(_field(place, spare["hourly"][TEMPERATURE], *field) for field in WEATHER_FIELDS)
+    )
     return F.struct(
         expected["name"].alias("name"),
         _place_reason(place, expected).alias("place_reason"),
         F.when(spare.isNotNull(), _spare_reason(spare, expected)).alias("spare_reason"),
-        fields.alias("fields"),
+        F.transform(fields, _checked_field).alias("fields"),
     )
 
 
 def _field(place: Column, spare: Column, field: str, _column: str, unit: str) -> Column:
-    """Values of one field after repair, with the checks on their lists."""
+    """One field as published: its values, their unit, and what may replace NULLs."""
     plain, primary_name, fallback_name = _names(field)
     hourly, units = place["hourly"], place["hourly_units"]
-    primary = F.coalesce(hourly[primary_name], hourly[plain])
-    primary_unit = F.when(hourly[primary_name].isNotNull(), units[primary_name]).otherwise(
-        units[plain]
-    )
-    inline = hourly[fallback_name]
-    fallback = F.coalesce(spare, inline) if field == TEMPERATURE else inline
-    separate = spare.isNotNull() if field == TEMPERATURE else F.lit(False)
-    repaired = F.transform(
-        primary,
-        lambda value, i: _repair(field, value, F.get(fallback, i), i),
-    )
-    listing = (
-        F.when(~F.size(primary).eqNullSafe(F.lit(HOURS)), f"{field} has not 48 values")
-        .when(~primary_unit.eqNullSafe(F.lit(unit)), f"{field} has an unexpected unit")
-        .when(
-            fallback.isNotNull() & (F.size(fallback) != HOURS), f"{field} fallback has not 48 values"
-        )
-        .when(
-            inline.isNotNull() & ~separate & ~units[fallback_name].eqNullSafe(F.lit(unit)),
-            f"{field} fallback has an unexpected unit",
-        )
-    )
-    values = F.filter(
-        F.transform(repaired, _value_reason), lambda reason: reason.isNotNull()
-    )
-    reason = F.coalesce(listing, F.concat(F.get(values, F.lit(0)), F.lit(f" {field}")))
+    suffixed, inline = hourly[primary_name], hourly[fallback_name]
+    fallback, inline_used = inline, inline.isNotNull()
+    if field == TEMPERATURE:
+        fallback, inline_used = F.coalesce(spare, inline), inline_used & spare.isNull()
     return F.struct(
         F.lit(field).alias("field"),
         F.lit(unit).alias("unit"),
         F.lit(3600 if field == RADIATION else 0).alias("back"),
-        reason.alias("reason"),
+        F.coalesce(suffixed, hourly[plain]).alias("primary"),
+        F.when(suffixed.isNotNull(), units[primary_name])
+        .otherwise(units[plain])
+        .alias("primary_unit"),
+        fallback.alias("fallback"),
+        F.when(inline_used, F.coalesce(units[fallback_name], F.lit(""))).alias("fallback_unit"),
+    )
+
+
+def _checked_field(item: Column) -> Column:
+    """Values after repair, with the first problem of the lists or of a value."""
+    field, unit, fallback = item["field"], item["unit"], item["fallback"]
+    repaired = F.transform(item["primary"], lambda value, i: _repair(field, value, fallback, i))
+    listing = (
+        F.when(~F.size(item["primary"]).eqNullSafe(F.lit(HOURS)), "values are not 48 in")
+        .when(~item["primary_unit"].eqNullSafe(unit), "unexpected unit of")
+        .when(F.size(fallback) != HOURS, "fallback values are not 48 in")
+        .when(item["fallback_unit"] != unit, "unexpected fallback unit of")
+    )
+    values = F.filter(F.transform(repaired, _value_reason), lambda reason: reason.isNotNull())
+    problem = F.coalesce(listing, F.get(values, F.lit(0)))
+    return F.struct(
+        field.alias("field"),
+        unit.alias("unit"),
+        item["back"].alias("back"),
+        F.concat_ws(" ", problem, F.when(problem.isNotNull(), field)).alias("reason"),
         repaired.alias("values"),
     )
 
 
-def _repair(field: str, value: Column, fallback: Column, i: Column) -> Column:
-    if field == TEMPERATURE:
-        return F.coalesce(value, fallback)
-    if field == RADIATION:
-        return F.coalesce(value, F.when(i == 0, 0.0))
-    return value
+def _repair(field: Column, value: Column, fallback: Column, i: Column) -> Column:
+    return F.coalesce(
+        value,
+        F.when(field == TEMPERATURE, F.get(fallback, i)),
+        F.when((field == RADIATION) & (i == 0), 0.0),
+    )
 
 
 def _value_reason(value: Column) -> Column:
@@ -223,7 +222,7 @@ def _spare_reason(spare: Column, expected: Column) -> Column:
 def _location_reason(row: Column) -> Column:
     fields = F.filter(
         F.transform(row["fields"], lambda field: field["reason"]),
-        lambda reason: reason.isNotNull(),
+        lambda reason: reason != "",
     )
     return F.coalesce(row["place_reason"], row["spare_reason"], F.get(fields, F.lit(0)))
 
