@@ -357,3 +357,22 @@ def cyclical_encodings(spark, folder):
         "is_weekend",
         *((F.round(c, 6) + 0.0).alias(c) for c in waves),
     )
+
+
+@query(
+    "unfilled_quarters",
+    "Q5 F11 K5",
+    with_ctes(
+        s.event_series_cte(s.AUTUMN),
+        s.normalised_cte(),
+        select="""SELECT delivery_date, series, count(*) AS unfilled FROM filled
+WHERE value IS NULL GROUP BY 1, 2""",
+    ),
+)
+def unfilled_quarters(spark, folder):
+    filled = normalise_quarters(s.event_series(spark, folder, s.AUTUMN), on_gap="null")
+    return (
+        filled.where(F.col("value").isNull())
+        .groupBy("delivery_date", "series")
+        .agg(F.count(F.lit(1)).alias("unfilled"))
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -13,11 +14,13 @@ from quartergrid.operators.versions import changed_only, latest_version, upsert
 from quartergrid.plans.pending import (
     default_start,
     evaluation_days,
+    operational_state,
     pending_forecasts,
     ready_days,
 )
 from quartergrid.plans.requests import OFFSETS, missing_requests, request_plan
-from quartergrid.sources.tables import production_version
+from quartergrid.session import shared_folder
+from quartergrid.sources.tables import DayTable, export_csv, production_version
 
 CUT = date(1999, 1, 1)
 
@@ -273,3 +276,73 @@ def production_version_query(spark, folder):
         rejected.alias("promotion_reasons"),
     )
     return production_version(log).select("version", "mae")
+
+
+@query(
+    "operational_state",
+    "I9 F6 A16",
+    """SELECT DATE '2000-06-15' AS delivery_date, count(*) AS operational_rows,
+  CASE WHEN count(*) > 0 THEN 'ready' ELSE 'missing' END AS state FROM lineitem
+WHERE CAST(l_shipdate AS DATE) = DATE '2000-06-15' AND l_linestatus = 'O'""",
+)
+def operational_state_query(spark, folder):
+    rows = s.table(spark, folder, "lineitem").select(
+        F.to_date("l_shipdate").alias("delivery_date"),
+        F.when(F.col("l_linestatus") == "O", "operational")
+        .otherwise("retrospective")
+        .alias("forecast_kind"),
+    )
+    return operational_state(rows, F.lit("2000-06-14 10:00:00").cast("timestamp"))
+
+
+_DAILY = """SELECT CAST(o_orderdate AS DATE) AS delivery_date, o_orderstatus AS status,
+  count(*) AS n, sum(round(o_totalprice * 100))::BIGINT AS cents FROM orders"""
+
+
+@query(
+    "stored_table_merge",
+    "S2 S3 S5 S6 S7 S8 S9 S14 J17",
+    f"""WITH stored AS ({_DAILY} WHERE o_orderpriority <> '1-URGENT' GROUP BY 1, 2),
+updates AS ({_DAILY} WHERE o_orderdate >= DATE '2000-01-01' GROUP BY 1, 2)
+SELECT *, 3::BIGINT AS version FROM updates
+UNION ALL SELECT *, 3 FROM stored t WHERE NOT EXISTS (SELECT 1 FROM updates u
+  WHERE u.delivery_date = t.delivery_date AND u.status = t.status)""",
+)
+def stored_table_merge(spark, folder):
+    """Create, rebuild and merge a stored table; an empty rebuild leaves it alone."""
+    orders = s.table(spark, folder, "orders").withColumn("delivery_date", F.to_date("o_orderdate"))
+
+    def daily(rows):
+        return rows.groupBy("delivery_date", F.col("o_orderstatus").alias("status")).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.round(F.col("o_totalprice") * 100)).cast("bigint").alias("cents"),
+        )
+
+    schema = "delivery_date date, status string, n bigint, cents bigint"
+    stored = DayTable(spark, f"{shared_folder(spark)}/{uuid4().hex}", schema)
+    stored.create()
+    stored.overwrite(daily(orders.where(F.col("o_orderpriority") != "1-URGENT")))
+    stored.overwrite(daily(orders.where(F.lit(False))))
+    recent = daily(orders.where(F.col("o_orderdate") >= F.lit(date(2000, 1, 1))))
+    for _ in range(2):
+        stored.merge(recent, ("delivery_date", "status"))
+    return stored.read().withColumn("version", F.lit(stored.version()))
+
+
+@query(
+    "csv_export",
+    "S12 O1",
+    with_ctes(
+        s.LINEITEM_CTE,
+        select="""SELECT delivery_date, quarter_of_day, count(*) AS n, sum(value) AS total FROM li
+WHERE delivery_date <= DATE '2000-12-31' GROUP BY 1, 2""",
+    ),
+)
+def csv_export(spark, folder):
+    rows = s.lineitem_quarters(spark, folder).groupBy("delivery_date", "quarter_of_day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")
+    )
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    export_csv(rows, path, date(2000, 12, 31))
+    schema = "delivery_date date, quarter_of_day int, n bigint, total double"
+    return spark.read.schema(schema).option("header", True).csv(path)

@@ -16,6 +16,7 @@ from quartergrid.functions.timegrid import (
 )
 from quartergrid.market import QUARTERS
 from quartergrid.operators.normalise import MARKET_POLICY, FillPolicy
+from quartergrid.session import durable
 
 
 def null_profile(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -155,7 +156,8 @@ def training_days(
     flags: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of fully labelled days. Partial or invalid days raise; unlabelled ones drop."""
-    quality = day_quality(frame, features, target, flags=flags)
+    # One row per day, kept so that the wide table is profiled only once.
+    quality = durable(day_quality(frame, features, target, flags=flags))
     require_none(quality.where(F.col("verdict").isin("partial", "invalid")), "training days")
     days = quality.where(F.col("verdict") == "complete").select("delivery_date")
     return frame.join(days, "delivery_date", "left_semi")

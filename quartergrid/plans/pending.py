@@ -99,20 +99,30 @@ def evaluation_days(
     )
 
 
+def operational_state(runs: DataFrame, now: Column) -> DataFrame:
+    """Whether tomorrow's operational forecast is ``early``, ``ready`` or ``missing``."""
+    due = F.date_add(local_date(now), 1)
+    found = F.count_if(
+        (F.col("delivery_date") == due) & (F.col("forecast_kind") == "operational")
+    )
+    early = F.hour(local_time(now)) < OPERATIONAL_CUTOFF_HOUR
+    return runs.agg(found.alias("operational_rows")).select(
+        due.alias("delivery_date"),
+        "operational_rows",
+        F.when(F.col("operational_rows") > 0, "ready")
+        .when(early, "early")
+        .otherwise("missing")
+        .alias("state"),
+    )
+
+
 def require_operational_forecast(runs: DataFrame, now: Column) -> None:
     """After the local cutoff, tomorrow must have an operational forecast."""
-    spark = runs.sparkSession
-    clock = spark.range(1).select(
-        F.hour(local_time(now)).alias("hour"), F.date_add(local_date(now), 1).alias("day")
-    ).first()
-    if clock["hour"] < OPERATIONAL_CUTOFF_HOUR:
-        return
-    found = runs.where(
-        (F.col("delivery_date") == F.lit(clock["day"]))
-        & (F.col("forecast_kind") == "operational")
-    )
-    if found.isEmpty():
-        raise RuntimeError(f"no operational forecast exists for {clock['day']} after the cutoff")
+    found = operational_state(runs, now).first()
+    if found["state"] == "missing":
+        raise RuntimeError(
+            f"no operational forecast exists for {found['delivery_date']} after the cutoff"
+        )
 
 
 def _lit(value: date | Column) -> Column:

@@ -30,19 +30,24 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so a lost executor costs a re-read.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary
-    folder is used only on a local master, where driver and tasks share the disk.
+    A temporary folder is used only on a local master, where driver and tasks share
+    the disk.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(shared)
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder, so a lost executor costs only a re-read."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)

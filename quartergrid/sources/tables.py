@@ -67,17 +67,23 @@ class DayTable:
         self._write(rows, "append")
 
     def overwrite(self, rows: DataFrame) -> bool:
-        """Replace everything; keep the last good rows when there are none to write."""
-        if rows.isEmpty():
+        """Replace everything; keep the last good rows when there are none to write.
+
+        Rows are materialised first: they may come from this table, and a failed
+        computation must not touch it. A new column layout replaces the old one.
+        """
+        finished = durable(rows)
+        if finished.isEmpty():
             return False
-        self._write(durable(rows), "overwrite")
+        self._write(finished, "overwrite")
         return True
 
     def replace_months(self, rows: DataFrame) -> bool:
         """Replace only the months that occur in ``rows``."""
-        if rows.isEmpty():
+        finished = durable(rows)
+        if finished.isEmpty():
             return False
-        self._write(durable(rows), "overwrite", partitionOverwriteMode="dynamic")
+        self._write(finished, "overwrite", partitionOverwriteMode="dynamic")
         return True
 
     def merge(self, updates: DataFrame, keys: Sequence[str]) -> None:
@@ -87,6 +93,7 @@ class DayTable:
         """
         if self.day not in keys:
             raise ValueError(f"merge keys must contain {self.day}")
+        updates = durable(updates)
         check_updates(updates, keys)
         if not self.exists():
             self._write(updates, "append")
@@ -111,9 +118,10 @@ class DayTable:
 
     def _write(self, rows: DataFrame, mode: str, **options: str) -> None:
         keep = self.version() if self.exists() else None
+        # Rebalancing splits a month, or a single day, that is larger than its share.
         (
             rows.withColumn(MONTH, self._month())
-            .repartitionByRange(MONTH, self.day)
+            .hint("rebalance", MONTH)
             .sortWithinPartitions(MONTH, self.day)
             .write.mode(mode)
             .options(**options)
