@@ -69,7 +69,8 @@ def candidate_evaluation(spark, folder):
 
 @query("loss_comparison", "L12 M15 K14 M13")
 def loss_comparison_query(spark, folder):
+    sizes = {**SIZES, "folds": 1}
     predictions = loss_predictions(
-        _rows(spark, folder), FEATURES, LOSSES, config=QUICK, **SIZES
+        _rows(spark, folder), FEATURES, LOSSES, config=QUICK, **sizes
     )
-    return loss_comparison(predictions, samples=500)
+    return loss_comparison(predictions)

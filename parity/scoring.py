@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parity import supplied as s
 from parity.registry import query, with_ctes
-from quartergrid.market import DRIFT_REASONS, PROMOTION_REASONS
+from quartergrid.market import BOOTSTRAP_SAMPLES, DRIFT_REASONS, PROMOTION_REASONS
 from quartergrid.operators.metrics import (
     baseline_metrics,
     forecast_metrics,
@@ -262,7 +262,7 @@ def daily_gain(spark, folder):
     )
 
 
-SAMPLES = 2000
+SAMPLES = BOOTSTRAP_SAMPLES
 EVENT_SHIFT_CTE = f"""{s.events_cte(s.WINTER)},
 sh AS (SELECT event_type, delivery_date, floor(value / 100) - user_id % 50 AS actual,
   (event_id % 41 - 20)::DOUBLE AS predicted FROM ev)"""

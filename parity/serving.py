@@ -59,6 +59,7 @@ def _wide(spark, folder, prices=None):
 
 
 def _forecasts(spark, folder, wide=None):
+    """Published forecasts; none are made for Sundays, and every fourth day is late."""
     wide = _wide(spark, folder) if wide is None else wide
     day, quarter = F.col("delivery_date"), F.col("quarter_of_day")
     doy = F.dayofyear(day)
@@ -66,7 +67,7 @@ def _forecasts(spark, folder, wide=None):
     hour = F.unix_timestamp(F.date_add(day, F.when(late, 1).otherwise(-1)).cast("timestamp"))
     point = F.floor(F.col(REFERENCE)) + quarter % 7 - 3
     return (
-        wide.where(doy % 6 != 0)
+        wide.where(F.weekday(day) != 6)
         .select(
             "delivery_date",
             "quarter_of_day",
@@ -107,7 +108,7 @@ fc AS (
     CASE WHEN dayofyear(delivery_date) % 4 = 0 THEN 'retrospective' ELSE 'operational' END
       AS forecast_kind
   FROM (SELECT *, floor({REFERENCE}) + quarter_of_day % 7 - 3 AS p FROM wide
-    WHERE dayofyear(delivery_date) % 6 <> 0))"""
+    WHERE isodow(delivery_date) <> 7))"""
 
 
 def _metric_sql(prefix: str = "") -> str:
@@ -246,11 +247,11 @@ def evaluate_days(spark, folder):
 
 
 def _metrics(spark, folder):
-    """Stored daily metrics for every other day."""
+    """Stored daily metrics of working days."""
     days = s.events(spark, folder, s.AUTUMN).select("delivery_date").distinct()
     doy = F.dayofyear("delivery_date")
     names = (*ALL_METRICS, *ROLLING)
-    return days.where(doy % 2 == 0).select(
+    return days.where(F.weekday("delivery_date") < 5).select(
         "delivery_date",
         *((doy + i).cast("double").alias(c) for i, c in enumerate(names)),
         F.when(doy % 4 == 0, "retrospective").otherwise("operational").alias("forecast_kind"),
@@ -272,7 +273,7 @@ metrics AS (
       WHEN dayofyear(delivery_date) % 3 = 0 THEN 'ok' ELSE 'alert' END AS monitoring_status,
     CASE WHEN dayofyear(delivery_date) % 3 = 0 THEN '' ELSE 'first; second' END AS monitoring_reasons,
     CAST(delivery_date + 1 AS TIMESTAMP) AS evaluated_at
-  FROM days WHERE dayofyear(delivery_date) % 2 = 0)"""
+  FROM days WHERE isodow(delivery_date) <= 5)"""
 
 DAYS_SQL = f"""indexed AS (
   SELECT coalesce(f.delivery_date, a.delivery_date) AS delivery_date, f.model_version, f.predicted_at,
@@ -355,15 +356,15 @@ def observation_view(spark, folder):
     with_ctes(
         SETTLED_CTE,
         select=f"""SELECT delivery_date, quarter_of_day, {TARGET} AS actual, {POINT} AS forecast,
-  {LOWER} AS low, {UPPER} AS high, CASE WHEN quarter_of_day % 5 <> 0 THEN {REFERENCE} END AS exaa,
-  CASE WHEN quarter_of_day % 5 <> 0 THEN {AUSTRIA} END AS austria
+  {LOWER} AS low, {UPPER} AS high, CASE WHEN quarter_of_day < 80 THEN {REFERENCE} END AS exaa,
+  CASE WHEN quarter_of_day < 80 THEN {AUSTRIA} END AS austria
 FROM fc LEFT JOIN wide USING (delivery_date, quarter_of_day)""",
     ),
 )
 def price_points(spark, folder):
     wide = _wide(spark, folder)
     rows = v.forecast_view(_forecasts(spark, folder), wide, _metrics(spark, folder))
-    points = v.price_points(rows, wide.where(F.col("quarter_of_day") % 5 != 0))
+    points = v.price_points(rows, wide.where(F.col("quarter_of_day") < 80))
     return points.select(
         "*", F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high")
     ).drop("interval")
