@@ -22,7 +22,7 @@ from quartergrid.plans.training import (
 )
 
 FEATURES = (REFERENCE, "line", "part", "supplier", "quarter")
-QUICK = BoostingConfig(rounds=2, depth=3, min_rows=20)
+QUICK = BoostingConfig(rounds=2, depth=3, min_rows=20, linear_iterations=5)
 SIZES = {"folds": 2, "validation_days": 28, "test_days": 28, "minimum_train_days": 120}
 
 

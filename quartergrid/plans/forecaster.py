@@ -43,7 +43,10 @@ SKETCH_ACCURACY = 10_000
 
 @dataclass(frozen=True)
 class BoostingConfig:
-    """Knobs of the point model and of the tree behind the interval bounds."""
+    """Knobs of the point model and of the tree behind the interval bounds.
+
+    ``linear_iterations`` bounds the linear Huber fit.
+    """
 
     step: float = 0.05
     rounds: int = 250
@@ -51,6 +54,7 @@ class BoostingConfig:
     interval_depth: int = 3
     min_rows: int = 40
     validation_share: float = 0.1
+    linear_iterations: int = 50
     seed: int = 42
 
 
@@ -116,7 +120,7 @@ def fit_point(frame: DataFrame, config: BoostingConfig, loss: Loss = LOSSES[0]):
     if loss.kind == "huber":
         return LinearRegression(
             featuresCol=VECTOR, labelCol=SPREAD, predictionCol="_point", loss="huber",
-            epsilon=HUBER_DELTA, solver="l-bfgs", maxIter=50,
+            epsilon=HUBER_DELTA, solver="l-bfgs", maxIter=config.linear_iterations,
         ).fit(frame)
     bucket = F.pmod(F.xxhash64("delivery_date", "quarter_of_day"), F.lit(1000))
     held_out = bucket < int(config.validation_share * 1000)

@@ -42,6 +42,7 @@ from quartergrid.plans.forecaster import (
     fit_point,
     with_vector,
 )
+from quartergrid.session import durable
 
 UNCHANGED = "EXAA unchanged"
 
@@ -203,7 +204,10 @@ def loss_predictions(
             ).select(*columns)
             for label, rows in scored
         ]
-    return reduce(DataFrame.unionByName, parts)
+    # Kept once: the comparison reads the predictions several times.
+    predictions = durable(reduce(DataFrame.unionByName, parts))
+    prepared.unpersist()
+    return predictions
 
 
 def loss_comparison(predictions: DataFrame, *, samples: int = 10_000) -> DataFrame:
