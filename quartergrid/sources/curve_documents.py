@@ -55,11 +55,12 @@ def parse_curves(raw: DataFrame, payload: Column | None = None) -> DataFrame:
         checked.withColumn("_found", _document_reasons(F.col("_series")))
         .withColumn("_grid", physical_grid(F.col("delivery_date")))
         .withColumn("_points", F.array_sort(_distinct_points(F.col("_series"))))
+        .withColumn("_starts", _starts(F.col("_points")))
         .withColumn("reason", _reason())
         .withColumn("status", status_of(F.col("reason")))
         .withColumn("unit", F.when(is_price, "EUR/MWh").otherwise("MW"))
         .withColumn("intervals", F.when(F.col("reason").isNull(), F.col("_points")))
-        .drop("_doc", "_broken", "_series", "_found", "_grid", "_points")
+        .drop("_doc", "_broken", "_series", "_found", "_grid", "_points", "_starts")
     )
 
 
@@ -131,31 +132,53 @@ def _position(text: Column) -> Column:
     return F.when(F.trim(text).rlike(r"^[+-]?\d+$"), F.trim(text)).try_cast("int")
 
 
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _checked_series(item: Column) -> Column:
-    """Reason and interval values of one TimeSeries, its periods checked in order."""
-    periods = F.transform(item["periods"], lambda period: _expanded(period, item["curve"]))
-    own = _with_conflicts(periods)
+    """Reason and interval values of one TimeSeries, its periods checked in order.
+
+    Every step is a transform over the finished elements of the step before.
+    """
+    curve = item["curve"]
+    periods = F.transform(item["periods"], _with_positions)
+    periods = F.transform(periods, lambda period: _with_reason(period, curve))
+    periods = F.transform(periods, _with_values)
+    periods = F.transform(periods, _with_starts)
+    return _bind(
+        _bind(periods, lambda found: _series_outcome(item, found)),
+        lambda outcome: F.struct(
+            outcome["reason"].alias("reason"),
+            curve.alias("curve"),
+            F.when(outcome["reason"].isNull(), outcome["values"]).alias("values"),
+            _starts(outcome["values"]).alias("starts"),
+        ),
+    )
+
+
+def _series_outcome(item: Column, periods: Column) -> Column:
     reason = F.coalesce(
         item["head"],
-        _first(own),
-        F.when(F.coalesce(F.size(item["periods"]), F.lit(0)) <= 0, "no period"),
+        _first(F.transform(periods, lambda period, i: _conflict(periods, period, i))),
+        F.when(F.coalesce(F.size(periods), F.lit(0)) <= 0, "no period"),
     )
     values = F.flatten(F.transform(periods, lambda period: period["values"]))
+    return F.struct(reason.alias("reason"), F.array_sort(values).alias("values"))
+
+
+def _with_positions(period: Column) -> Column:
+    positions = F.transform(period["points"], lambda point: point["position"])
     return F.struct(
-        reason.alias("reason"),
-        item["curve"].alias("curve"),
-        F.when(reason.isNull(), F.array_sort(values)).alias("values"),
+        *(period[c].alias(c) for c in ("head", "begin", "size", "points")),
+        positions.alias("positions"),
     )
 
 
-def _expanded(period: Column, curve: Column) -> Column:
-    """Apply the point rules and spread the points over the period's intervals.
-
-    A point holds until the next one. A complete curve has every point, so the
-    same rule reads it unchanged.
-    """
-    points, size = period["points"], period["size"]
-    positions = F.transform(points, lambda point: point["position"])
+def _with_reason(period: Column, curve: Column) -> Column:
+    """First broken point rule of a period."""
+    points, positions, size = period["points"], period["positions"], period["size"]
     reason = (
         F.when(period["head"].isNotNull(), period["head"])
         .when(
@@ -180,12 +203,23 @@ def _expanded(period: Column, curve: Column) -> Column:
         )
         .when(~curve.isin("A01", "A03"), "unsupported curve type")
     )
+    return F.struct(
+        reason.alias("reason"),
+        *(period[c].alias(c) for c in ("begin", "size", "points", "positions")),
+    )
+
+
+def _with_values(period: Column) -> Column:
+    """Spread the points over the intervals: a point holds until the next one.
+
+    A complete curve has every point, so the same rule reads it unchanged.
+    """
     held = F.transform(
-        points,
+        period["points"],
         lambda point, i: F.transform(
             F.sequence(
                 point["position"],
-                F.coalesce(F.get(positions, i + 1), size + 1) - 1,
+                F.coalesce(F.get(period["positions"], i + 1), period["size"] + 1) - 1,
             ),
             lambda position: F.struct(
                 F.timestamp_seconds(period["begin"] + (position - 1) * STEP).alias("start"),
@@ -193,59 +227,50 @@ def _expanded(period: Column, curve: Column) -> Column:
             ),
         ),
     )
+    reason = period["reason"]
     return F.struct(
         reason.alias("reason"), F.when(reason.isNull(), F.flatten(held)).alias("values")
     )
 
 
+def _with_starts(period: Column) -> Column:
+    values = period["values"]
+    return F.struct(
+        period["reason"].alias("reason"), values.alias("values"), _starts(values).alias("starts")
+    )
+
+
 def _starts(values: Column) -> Column:
     return F.transform(values, lambda value: value["start"])
 
 
-def _with_conflicts(items: Column) -> Column:
-    """Reasons in order; an item that repeats an earlier interval conflicts."""
-    return F.transform(
-        items,
-        lambda item, i: F.coalesce(
-            item["reason"],
-            F.when(
-                F.exists(
-                    F.slice(items, 1, i),
-                    lambda earlier: F.arrays_overlap(
-                        _starts(earlier["values"]), _starts(item["values"])
-                    ),
-                ),
-                "duplicate interval",
-            ),
-        ),
+def _overlaps(items: Column, item: Column, i: Column) -> Column:
+    return F.exists(
+        F.slice(items, 1, i),
+        lambda earlier: F.arrays_overlap(earlier["starts"], item["starts"]),
     )
 
 
-def _content(item: Column) -> Column:
-    return F.struct(item["curve"], item["values"])
+def _conflict(items: Column, item: Column, i: Column) -> Column:
+    """An item's own reason, or that it repeats an interval of an earlier one."""
+    return F.coalesce(item["reason"], F.when(_overlaps(items, item, i), "duplicate interval"))
 
 
 def _document_reasons(items: Column) -> Column:
-    """As above over whole TimeSeries, where an identical copy is ignored."""
-    return F.transform(
-        items,
-        lambda item, i: F.coalesce(
+    """The same over whole TimeSeries, where an identical copy is ignored."""
+
+    def reason(item, i):
+        copied = F.exists(
+            F.slice(items, 1, i),
+            lambda earlier: (earlier["curve"] == item["curve"])
+            & (earlier["values"] == item["values"]),
+        )
+        return F.coalesce(
             item["reason"],
-            F.when(
-                F.exists(
-                    F.slice(items, 1, i),
-                    lambda earlier: F.arrays_overlap(
-                        _starts(earlier["values"]), _starts(item["values"])
-                    ),
-                )
-                & ~F.exists(
-                    F.slice(items, 1, i),
-                    lambda earlier: _content(earlier) == _content(item),
-                ),
-                "conflicting time series",
-            ),
-        ),
-    )
+            F.when(_overlaps(items, item, i) & ~copied, "conflicting time series"),
+        )
+
+    return F.transform(items, reason)
 
 
 def _first(texts: Column) -> Column:
@@ -258,7 +283,7 @@ def _distinct_points(items: Column) -> Column:
 
 
 def _reason() -> Column:
-    grid, starts = F.col("_grid"), _starts(F.col("_points"))
+    grid, starts = F.col("_grid"), F.col("_starts")
     late_start = (
         F.col("series").isin(*AUTUMN_96_SERIES)
         & (F.size(grid) == 100)
