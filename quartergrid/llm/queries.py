@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quartergrid.llm.chosen_path import class_table
 from quartergrid.llm.content_dedup import mark_copies
 from quartergrid.llm.mixing import mix
 from quartergrid.llm.packing import pack
@@ -36,6 +37,10 @@ def op6_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
+    return class_table(_table(spark, folder, "documents"))
+
+
 def op9_content_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_copies(_table(spark, folder, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op5_token_files": op5_token_files,
     "op6_pareto_mixing": op6_pareto_mixing,
+    "op8_chosen_path_join": op8_chosen_path_join,
     "op9_content_dedup": op9_content_dedup,
 }
 

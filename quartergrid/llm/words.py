@@ -47,3 +47,22 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.concatenate([[0], np.cumsum(values)])
     stops = np.cumsum(counts)
     return ends[stops] - ends[stops - counts]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal ``key``; one table is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch[key]
+        starts = [0] + (np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1))) + 1).tolist()
+        if held and held[-1][key][-1].as_py() != keys[0].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        for start, end in zip(starts, starts[1:]):
+            yield pa.Table.from_batches([*held, batch.slice(start, end - start)])
+            held = []
+        held.append(batch.slice(starts[-1]))
+    if held:
+        yield pa.Table.from_batches(held)
