@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartergrid.llm.chosen_path import class_table
 from quartergrid.llm.content_dedup import mark_copies
+from quartergrid.llm.language import Model, fit_table, label_documents
 from quartergrid.llm.mixing import mix
 from quartergrid.llm.packing import pack
 from quartergrid.llm.token_files import round_trip
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _remainder(column: str, divisor: int) -> Column:
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
 def op1_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(_table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
     return pieces.select(
@@ -45,12 +50,26 @@ def op9_content_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_copies(_table(spark, folder, "documents"))
 
 
+def language_model(documents: DataFrame) -> Model:
+    """Fit on labelled documents outside the held-out quarter."""
+    return fit_table(documents.where(_remainder("doc_id", 4) != 2))
+
+
+def op10_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    labelled = label_documents(documents, language_model(documents))
+    return labelled.select(
+        "doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "words", "switches"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op5_token_files": op5_token_files,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op8_chosen_path_join": op8_chosen_path_join,
     "op9_content_dedup": op9_content_dedup,
+    "op10_language_crf": op10_language_crf,
 }
 
 SQL: dict[str, str] = {
