@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quartergrid.llm.chosen_path import class_table
 from quartergrid.llm.content_dedup import mark_copies
 from quartergrid.llm.language import Model, fit_table, label_documents
+from quartergrid.llm.metric_topk import top_products
 from quartergrid.llm.mixing import mix
 from quartergrid.llm.packing import pack
 from quartergrid.llm.token_files import round_trip
@@ -42,6 +43,10 @@ def op6_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_metric_tree_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
     return class_table(_table(spark, folder, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op5_token_files": op5_token_files,
     "op6_pareto_mixing": op6_pareto_mixing,
+    "op7_metric_tree_topk": op7_metric_tree_topk,
     "op8_chosen_path_join": op8_chosen_path_join,
     "op9_content_dedup": op9_content_dedup,
     "op10_language_crf": op10_language_crf,
@@ -121,6 +127,21 @@ SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN size = 0 THEN 0
        ELSE (whole + CASE WHEN odds IS NOT NULL AND up_to - size / 2 <= wanted THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken
 FROM summed
+""",
+    "op7_metric_tree_topk": """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
     "op9_content_dedup": r"""
 WITH normal AS (
