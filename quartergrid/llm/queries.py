@@ -15,6 +15,8 @@ from quartergrid.llm.metric_topk import top_products
 from quartergrid.llm.mixing import mix
 from quartergrid.llm.packing import pack
 from quartergrid.llm.token_files import round_trip
+from quartergrid.llm.toxicity import fit_table as fit_toxicity
+from quartergrid.llm.toxicity import score_documents
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -34,6 +36,13 @@ def op1_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_subsequence_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = fit_toxicity(documents, labels.where(_remainder("doc_id", 5) != 0))
+    scored = score_documents(documents, model)
+    return scored.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(_table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -70,6 +79,7 @@ def op10_language_crf(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
+    "op2_subsequence_toxicity": op2_subsequence_toxicity,
     "op5_token_files": op5_token_files,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op7_metric_tree_topk": op7_metric_tree_topk,
