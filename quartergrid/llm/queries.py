@@ -14,9 +14,12 @@ from quartergrid.llm.language import Model, fit_table, label_documents
 from quartergrid.llm.metric_topk import top_products
 from quartergrid.llm.mixing import mix
 from quartergrid.llm.packing import pack
+from quartergrid.llm.secret_forest import scan
 from quartergrid.llm.token_files import round_trip
 from quartergrid.llm.toxicity import fit_table as fit_toxicity
 from quartergrid.llm.toxicity import score_documents
+from quartergrid.llm.weak_quality import fit_table as fit_quality
+from quartergrid.llm.weak_quality import score_quality
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -43,6 +46,15 @@ def op2_subsequence_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return score_quality(documents, *fit_quality(documents))
+
+
+def op4_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(_table(spark, folder, "documents")).select("doc_id", "start", "length", "score", "is_secret")
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(_table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -80,6 +92,8 @@ def op10_language_crf(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op2_subsequence_toxicity": op2_subsequence_toxicity,
+    "op3_weak_label_quality": op3_weak_label_quality,
+    "op4_secret_forest": op4_secret_forest,
     "op5_token_files": op5_token_files,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op7_metric_tree_topk": op7_metric_tree_topk,
