@@ -93,7 +93,7 @@ def flagship_model_input(spark, folder):
         s.year_bounds(spark, folder, s.AUTUMN), s.holiday_ranges(spark, folder)
     )
     rows = model_input(
-        s.measurements(spark, folder, s.AUTUMN), holidays, through=THROUGH, check=False
+        s.measurements(spark, folder, s.AUTUMN), holidays, through=THROUGH
     )
     return rows.withColumns({c: F.round(c, 6) for c in DIRECTIONS})
 

@@ -20,7 +20,14 @@ from quartergrid.plans.pending import (
 )
 from quartergrid.plans.requests import OFFSETS, missing_requests, request_plan
 from quartergrid.session import shared_folder
-from quartergrid.sources.tables import DayTable, export_csv, production_version
+from quartergrid.functions.timegrid import day_start
+from quartergrid.sources.tables import (
+    DayTable,
+    export_csv,
+    extract_snapshot,
+    production_version,
+    read_snapshot,
+)
 
 CUT = date(1999, 1, 1)
 
@@ -142,14 +149,14 @@ def missing_requests_query(spark, folder):
     "ready_days",
     "A9 F6",
     with_ctes(
-        s.measurements_cte(s.AUTUMN, s.FEATURE_SERIES[:2]),
-        select="""SELECT delivery_date FROM src WHERE series = 'de_lu.price.sdac'
-GROUP BY 1 HAVING count(*) = 96""",
+        s.measurements_cte(s.AUTUMN, ("de_lu.price.sdac",)),
+        select="SELECT delivery_date FROM src GROUP BY 1 HAVING count(*) = 96",
     ),
 )
 def ready_days_query(spark, folder):
-    rows = s.measurements(spark, folder, s.AUTUMN, s.FEATURE_SERIES[:2])
-    return ready_days(rows.where(F.col("series") == "de_lu.price.sdac"))
+    rows = s.measurements(spark, folder, s.AUTUMN, ("de_lu.price.sdac",))
+    passed = F.unix_timestamp("delivery_start_utc") - F.unix_timestamp(day_start(F.col("delivery_date")))
+    return ready_days(rows.withColumn("quarter_of_day", F.floor(passed / 900).cast("int")))
 
 
 # Ready days have 96 quarters; every third (zone, day) lacks its last one.
@@ -329,6 +336,51 @@ def stored_table_merge(spark, folder):
     return stored.read().withColumn("version", F.lit(stored.version()))
 
 
+@query(
+    "schema_change_overwrite",
+    "S5 S7 S14",
+    f"""WITH daily AS ({_DAILY} GROUP BY 1, 2)
+SELECT delivery_date, status, n, cents, n * 2 AS doubled, 3::BIGINT AS commits, true AS old_readable FROM daily""",
+)
+def schema_change_overwrite(spark, folder):
+    """Append, then overwrite with one more column: the log and the old version stay."""
+    orders = s.table(spark, folder, "orders").withColumn("delivery_date", F.to_date("o_orderdate"))
+    daily = orders.groupBy("delivery_date", F.col("o_orderstatus").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.round(F.col("o_totalprice") * 100)).cast("bigint").alias("cents"),
+    )
+    schema = "delivery_date date, status string, n bigint, cents bigint"
+    stored = DayTable(spark, f"{shared_folder(spark)}/{uuid4().hex}", schema)
+    stored.create()
+    stored.append(daily)
+    stored.overwrite(daily.withColumn("doubled", F.col("n") * 2))
+    old = stored.read(1)
+    readable = old.columns == daily.columns and old.count() == daily.count()
+    return stored.read().select(
+        "*", F.lit(stored.log().count()).alias("commits"), F.lit(readable).alias("old_readable")
+    )
+
+
+@query(
+    "snapshot_round_trip",
+    "S10 S11",
+    with_ctes(
+        s.LINEITEM_CTE,
+        select="""SELECT delivery_date, quarter_of_day, count(*) AS n FROM li
+WHERE delivery_date <= DATE '1998-01-31' GROUP BY 1, 2""",
+    ),
+)
+def snapshot_round_trip(spark, folder):
+    """Write a snapshot twice and read it up to an earlier date."""
+    rows = s.lineitem_quarters(spark, folder).groupBy("delivery_date", "quarter_of_day").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    for _ in range(2):
+        extract_snapshot(rows, path, date(1998, 6, 30))
+    return read_snapshot(spark, path, date(1998, 1, 31))
+
+
 @query(
     "csv_export",
     "S12 O1",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quartergrid.market import OPERATIONAL_CUTOFF_HOUR, QUARTERS, TIME_ZONE
 
-ISO_PATTERNS = ("yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ssXXX")
+NAIVE_PATTERN = "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]"
+ISO_PATTERNS = (f"{NAIVE_PATTERN}XXX", f"{NAIVE_PATTERN}XX")
 
 
 def local_time(instant: Column) -> Column:

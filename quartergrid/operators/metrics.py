@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartergrid.functions.numbers import any_of, non_finite
 from quartergrid.market import LAG_7D, LOWER, POINT, REFERENCE, TARGET, TARGET_COVERAGE, UPPER
 
 FORECAST_METRICS = ("mae", "rmse", "picp", "mpiw", "interval_score")
@@ -33,10 +34,18 @@ def interval_score(actual: Column, lower: Column, upper: Column, coverage: float
 def forecast_metrics(
     target: str, point: str, lower: str, upper: str, *, coverage: float = TARGET_COVERAGE
 ) -> list[Column]:
-    """The five forecast aggregates, for use in one ``agg``."""
+    """The five forecast aggregates, for use in one ``agg``.
+
+    Rows with a missing or non-finite value, or with reversed bounds, stop the job: they
+    would enter some of the averages only.
+    """
     if not 0 < coverage < 1:
         raise ValueError("coverage must be between 0 and 1")
     actual, predicted, low, high = (F.col(c) for c in (target, point, lower, upper))
+    faulty = any_of([non_finite(c) for c in (actual, predicted, low, high)]) | (low > high)
+    actual = F.when(
+        faulty, F.raise_error(F.lit("metrics need finite values and ordered bounds")).cast("double")
+    ).otherwise(actual)
     inside = ((actual >= low) & (actual <= high)).cast("double")
     return [
         mean_absolute(predicted - actual).alias("mae"),

@@ -113,7 +113,7 @@ def day_profile(
         distinct_quarters(quarter).alias("quarters"),
         F.min(quarter).alias("first_quarter"),
         F.max(quarter).alias("last_quarter"),
-        F.count(target).alias("targets"),
+        F.count_if(~non_finite(F.col(target))).alias("targets"),
         F.count_if(any_of([non_finite(F.col(c)) for c in features])).alias("bad_features"),
         F.count_if(
             any_of([F.col(c).isNull() for c in flags]) if flags else F.lit(False)

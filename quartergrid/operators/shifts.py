@@ -112,7 +112,7 @@ def shrinkage_errors(
     does not depend on the number of strengths.
     """
     if steps < 2:
-        raise ValueError("steps must be at least two")
+        raise ValueError("the grid of strengths needs both of its ends")
     last = steps - 1
     c, r = F.col(correction), F.col(residual)
     # Interval k holds ratios in (strength k - 1, strength k]; last + 1 lies above all.

@@ -20,11 +20,15 @@ def order_statistic(
 ) -> DataFrame:
     """Exact value at a zero-based rank per group; ``rank`` maps the row count to it.
 
+    NULL values do not count, NULL groups are groups, and NaN or infinite values stop
+    the job.
+
     Equal values are folded into weights first. The distinct values are then range
     partitioned and only weights per range cross partitions, so neither a hot
     group nor a hot value ends up in one task, and nothing is sampled.
     """
-    weights = frame.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_weight"))
+    known = frame.where(F.col(value).isNotNull()).withColumn(value, _finite(F.col(value)))
+    weights = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_weight"))
     ranged = durable(
         weights.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id())
     )
@@ -40,7 +44,9 @@ def order_statistic(
         & (F.col("_rank") < F.col("_before") + F.col("_in_range"))
     )
     # One range per group is left: its slice of the sorted distinct values.
-    slices = ranged.join(located, [*by, "_range"])
+    renamed = located.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "_range"]})
+    same = [ranged[c].eqNullSafe(renamed[f"_of_{c}"]) for c in [*by, "_range"]]
+    slices = ranged.join(renamed, same)
     running = Window.partitionBy(*by).orderBy(value)
     reached = F.col("_before") + F.sum("_weight").over(running) > F.col("_rank")
     return (
@@ -51,6 +57,11 @@ def order_statistic(
     )
 
 
+def _finite(value: Column) -> Column:
+    stop = F.raise_error(F.lit("order statistics need finite values")).cast("double")
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), stop).otherwise(value)
+
+
 def conformal_rank(coverage: float) -> Callable[[Column], Column]:
     """Finite-sample rank of a calibration score."""
     if not 0 < coverage < 1:

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quartergrid.functions.numbers import non_finite
 from quartergrid.market import MODEL_INPUT, QUARTERS, Difference, WideLayout
 
 
@@ -48,7 +49,7 @@ def complete_cells(
     the same, but Spark derives constraints from it for every column alias.
     """
     day = Window.partitionBy(*entity, "delivery_date")
-    counted = F.col("_column").isin(*required) & F.col("value").isNotNull()
+    counted = F.col("_column").isin(*required) & ~non_finite(F.col("value"))
     return (
         placed.withColumn("_cells", F.count_if(counted).over(day))
         .where(F.col("_cells") == QUARTERS * len(required))

@@ -190,9 +190,16 @@ def _monitoring(fresh, runs, model_mae, history, entity, coverage) -> DataFrame:
         .withColumn("_fresh", F.lit(False))
         .unionByName(fresh.where(operational).select(*columns).withColumn("_fresh", F.lit(True)))
     )
-    drift = series.join(
-        runs.select(*key, "data_outlier_rate", "prediction_mean_z"), key, "left"
-    ).join(model_mae.select("model_version", "reference_mae"), "model_version", "left")
+    run_values = runs.select(*key, "data_outlier_rate", "prediction_mean_z", F.lit(True).alias("_run"))
+    drift = series.join(run_values, key, "left").join(
+        model_mae.select("model_version", "reference_mae"), "model_version", "left"
+    )
+    missing = F.col("_fresh") & F.col("_run").isNull()
+    drift = drift.withColumn(
+        "mae",
+        F.when(missing, _stop("no run row", F.col("delivery_date").cast("string")).cast("double"))
+        .otherwise(F.col("mae")),
+    ).drop("_run")
     assessed = assess_drift(drift, entity=entity, target_coverage=coverage)
     return assessed.where("_fresh").select(
         *key, *ROLLING, "monitoring_status", "monitoring_reasons"

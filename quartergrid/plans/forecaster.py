@@ -33,45 +33,52 @@ from quartergrid.market import (
 from quartergrid.operators.monitoring import feature_statistics, input_drift
 from quartergrid.operators.splits import day_index, sample_weights, spread
 from quartergrid.operators.statistics import conformal_rank, order_statistic
+from quartergrid.session import durable
 
 SPREAD = "_spread"
 VECTOR = "_features"
 LEAF = "_leaf"
-# Leaf quantiles come from mergeable sketches; the conformal step corrects their error.
-SKETCH_ACCURACY = 10_000
 
 
 @dataclass(frozen=True)
 class BoostingConfig:
     """Knobs of the point model and of the tree behind the interval bounds.
 
-    ``linear_iterations`` bounds the linear Huber fit.
+    Boosting ends at the best round before ``patience`` rounds bring no gain on the
+    held-out rows. ``linear_iterations`` bounds one linear fit; a fit that needs more raises.
     """
 
     step: float = 0.05
     rounds: int = 250
+    patience: int = 10
+    first_rounds: int = 32
     depth: int = 4
     interval_depth: int = 3
     min_rows: int = 40
     validation_share: float = 0.1
-    linear_iterations: int = 50
+    linear_iterations: int = 200
+    scale_rounds: int = 8
     seed: int = 42
 
 
 @dataclass(frozen=True)
 class Loss:
-    """A point loss with every other setting held fixed."""
+    """How the point model is fitted; ``heavy_from`` doubles as the bound of large shifts."""
 
     label: str
     kind: str
-    weight_threshold: float | None = None
+    heavy_from: float | None = None
 
 
-LOSSES = (
-    Loss("MAE", "absolute"),
-    Loss("MSE", "squared"),
-    Loss(f"Huber linear (delta={HUBER_DELTA:g})", "huber"),
-    Loss(f"Weighted MAE (abs shift >= {MATERIAL_SHIFT:g})", "absolute", MATERIAL_SHIFT),
+# Same features, folds and settings; only the loss differs.
+LOSSES = tuple(
+    Loss(label, kind, heavy_from)
+    for label, kind, heavy_from in (
+        ("boosted, absolute", "absolute", None),
+        ("boosted, squared", "squared", None),
+        (f"linear, Huber from {HUBER_DELTA:g} EUR/MWh", "huber", None),
+        (f"boosted, absolute, shifts from {MATERIAL_SHIFT:g} weighted", "absolute", MATERIAL_SHIFT),
+    )
 )
 
 
@@ -118,24 +125,70 @@ def with_vector(frame: DataFrame, features: Sequence[str]) -> DataFrame:
 def fit_point(frame: DataFrame, config: BoostingConfig, loss: Loss = LOSSES[0]):
     """Fit the spread model. Early stopping watches a hashed tenth of the rows."""
     if loss.kind == "huber":
-        return LinearRegression(
-            featuresCol=VECTOR, labelCol=SPREAD, predictionCol="_point", loss="huber",
-            epsilon=HUBER_DELTA, solver="l-bfgs", maxIter=config.linear_iterations,
-        ).fit(frame)
+        return _fit_huber(frame, config)
     bucket = F.pmod(F.xxhash64("delivery_date", "quarter_of_day"), F.lit(1000))
     held_out = bucket < int(config.validation_share * 1000)
-    prepared = frame.withColumn("_validation", held_out)
     booster = GBTRegressor(
         featuresCol=VECTOR, labelCol=SPREAD, predictionCol="_point", lossType=loss.kind,
-        stepSize=config.step, maxIter=config.rounds, maxDepth=config.depth,
-        minInstancesPerNode=config.min_rows, validationIndicatorCol="_validation",
+        stepSize=config.step, maxDepth=config.depth, minInstancesPerNode=config.min_rows,
         seed=config.seed,
     )
-    if loss.weight_threshold is not None:
-        weight = sample_weights(F.col(SPREAD), threshold=loss.weight_threshold)
-        prepared = prepared.withColumn("_weight", weight)
+    prepared = frame
+    if loss.heavy_from is not None:
+        weight = sample_weights(F.col(SPREAD), threshold=loss.heavy_from)
+        prepared = frame.withColumn("_weight", weight)
         booster = booster.setWeightCol("_weight")
-    return booster.fit(prepared)
+    return _fit_patiently(
+        booster, prepared.where(~held_out), prepared.where(held_out), loss.kind, config
+    )
+
+
+def best_round(errors: Sequence[float], patience: int) -> int | None:
+    """Rounds up to the best error that ``patience`` later rounds do not beat, or None."""
+    best = min(range(len(errors)), key=errors.__getitem__)
+    for at, error in enumerate(errors[: best + 1]):
+        if at + patience < len(errors) and error <= min(errors[at : at + patience + 1]):
+            return at + 1
+    return None
+
+
+def _fit_patiently(booster, train: DataFrame, held_out: DataFrame, kind: str, config: BoostingConfig):
+    """Boost in growing runs until the stop is seen; equal seeds give equal first trees."""
+    rounds = min(config.first_rounds, config.rounds)
+    watched = not held_out.isEmpty()
+    if not watched:
+        return booster.setMaxIter(config.rounds).fit(train)
+    while True:
+        model = booster.setMaxIter(rounds).fit(train)
+        errors = model.evaluateEachIteration(held_out, kind)
+        stop = best_round(errors, config.patience)
+        if stop is None and rounds < config.rounds:
+            rounds = min(2 * rounds, config.rounds)
+            continue
+        if stop is None:
+            stop = min(range(len(errors)), key=errors.__getitem__) + 1
+        return model if stop == rounds else booster.setMaxIter(stop).fit(train)
+
+
+def _fit_huber(frame: DataFrame, config: BoostingConfig):
+    """Linear model whose squared loss turns linear at ``HUBER_DELTA`` of price.
+
+    Spark states the bend as a multiple of the residual scale that it fits as well, so
+    the multiple is set from the last fit's scale until it settles. It cannot go below 1.
+    """
+    bend = 1.35
+    for _ in range(config.scale_rounds):
+        model = LinearRegression(
+            featuresCol=VECTOR, labelCol=SPREAD, predictionCol="_point", loss="huber",
+            epsilon=bend, solver="l-bfgs", maxIter=config.linear_iterations,
+        ).fit(frame)
+        if model.hasSummary and model.summary.totalIterations >= config.linear_iterations:
+            raise RuntimeError("the linear fit needs more iterations")
+        wanted = max(HUBER_DELTA / max(model.scale, 1e-9), 1.0001)
+        if abs(wanted - bend) < 0.01 * bend:
+            break
+        bend = wanted
+    return model
 
 
 @dataclass(frozen=True)
@@ -157,7 +210,7 @@ class ConformalForecaster:
 
     def with_shrinkage(self, shrinkage: float) -> ConformalForecaster:
         if not 0 <= shrinkage <= 1:
-            raise ValueError("point shrinkage must be between 0 and 1")
+            raise ValueError("shrinkage lies in [0, 1]")
         return replace(self, point_shrinkage=shrinkage)
 
     def corrections(self, frame: DataFrame, name: str = "correction") -> DataFrame:
@@ -245,11 +298,11 @@ def fit_forecaster(
     ``calibration_days``, which then calibrate the bounds.
     """
     if not 0 < coverage < 1 or not 0 <= point_shrinkage <= 1:
-        raise ValueError("coverage must be inside (0, 1) and shrinkage inside [0, 1]")
+        raise ValueError("coverage lies in (0, 1), shrinkage in [0, 1]")
     days = day_index(frame)
     first_calibration = days.where(F.col("day_index") == F.col("days") - calibration_days).first()
     if first_calibration is None or first_calibration["day_index"] == 0:
-        raise ValueError("training requires more days than calibration_days")
+        raise ValueError("too few days: none is left before the calibration days")
     cut = F.lit(first_calibration["delivery_date"])
     prepared = with_vector(
         frame.withColumn(SPREAD, spread(target, reference)), features
@@ -284,10 +337,21 @@ def _fit_bounds(frame: DataFrame, coverage: float, config: BoostingConfig):
         maxDepth=config.interval_depth, minInstancesPerNode=config.min_rows, seed=config.seed,
     ).fit(frame)
     alpha = 1 - coverage
-    quantiles = F.percentile_approx(SPREAD, [alpha / 2, 1 - alpha / 2], SKETCH_ACCURACY)
-    rows = tree.transform(frame).groupBy(LEAF).agg(quantiles.alias("bounds"))
-    # At most 2 ** interval_depth rows.
-    return tree, {row[LEAF]: tuple(row["bounds"]) for row in rows.collect()}
+    # At most 2 ** interval_depth rows a bound.
+    leaves = durable(tree.transform(frame).select(LEAF, SPREAD))
+    low, high = (
+        {
+            row[LEAF]: row["bound"]
+            for row in order_statistic(leaves, SPREAD, _quantile_rank(q), by=[LEAF], name="bound").collect()
+        }
+        for q in (alpha / 2, 1 - alpha / 2)
+    )
+    return tree, {leaf: (low[leaf], high[leaf]) for leaf in low}
+
+
+def _quantile_rank(share: float):
+    """Rank of the smallest value that at least ``share`` of the rows do not pass."""
+    return lambda rows: F.greatest(F.ceil(rows * F.lit(share)) - 1, F.lit(0))
 
 
 def _leaf_columns(bounds: dict[float, tuple[float, float]]) -> tuple[Column, Column]:

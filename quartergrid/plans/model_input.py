@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartergrid.functions.timegrid import local_date
@@ -47,8 +47,11 @@ def model_input(
     intervals = normalise_quarters(used, entity=entity, policy=policy)
     last = tomorrow() if through is None else through
     rows = wide_rows(intervals, layout, entity=entity, through=last)
-    # One row per calendar date: at most 366 a year.
-    dated = calendar_columns(rows).join(F.broadcast(holidays), "delivery_date")
+    # One row per calendar date: at most 366 a year. A date that occurs twice would repeat days.
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("delivery_date")) > 1
+    stop = F.raise_error(F.lit("holidays hold a date twice")).cast("date")
+    once = holidays.withColumn("delivery_date", F.when(repeated, stop).otherwise(F.col("delivery_date")))
+    dated = calendar_columns(rows).join(F.broadcast(once), "delivery_date")
     return dated if columns is None else dated.select(*entity, *columns)
 
 

@@ -18,12 +18,15 @@ from quartergrid.market import OPERATIONAL_CUTOFF_HOUR, QUARTERS, TARGET
 
 
 def ready_days(wide: DataFrame, *, entity: Sequence[str] = ()) -> DataFrame:
-    """Days with all 96 feature rows."""
+    """Days on which each of the 96 quarters has one feature row."""
     return (
         wide.groupBy(*entity, "delivery_date")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") == QUARTERS)
-        .drop("_rows")
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            distinct_quarters(F.col("quarter_of_day")).alias("_quarters"),
+        )
+        .where((F.col("_rows") == QUARTERS) & (F.col("_quarters") == QUARTERS))
+        .drop("_rows", "_quarters")
     )
 
 

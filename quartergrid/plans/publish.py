@@ -12,7 +12,7 @@ from quartergrid.functions.timegrid import forecast_kind, local_start
 from quartergrid.market import LOWER, MODEL_DATA_VERSION, POINT, UPPER
 from quartergrid.operators.quality import invalid_intervals, require_none
 from quartergrid.plans.forecaster import ConformalForecaster
-from quartergrid.plans.pending import pending_forecasts
+from quartergrid.plans.pending import default_start, pending_forecasts
 from quartergrid.session import durable
 from quartergrid.sources.tables import DayTable
 
@@ -68,12 +68,21 @@ def publish_pending(
     input_version: int,
     end: date | Column,
     start: date | Column | None = None,
+    registered_at_millis: Column | None = None,
     prepare=lambda rows: rows,
     keys: Sequence[str] = ("delivery_date", "quarter_of_day"),
 ) -> int:
-    """Publish every ready day without a run. Run rows mark a day as published."""
+    """Publish every ready day without a run. Run rows mark a day as published.
+
+    Without ``start`` nothing before the first published day is published, or before the
+    day on which the model was registered if none is.
+    """
     run_table.create()
-    days = pending_forecasts(inputs, run_table.read(), start=start, end=end)
+    published = run_table.read()
+    if start is None:
+        registered = F.lit(None).cast("bigint") if registered_at_millis is None else registered_at_millis
+        start = default_start(published, registered).first()["start"]
+    days = pending_forecasts(inputs, published, start=start, end=end)
     rows = prepare(inputs.join(days, "delivery_date", "left_semi"))
     if rows.isEmpty():
         return 0

@@ -37,7 +37,7 @@ def request_plan(bounds: DataFrame, today: Column) -> DataFrame:
     """
     carried = [c for c in bounds.columns if c not in ("start", "end")]
     tomorrow = F.date_add(today, 1)
-    reversed_range = F.raise_error(F.lit("ingestion start cannot be after end")).cast("date")
+    reversed_range = F.raise_error(F.lit("the first requested day lies behind the last")).cast("date")
     start = F.when(F.col("start") > F.col("end"), reversed_range).otherwise(F.col("start"))
     capped = bounds.select(
         *carried,
@@ -90,4 +90,4 @@ def new_versions(incoming: DataFrame, stored: DataFrame, *, refresh: bool = Fals
 
 def require_refresh_bounds(refresh: bool, start: date | None, end: date | None) -> None:
     if refresh and (start is None or end is None):
-        raise ValueError("refresh requires an explicit start and end")
+        raise ValueError("a refresh names its first and its last day")

@@ -44,7 +44,7 @@ from quartergrid.plans.forecaster import (
 )
 from quartergrid.session import durable
 
-UNCHANGED = "EXAA unchanged"
+UNCHANGED = "reference as it is"
 
 
 @dataclass(frozen=True)

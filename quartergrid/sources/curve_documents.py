@@ -38,13 +38,16 @@ def parse_curves(raw: DataFrame, payload: Column | None = None) -> DataFrame:
     have no intervals. The first problem in document order decides.
     """
     payload = F.col("payload") if payload is None else payload
-    document = F.from_xml(payload, F.lit(DOCUMENT_SCHEMA), {"mode": "PERMISSIVE"})
+    document = F.from_xml(
+        payload, F.lit(DOCUMENT_SCHEMA), {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
+    )
     is_price = F.col("series").isin(*PRICE_SERIES)
     decoded = raw.withColumn("_doc", document).withColumn(
         "_broken",
         F.col("_doc").isNull()
         | F.col("_doc._corrupt_record").isNotNull()
-        | (F.trim(payload) == ""),
+        | (F.trim(payload) == "")
+        | ~_one_root(payload),
     )
     typed = decoded.withColumn(
         "_series",
@@ -103,10 +106,9 @@ def _typed_period(period: Column, is_price: Column) -> Column:
         F.coalesce(period["Point"], F.array()),
         lambda point: F.struct(
             _position(point["position"]).alias("position"),
-            F.when(is_price, point["price.amount"])
-            .otherwise(point["quantity"])
-            .try_cast("double")
-            .alias("value"),
+            _number(F.when(is_price, point["price.amount"]).otherwise(point["quantity"])).alias(
+                "value"
+            ),
         ),
     )
     day = F.col("delivery_date")
@@ -128,6 +130,22 @@ def _typed_period(period: Column, is_price: Column) -> Column:
     )
 
 
+def _one_root(payload: Column) -> Column:
+    """Nothing but white space and comments follows the first element, which closes once."""
+    body = F.regexp_replace(payload, r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
+    name = F.regexp_extract(body, r"<([^\s/>!?]+)", 1)
+    closing = F.concat(F.lit(r"</\Q"), name, F.lit(r"\E\s*>"))
+    parts = F.split(body, closing)
+    empty = F.regexp_like(body, F.lit(r"^\s*<[^<>]*/>\s*$"))
+    return empty | ((F.size(parts) == 2) & (F.trim(F.regexp_replace(F.get(parts, F.lit(1)), r"\s", "")) == ""))
+
+
+def _number(text: Column) -> Column:
+    """A decimal number; Java's type suffixes are not part of one."""
+    plain = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf(inity)?)\s*$"
+    return F.when(text.rlike(plain), text).try_cast("double")
+
+
 def _position(text: Column) -> Column:
     return F.when(F.trim(text).rlike(r"^[+-]?\d+$"), F.trim(text)).try_cast("int")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartergrid.functions.timegrid import iso_instant, local_date
+from quartergrid.functions.timegrid import NAIVE_PATTERN, iso_instant, local_date
 from quartergrid.market import (
     WEATHER_FALLBACK_MODEL,
     WEATHER_FIELDS,
@@ -31,7 +31,7 @@ _HOURLY = ", ".join(
     f"{name}: ARRAY<DOUBLE>" for field, _, _ in WEATHER_FIELDS for name in _names(field)
 )
 _LOCATION = (
-    "STRUCT<latitude: DOUBLE, longitude: DOUBLE, timezone: STRING, "
+    "STRUCT<latitude: STRING, longitude: STRING, timezone: STRING, "
     "utc_offset_seconds: DOUBLE, hourly_units: MAP<STRING, STRING>, "
     f"hourly: STRUCT<time: ARRAY<STRING>, {_HOURLY}>>"
 )
@@ -176,6 +176,9 @@ def _value_reason(value: Column) -> Column:
 def _place_reason(place: Column, expected: Column) -> Column:
     times = place["hourly"]["time"]
     instants = F.transform(times, _instant)
+    # Coordinates may be published as numbers or as numeric text.
+    latitude = place["latitude"].try_cast("double")
+    longitude = place["longitude"].try_cast("double")
     run = F.col("_run")
     wanted = F.transform(
         F.sequence(run, run + (HOURS - 1) * 3600, F.lit(3600).cast("bigint")),
@@ -190,10 +193,10 @@ def _place_reason(place: Column, expected: Column) -> Column:
         )
         .when(place["hourly"].isNull() | place["hourly_units"].isNull(), "no hourly values")
         .when(~place["hourly_units"]["time"].eqNullSafe(F.lit("iso8601")), "times are not ISO 8601")
-        .when(place["latitude"].isNull() | place["longitude"].isNull(), "no coordinates")
+        .when(latitude.isNull() | longitude.isNull(), "no coordinates")
         .when(
-            (F.abs(place["latitude"] - expected["latitude"]) > COORDINATE_TOLERANCE)
-            | (F.abs(place["longitude"] - expected["longitude"]) > COORDINATE_TOLERANCE),
+            (F.abs(latitude - expected["latitude"]) > COORDINATE_TOLERANCE)
+            | (F.abs(longitude - expected["longitude"]) > COORDINATE_TOLERANCE),
             "location order changed",
         )
         .when(times.isNull(), "no timestamps")
@@ -203,7 +206,7 @@ def _place_reason(place: Column, expected: Column) -> Column:
 
 
 def _instant(text: Column) -> Column:
-    naive = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm"))
+    naive = F.try_to_timestamp(text, F.lit(NAIVE_PATTERN))
     return F.coalesce(naive, iso_instant(text))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
@@ -10,32 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quartergrid.operators.versions import check_updates, latest_version, upsert
+from quartergrid.operators.versions import check_updates, upsert
 from quartergrid.session import durable
 
 MONTH = "delivery_month"
+WRITE = "write"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, location = _file_system(spark, path)
+    return files.exists(location)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the partition folders that a finished write has left."""
+    files, location = _file_system(spark, path)
+    names = (item.getPath().getName() for item in files.listStatus(location))
+    return sorted(name for name in names if "=" in name)
 
 
 def replace_folder(spark: SparkSession, source: str, target: str) -> None:
-    """Move a finished folder into place, replacing what was there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(path(target), True)
-    if not files.rename(path(source), path(target)):
+    """Move a finished folder into place; the old one is set aside until that has worked."""
+    files, new = _file_system(spark, source)
+    aside = f"{target}.before"
+    _, old = _file_system(spark, target)
+    _, spare = _file_system(spark, aside)
+    if files.exists(old):
+        files.delete(spare, True)
+        if not files.rename(old, spare):
+            raise OSError(f"could not set {target} aside")
+    if not files.rename(new, old):
+        files.rename(spare, old)
         raise OSError(f"could not move {source} to {target}")
+    files.delete(spare, True)
 
 
 @dataclass(frozen=True)
 class DayTable:
-    """Parquet table of daily rows, partitioned by delivery month.
+    """Parquet table of daily rows, partitioned by delivery month, with versions.
 
-    Date filters prune whole months, and a merge rewrites only the months it
-    touches. Writers are expected to run one at a time, as the job graph does.
+    Every commit writes the months it touches once, to a folder of its own, and then one
+    manifest row: the version, its schema, and the folders that hold each month. A reader
+    follows the last manifest row, so an interrupted write leaves the version before.
+    Date filters prune whole months. Writers are expected to run one at a time, as the job
+    graph does.
     """
 
     spark: SparkSession
@@ -47,43 +73,48 @@ class DayTable:
     def _commits(self) -> str:
         return f"{self.path}/_commits"
 
+    @property
+    def _data(self) -> str:
+        return f"{self.path}/data"
+
     def exists(self) -> bool:
         return path_exists(self.spark, self._commits)
 
     def create(self) -> None:
         """Create the table without rows unless it exists."""
         if not self.exists():
-            self._record("create")
+            self._record("create", self._declared(), [])
+
+    def log(self) -> DataFrame:
+        """All commits: version, operation, time, schema and parts."""
+        return self.spark.read.parquet(self._commits)
 
-    def read(self) -> DataFrame:
-        return self._stored().drop(MONTH)
+    def read(self, version: int | None = None) -> DataFrame:
+        """Rows of the last version, or of an earlier one."""
+        return self._stored(version).drop(MONTH)
 
     def version(self) -> int:
         """Number of the last commit, to be stored with whatever is derived from it."""
-        commits = self.spark.read.parquet(self._commits)
-        return commits.agg(F.max("version")).first()[0]
+        return self.log().agg(F.max("version")).first()[0]
 
     def append(self, rows: DataFrame) -> None:
-        self._write(rows, "append")
+        self._commit("append", rows, lambda part: True)
 
     def overwrite(self, rows: DataFrame) -> bool:
         """Replace everything; keep the last good rows when there are none to write.
 
-        Rows are materialised first: they may come from this table, and a failed
-        computation must not touch it. A new column layout replaces the old one.
+        A new column layout replaces the old one.
         """
-        finished = durable(rows)
-        if finished.isEmpty():
+        if rows.isEmpty():
             return False
-        self._write(finished, "overwrite")
+        self._commit("overwrite", rows, lambda part: False)
         return True
 
     def replace_months(self, rows: DataFrame) -> bool:
         """Replace only the months that occur in ``rows``."""
-        finished = durable(rows)
-        if finished.isEmpty():
+        if rows.isEmpty():
             return False
-        self._write(finished, "overwrite", partitionOverwriteMode="dynamic")
+        self._commit("overwrite", rows)
         return True
 
     def merge(self, updates: DataFrame, keys: Sequence[str]) -> None:
@@ -96,49 +127,65 @@ class DayTable:
         updates = durable(updates)
         check_updates(updates, keys)
         if not self.exists():
-            self._write(updates, "append")
+            self._commit("append", updates)
             return
         touched = updates.select(self._month().alias(MONTH)).distinct()
         months = [row[0] for row in touched.collect()]
         kept = self._stored().where(F.col(MONTH).isin(months)).drop(MONTH)
-        merged = durable(upsert(kept, updates.select(*kept.columns), keys))
-        self._write(merged, "overwrite", partitionOverwriteMode="dynamic")
+        self._commit("overwrite", upsert(kept, updates.select(*kept.columns), keys))
 
     def _month(self):
         return F.date_format(self.day, "yyyy-MM")
 
-    def _stored(self) -> DataFrame:
-        schema = self.schema
-        if isinstance(schema, str):
-            schema = StructType.fromDDL(schema)
+    def _declared(self) -> StructType:
+        return StructType.fromDDL(self.schema) if isinstance(self.schema, str) else self.schema
+
+    def _manifest(self, version: int | None = None):
+        """Manifest row of a version; one row per commit is looked through."""
+        rows = self.log() if version is None else self.log().where(F.col("version") == version)
+        newest = F.max_by(F.struct("version", "schema", "parts"), "version").alias("row")
+        found = rows.agg(newest).first()["row"]
+        if found is None:
+            raise ValueError(f"there is no version {version}")
+        return found
+
+    def _stored(self, version: int | None = None) -> DataFrame:
+        found = self._manifest(version) if self.exists() else None
+        schema = StructType.fromJson(json.loads(found["schema"])) if found else self._declared()
         fields = StructType(list(schema.fields)).add(MONTH, "string")
-        if not path_exists(self.spark, self.path):
+        if not found or not found["parts"]:
             return self.spark.createDataFrame([], fields)
-        return self.spark.read.schema(fields).parquet(self.path)
+        paths = [f"{self._data}/{part}" for part in found["parts"]]
+        stored = self.spark.read.schema(StructType(list(fields.fields)).add(WRITE, "string"))
+        return stored.option("basePath", self._data).parquet(*paths).drop(WRITE)
+
+    def _commit(self, operation: str, rows: DataFrame, keeps=None) -> None:
+        """Write the rows' months to a new folder, then name it in the manifest.
 
-    def _write(self, rows: DataFrame, mode: str, **options: str) -> None:
-        keep = self.version() if self.exists() else None
+        ``keeps`` tells which parts of the version before stay; by default those of other months.
+        """
+        earlier = list(self._manifest()["parts"]) if self.exists() else []
+        write = f"{WRITE}={uuid.uuid4().hex}"
         # Rebalancing splits a month, or a single day, that is larger than its share.
         (
             rows.withColumn(MONTH, self._month())
             .hint("rebalance", MONTH)
             .sortWithinPartitions(MONTH, self.day)
-            .write.mode(mode)
-            .options(**options)
-            .partitionBy(MONTH)
-            .parquet(self.path)
-        )
-        self._record(mode, keep)
-
-    def _record(self, operation: str, version: int | None = None) -> None:
-        if version is None and self.exists():
-            version = self.version()
-        row = self.spark.range(1).select(
-            F.lit(0 if version is None else version + 1).alias("version"),
-            F.lit(operation).alias("operation"),
-            F.current_timestamp().alias("committed_at"),
+            .write.partitionBy(MONTH)
+            .parquet(f"{self._data}/{write}")
         )
-        row.write.mode("append").parquet(self._commits)
+        months = _folders(self.spark, f"{self._data}/{write}")
+        keeps = keeps or (lambda part: part.rpartition("/")[2] not in months)
+        parts = [part for part in earlier if keeps(part)] + [f"{write}/{month}" for month in months]
+        self._record(operation, rows.schema, parts)
+
+    def _record(self, operation: str, schema: StructType, parts: list[str]) -> None:
+        number = self.version() + 1 if self.exists() else 0
+        row = self.spark.createDataFrame(
+            [(number, operation, schema.json(), parts)],
+            "version bigint, operation string, schema string, parts array<string>",
+        ).withColumn("committed_at", F.current_timestamp())
+        row.coalesce(1).write.mode("append").parquet(self._commits)
 
 
 MODEL_VERSION_SCHEMA = (
@@ -156,8 +203,9 @@ def log_model_version(spark: SparkSession, path: str, row: dict) -> None:
 
 def production_version(log: DataFrame) -> DataFrame:
     """Newest version that passed every promotion rule."""
-    promoted = log.where(F.size("promotion_reasons") == 0).withColumn("_all", F.lit(1))
-    return latest_version(promoted, ("_all",), "version").drop("_all")
+    promoted = log.where(F.size("promotion_reasons") == 0)
+    newest = promoted.agg(F.max_by(F.struct(*log.columns), "version").alias("row"))
+    return newest.where(F.col("row").isNotNull()).select("row.*")
 
 
 def named_query(
