@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.llm.tokens import worker_tokens
-from quartergrid.llm.words import slices
+from quartergrid.llm.words import SLICE_BYTES, slices
 
 END_ID = 2
 WINDOW = 1024
@@ -158,7 +158,7 @@ def pack(
         number = TaskContext.get().partitionId() << 33
         ready: list[list[Piece]] = []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES // 2):
                 for piece in _pieces(part, tokenizer_path, end_id):
                     ready.extend(packer.add(piece))
                 if ready:

@@ -46,7 +46,7 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError(f"a segment may hold {total} distinct ids, found {len(present)}")
     shares = 1 + counts * (total - len(present)) // max(len(ids), 1)
     left = total - int(shares.sum())
-    if left:
+    if left and len(present):
         shares[np.argsort(-counts, kind="stable")[np.arange(left) % len(present)]] += 1
     return present, shares
 

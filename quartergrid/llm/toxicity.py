@@ -141,6 +141,8 @@ def units(texts: pa.Array) -> Units:
     own = core.indices.to_numpy(zero_copy_only=False)[codes]
     sizes = np.array([len(s) for s in strings], np.int64)
     text_of = np.repeat(np.arange(len(counts)), counts)
+    worded = sizes[own] > 0
+    own, text_of = own[worded], text_of[worded]
     extra_text, extra = [], []
     for code in np.flatnonzero(sizes > WINDOW):
         s = strings[code]
@@ -168,7 +170,7 @@ def units(texts: pa.Array) -> Units:
 
 
 def document_features(margins: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per text: the two largest margins of distinct units, the sum of margins above 0, and the number of units."""
+    """Per text: the two largest margins of distinct units, the sums of margins from 0.25 and from 0 on, and the number of units."""
     text_of = np.repeat(np.arange(len(counts)), counts)
     top = margins[codes] if len(codes) else np.zeros(0)
     first = np.full(len(counts), -1.0)
@@ -179,7 +181,8 @@ def document_features(margins: np.ndarray, codes: np.ndarray, counts: np.ndarray
     other = codes != leading[text_of]
     np.maximum.at(second, text_of[other], top[other])
     above = np.bincount(text_of, np.clip(top, 0, 1), len(counts))
-    columns = [np.clip(first, -1, 1), np.clip(second, -1, 1), np.log1p(above), np.log1p(counts), np.ones(len(counts))]
+    strong = np.bincount(text_of, np.clip(2 * top - 0.5, 0, 1), len(counts))
+    columns = [np.clip(first, -1, 1) + np.clip(second, -1, 1), np.log1p(strong), np.log1p(above), np.log1p(counts), np.ones(len(counts))]
     return np.stack(columns, axis=1)
 
 
@@ -196,8 +199,10 @@ def fit(texts: list[str], toxic: list[int], training: Training = Training()) ->
     in_clean = np.bincount(seen_unit[~label[seen_text]], minlength=n)
     weight = in_toxic * np.log(((in_toxic + 0.5) / (label.sum() + 1)) / ((in_clean + 0.5) / ((~label).sum() + 1)))
     usable = np.array([training.order <= len(s) <= WINDOW for s in data.strings], bool)
+    weight = np.where(in_toxic >= min(2, in_toxic.max(initial=0)), weight, np.minimum(weight, 0.0))
     landmarks = _landmarks(data.strings, np.where(usable, weight, -np.inf), in_clean, training)
-    telling = usable & (in_toxic / max(label.sum(), 1) > 10 * in_clean / max((~label).sum(), 1))
+    often = in_toxic >= min(2, in_toxic.max(initial=0))
+    telling = usable & often & (in_toxic / max(label.sum(), 1) > 10 * in_clean / max((~label).sum(), 1))
     ranked = np.argsort(-np.where(telling, weight, -np.inf), kind="stable")[: min(int(telling.sum()), training.units // 2)]
     ordinary = usable & ~telling & (in_clean > 0)
     clean = np.argsort(-np.where(ordinary, in_clean, -1), kind="stable")[: int(ordinary.sum())]

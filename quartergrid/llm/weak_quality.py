@@ -141,7 +141,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> Vot
     as the data says that a labeller seldom votes low on a high text; without it the
     faults that only one labeller sees would count as that labeller's mistakes.
     """
-    trust = counts.sum() * np.array([0.002, 0.898, 0.1])
+    cast = np.stack([((patterns == v) * counts[:, None]).sum(axis=0) for v in (HIGH, ABSTAIN)], axis=1) + 1e-9
+    trust = counts.sum() * np.hstack([np.full((len(cast), 1), 0.002), 0.998 * cast / cast.sum(axis=1, keepdims=True)])
     high = np.where((patterns == LOW).any(axis=1), 0.1, 0.95)
     model = VoteModel(0.5, np.full((patterns.shape[1], 2, 3), 1 / 3))
     for _ in range(rounds):
