@@ -257,7 +257,7 @@ def hourly_hold_fill(spark, folder):
 
 @query(
     "circular_mean",
-    "A4 X11 X14 Q4",
+    "A4 X11 X14",
     with_ctes(
         s.events_cte(s.WINTER),
         select="""SELECT user_id, round(((degrees(atan2(ms, mc)) % 360) + 360) % 360, 6) AS direction,
@@ -313,7 +313,7 @@ def calendar_features(spark, folder):
 
 @query(
     "holiday_ranges",
-    "K6 J5 Q13 S18",
+    "K6 J5",
     with_ctes(s.HOLIDAY_CTE, select="SELECT * FROM holidays"),
 )
 def holiday_ranges(spark, folder):

@@ -308,7 +308,7 @@ _DAILY = """SELECT CAST(o_orderdate AS DATE) AS delivery_date, o_orderstatus AS
 
 @query(
     "stored_table_merge",
-    "S2 S3 S5 S6 S7 S8 S9 S14 J17",
+    "S2 S3 S6 S8 S9 S14 J17",
     f"""WITH stored AS ({_DAILY} WHERE o_orderpriority <> '1-URGENT' GROUP BY 1, 2),
 updates AS ({_DAILY} WHERE o_orderdate >= DATE '2000-01-01' GROUP BY 1, 2)
 SELECT *, 3::BIGINT AS version FROM updates

@@ -183,7 +183,7 @@ def payload_quarantine(spark, folder):
 
 @query(
     "accepted_batch",
-    "P19 I3 S5",
+    "P19 I3",
     with_ctes(
         CURVE_CTE,
         select="""SELECT delivery_date, series FROM states WHERE status = 'accepted'
@@ -285,7 +285,7 @@ def _values_rows() -> str:
 
 @query(
     "json_weather_rows",
-    "P10 P11 P12 P13 P14 P15 P16 S20",
+    "P10 P13 P14 P15 P16 S20",
     with_ctes(
         f"""counts AS (SELECT CAST(ts AS DATE) AS run, extract(hour FROM ts) AS h, count(*) AS n
   FROM events GROUP BY 1, 2)""",

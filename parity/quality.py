@@ -97,7 +97,7 @@ def day_quality(spark, folder):
 
 @query(
     "snapshot_problems",
-    "Q8 S10 S11 A10",
+    "Q8 A10",
     with_ctes(
         DAYS_CTE,
         f"profile AS ({_PROFILE.replace('GROUP BY', 'WHERE delivery_date <= DATE %s GROUP BY')})".replace(

@@ -308,7 +308,7 @@ def bootstrap_gain_ci(spark, folder):
 
 @query(
     "loss_table",
-    "M15 M13 M12 T5 S13",
+    "M15 M13 M12 T5",
     with_ctes(
         EVENT_SHIFT_CTE.replace("event_type, delivery_date", "event_type AS point_loss, delivery_date"),
         """hold AS (SELECT * FROM sh WHERE delivery_date >= DATE '2024-01-16')""",

@@ -192,7 +192,7 @@ def _model_mae(spark, folder):
 
 @query(
     "evaluate_days",
-    "M8 M9 M10 J12 J13 W5 W6 W7 F13 A16 T4 Q10",
+    "M8 M9 M10 J12 J13 W5 W6 W7 A16 T4 Q10",
     with_ctes(
         GRIDS_CTE,
         f"""fresh AS (SELECT b.*, r.model_version, r.forecast_kind, r.o, r.z FROM both_grids b JOIN (
