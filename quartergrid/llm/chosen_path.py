@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartergrid.llm.components import components, look_up
+from quartergrid.llm.components import components
+from quartergrid.llm.joins import look_up, sized
 from quartergrid.llm.token_files import fresh_path
 from quartergrid.llm.words import factorize, grouped, slices
 from quartergrid.session import durable
@@ -32,25 +34,31 @@ ROW_BATCH = 4096
 
 @dataclass(frozen=True)
 class JoinPlan:
-    """``recall`` is that of one pair at the threshold over all runs, two levels deep."""
+    """``recall`` is that of one pair at the threshold over all runs, in buckets that need no second split.
+
+    A set whose sketch agrees with a leader's in ``absorbed`` of its places is left to the
+    leader: by the triangle inequality for Jaccard distances its partners come near the
+    leader too, and ``coarse`` is low enough to see that.
+    """
 
     words: int = 5
     similarity: float = 0.8
-    recall: float = 0.9999
+    recall: float = 0.99999
     first_sample: float = 2.0
     later_sample: float = 1.25
     levels: int = 4
     leaf: int = 64
     block: int = 256
-    coarse: float = 0.55
+    coarse: float = 0.45
+    absorbed: float = 0.8
+    absorbing_runs: int = 2
 
     def samples(self) -> list[float]:
         return [self.first_sample] + [self.later_sample] * (self.levels - 1)
 
     def runs(self) -> int:
         shared = 2 * self.similarity / (1 + self.similarity)
-        met = [1 - math.exp(-shared * c) for c in self.samples()[:2]]
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - math.prod(met)))
+        return math.ceil(math.log(1 - self.recall) / (-shared * self.first_sample))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -98,7 +106,7 @@ def set_name(items: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(items.tobytes())
 
 
-SIGNATURE = "doc_id long, set_id binary, size int, sketch binary, picks array<array<long>>"
+SIGNATURE = "doc_id long, set_id binary, size int, sketch binary, picks array<array<int>>"
 
 
 def signatures(docs: DataFrame, plan: JoinPlan, doc_id: str, text: str) -> DataFrame:
@@ -118,7 +126,7 @@ def signatures(docs: DataFrame, plan: JoinPlan, doc_id: str, text: str) -> DataF
                         pa.array([set_name(x) for x in sets], pa.binary()),
                         pa.array([len(x) for x in sets], pa.int32()),
                         pa.array([_sketch(x, orders) for x in sets], pa.binary()),
-                        pa.array([_picked(x, multipliers, picks) for x in sets], pa.list_(pa.list_(pa.int64()))),
+                        pa.array([_picked(x, multipliers, picks) for x in sets], pa.list_(pa.list_(pa.int32()))),
                     ],
                     ["doc_id", "set_id", "size", "sketch", "picks"],
                 )
@@ -149,7 +157,7 @@ def _picked(items: np.ndarray, multipliers: np.ndarray, samples: np.ndarray) ->
             low = ((part[None, :] * multipliers[:, None]) >> np.uint64(11)) < bars[:, None]
             which, where = np.nonzero(low)
             ends = np.searchsorted(which, np.arange(len(samples) + 1))
-            values = part[where].view(np.int64)
+            values = part[where].astype(np.uint32).view(np.int32)
             for k in range(len(samples)):
                 found[k].append(values[ends[k] : ends[k + 1]])
     return [np.concatenate(f) for f in found]
@@ -179,31 +187,82 @@ def class_table(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str = "doc
     )
     distinct.write.parquet(place)
     sets = spark.read.parquet(place)
-    coarse = components(_search(_leaves(sets, plan), sets, plan))
+    edges, gone = _absorbed(sets, plan)
+    active = sets.join(sized(gone), "set_id", "left_anti")
+    leaves, more = _leaves(active, plan)
+    coarse = components(_search(leaves, active, plan).unionByName(edges).unionByName(more))
     return _answer(signed, sets, _verified(docs, sets, coarse, plan, doc_id, text))
 
 
-def _leaves(sets: DataFrame, plan: JoinPlan) -> DataFrame:
-    """``bucket, set_id, members`` of all buckets that are not split further and hold two sets or more."""
+def _buckets(rows: DataFrame, plan: JoinPlan, level: int) -> DataFrame:
+    """Rows of the buckets that the sets' picks of one level open below ``bucket``."""
+    item = F.explode(F.element_at("picks", F.col("run") * plan.levels + level + 1))
+    return rows.withColumn("item", item).withColumn("bucket", F.xxhash64("bucket", F.lit(level), "item")).drop("item", "picks")
+
+
+def _with_leaders(split: DataFrame, plan: JoinPlan) -> DataFrame:
+    """``bucket, a, order, leader, alike``: every set's likeness to the leaders of its ``bucket``.
+
+    The leader is a bucket's first set in the order of a hash, so this is linear in the rows
+    of a bucket. Only likeness of ``coarse`` or more is returned.
+    """
+    first = F.struct(F.xxhash64("set_id").alias("order"), F.col("set_id").alias("leader"), F.col("sketch").alias("of"))
+    leaders = split.groupBy("bucket").agg(F.min(first).alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = look_up(
+        split.withColumnRenamed("bucket", "key").withColumnRenamed("set_id", "node"),
+        durable(leaders.select(F.col("bucket").alias("node"), "component")),
+    ).select(F.col("key").alias("bucket"), F.col("node").alias("a"), "sketch", "found.*").where("a <> leader")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, of = (np.frombuffer(b"".join(batch[c].to_pylist()), "u1").reshape(-1, SKETCH) for c in ("sketch", "of"))
+            alike = (own == of).mean(axis=1)
+            found = batch.select(["bucket", "a", "order", "leader"]).append_column("alike", pa.array(alike))
+            yield found.filter(pa.array(alike >= plan.coarse))
+
+    return durable(pairs.mapInArrow(near, "bucket long, a binary, order long, leader binary, alike double"))
+
+
+def _absorbed(sets: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
+    """Edges ``a, b`` to leaders, and the sets ``a`` that are left to a leader which is left to none.
+
+    This takes large groups of near copies apart before any bucket is searched in full.
+    """
+    runs = F.explode(F.sequence(F.lit(0), F.lit(plan.absorbing_runs - 1)))
+    rows = sets.select("set_id", "sketch", "picks", runs.alias("run")).withColumn("bucket", F.col("run").cast("long"))
+    found = _with_leaders(_buckets(rows, plan, 0), plan)
+    near = found.where(F.col("alike") >= plan.absorbed)
+    best = durable(near.groupBy("a").agg(F.min(F.struct("order", "leader"))["leader"].alias("b")))
+    gone = best.join(sized(best.select(F.col("a").alias("b"))), "b", "left_anti").select(F.col("a").alias("set_id"))
+    return found.select("a", F.col("leader").alias("b")).distinct(), durable(gone)
+
+
+def _leaves(sets: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
+    """``bucket, set_id, members`` of all buckets that are not split further and hold two sets or more.
+
+    And edges ``a, b``: before a large bucket is split its sets are compared with its leader,
+    and those very near it are left to it there. So near copies do not go down together.
+    """
     runs = F.explode(F.sequence(F.lit(0), F.lit(plan.runs() - 1)))
     rows = sets.select("set_id", "picks", runs.alias("run")).withColumn("bucket", F.col("run").cast("long"))
-    leaves = []
+    leaves, edges = [], [sets.sparkSession.createDataFrame([], "a binary, b binary")]
     for level in range(plan.levels):
-        item = F.explode(F.element_at("picks", F.col("run") * plan.levels + level + 1))
-        split = rows.withColumn("item", item).select(
-            "set_id", "run", F.xxhash64("bucket", F.lit(level), "item").alias("bucket")
-        )
+        split = _buckets(rows, plan, level).select("set_id", "run", "bucket")
         counts = durable(split.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-        is_leaf = F.lit(True) if level == plan.levels - 1 else F.col("members") <= plan.leaf
-        leaves.append(durable(split.select("set_id", "bucket").join(counts.where(is_leaf), "bucket")))
-        large = counts.where(~is_leaf).select("bucket")
+        small = F.col("members") <= plan.leaf
+        leaves.append(durable(split.select("set_id", "bucket").join(counts.where(small), "bucket")))
+        large = counts.where(~small).select("bucket")
         if large.isEmpty():
-            break
-        rows = durable(split.join(large, "bucket", "left_semi")).join(sets.select("set_id", "picks"), "set_id")
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out
+            return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges)
+        kept = durable(split.join(sized(large), "bucket", "left_semi"))
+        found = _with_leaders(kept.join(sets.select("set_id", "sketch"), "set_id"), plan)
+        edges.append(found.select("a", F.col("leader").alias("b")).distinct())
+        taken = found.where(F.col("alike") >= plan.absorbed).select("bucket", F.col("a").alias("set_id"))
+        kept = durable(kept.join(taken, ["bucket", "set_id"], "left_anti"))
+        rows = kept.join(sets.select("set_id", "picks"), "set_id")
+    counts = durable(kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    leaves.append(durable(kept.select("set_id", "bucket").join(sized(counts), "bucket")))
+    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges)
 
 
 def _blocks(rows: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -257,18 +316,20 @@ def _search(leaves: DataFrame, sets: DataFrame, plan: JoinPlan) -> DataFrame:
 
 
 def _leaders(sketches: np.ndarray, plan: JoinPlan) -> list[tuple[int, int]]:
-    """Pairs (set, leader) with similar sketches.
+    """Pairs (set, root) that join what has sketches similar to a leader's.
 
-    What is nearer to the leader than to any set that the leader would miss leaves the
-    search: by the triangle inequality its other partners are the leader's as well.
+    Sets very near a leader are left to it, as in :class:`JoinPlan`.
     """
-    left, pairs = np.arange(len(sketches)), []
+    left, root = np.arange(len(sketches)), np.arange(len(sketches))
     while len(left) > 1:
         leader, left = left[0], left[1:]
         alike = (sketches[left] == sketches[leader]).mean(axis=1)
-        pairs += [(int(x), int(leader)) for x in left[alike >= plan.coarse]]
-        left = left[alike < 0.9]
-    return pairs
+        joined = np.append(left[alike >= plan.coarse], leader)
+        roots = np.unique(root[joined])
+        root[np.isin(root, roots)] = roots[0]
+        left = left[alike < plan.absorbed]
+    apart = np.flatnonzero(root != np.arange(len(root)))
+    return list(zip(apart.tolist(), root[apart].tolist()))
 
 
 LINKED = "a binary, b binary, links long"
@@ -388,5 +449,5 @@ def _answer(signed: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that name their class: one document of each class, with all columns."""
-    kept = class_table(docs, plan, doc_id, text).where("doc_id <=> class_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept.distinct(), docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
+    gone = durable(class_table(docs, plan, doc_id, text).where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(sized(gone), docs[doc_id].eqNullSafe(F.col("_gone")), "left_anti")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartergrid.llm.joins import look_up
 from quartergrid.session import durable
 
-SALTS = 16
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of all nodes of ``edges(a, b)``: the smallest id connected with each.
@@ -35,14 +34,3 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", F.col("new").alias("component"))
         if not moved:
             return labels
-
-
-def look_up(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add the label of ``key`` as ``found``; labels are copied once per salt."""
-    salted = labels.select(
-        F.col("node").alias("key"),
-        F.col("component").alias("found"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    other = next(c for c in ("b", "node") if c in rows.columns)
-    return rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
