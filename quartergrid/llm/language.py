@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartergrid.llm.words import factorize, slices, sums
+from quartergrid.llm.words import SLICE_BYTES, factorize, gather, slices, sums
 
 UNKNOWN = "und"
 TABLE_BITS = 17
@@ -30,7 +30,7 @@ OUTER = "[^\\p{L}]+"
 class Training:
     """``documents`` bounds the labelled rows of each language that the model is fitted on."""
 
-    documents: int = 400
+    documents: int = 300
     epochs: int = 3
     batch_words: int = 40_000
     rate: float = 0.5
@@ -198,11 +198,11 @@ def fit(texts: list[str], labels: list[str], training: Training = Training()) ->
         np.zeros((size, size)),
         np.zeros((size, size)),
     )
-    grams = list(data.words.ngrams())
-    owner, rows = (np.concatenate(x) for x in zip(*grams)) if grams else (np.zeros(0, int),) * 2
-    sequence = np.argsort(owner, kind="stable")
-    owner, rows = owner[sequence], rows[sequence]
-    gram_ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+    # Table rows of all n-grams by length, and where each word's begin.
+    grams = [
+        (rows.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]))
+        for owner, rows in data.words.ngrams()
+    ]
     scale = data.words.scale()
     steps = [np.full(p.shape, 1e-3) for p in (model.weights, model.lexicon_weights, model.transitions)]
     random = np.random.default_rng(training.seed)
@@ -210,7 +210,9 @@ def fit(texts: list[str], labels: list[str], training: Training = Training()) ->
     for epoch in range(training.epochs):
         emissions = model.emissions(data.words)
         if epoch:
-            sure, _ = forward_backward(emissions[data.codes], model.transitions, data.starts, data.lengths)
+            sure, _ = forward_backward(
+                emissions.astype(np.float32)[data.codes], model.transitions.astype(np.float32), data.starts, data.lengths
+            )
             right = sums(sure[np.arange(len(gold)), gold], data.lengths) / data.lengths
             usable = right >= 0.1
         mixed = random.permutation(np.flatnonzero(usable))
@@ -230,9 +232,9 @@ def fit(texts: list[str], labels: list[str], training: Training = Training()) ->
             joined = joined[joined > 0]
             starts = np.cumsum(joined) - joined
             used, code = np.unique(data.codes[at], return_inverse=True)
-            spans = gram_ends[used + 1] - gram_ends[used]
-            pick = np.repeat(gram_ends[used] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
-            part_rows, part_owner = rows[pick], np.repeat(np.arange(len(used)), spans)
+            spans = [ends[used + 1] - ends[used] for _, ends in grams]
+            part_rows = np.concatenate([gather(g, ends[used], k) for (g, ends), k in zip(grams, spans)])
+            part_owner = np.concatenate([np.repeat(np.arange(len(used)), k) for k in spans])
             e = np.stack([np.bincount(part_owner, model.weights[part_rows, k], len(used)) for k in range(size)], axis=1)
             e *= scale[used][:, None]
             where = np.minimum(np.searchsorted(model.lexicon_words, data.words.hashes[used]), max(len(model.lexicon_words) - 1, 0))
@@ -294,20 +296,30 @@ def label_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES // 2):
                 yield _labelled(part, shared.value)
 
     return rows.mapInArrow(tasks, PREDICTED)
 
 
-def _labelled(part: pa.RecordBatch, model: Model) -> pa.RecordBatch:
-    found = chains(part["text"])
+def distributions(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's distribution over the languages, and words per text."""
+    found = chains(texts)
     sure, _ = forward_backward(
         model.emissions(found.words)[found.codes].astype(np.float32), model.transitions.astype(np.float32), found.starts, found.lengths
     )
-    words = found.text_words
-    share = np.stack([sums(sure[:, k].astype(float), words) for k in range(len(model.languages))], axis=1)
-    share /= np.maximum(words, 1)[:, None]
+    return sure, found.text_words
+
+
+def share_of(sure: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Each text's mean distribution; zeros for a text without words."""
+    share = np.stack([sums(sure[:, k].astype(float), words) for k in range(sure.shape[1])], axis=1)
+    return share / np.maximum(words, 1)[:, None]
+
+
+def _labelled(part: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+    sure, words = distributions(part["text"], model)
+    share = share_of(sure, words)
     best = share.argmax(axis=1)
     likely = sure.argmax(axis=1)
     text_of = np.repeat(np.arange(len(words)), words)
@@ -334,8 +346,14 @@ def _labelled(part: pa.RecordBatch, model: Model) -> pa.RecordBatch:
     )
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` with a language that holds at least ``least`` of their words."""
-    named = label_documents(docs, model, doc_id, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    kept = named.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a language that holds at least ``least`` of their words, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, SLICE_BYTES // 2):
+                sure, words = distributions(part[text], shared.value)
+                yield part.filter(pa.array((words > 0) & (share_of(sure, words).max(axis=1, initial=0.0) >= least)))
+
+    return docs.mapInArrow(tasks, docs.schema)
