@@ -1,9 +1,10 @@
 """Exact dedup by content sort.
 
 Sampled splitters range-partition the normalised texts, an external sort places equal
-texts side by side, and each run of full equals becomes one row. The splitters hold a
-salt beside the text, so a text that fills a third of the table is cut over many ranges;
-its few remaining rows, one per salt, meet again on their digest.
+texts side by side, and each run of full equals becomes one row. A splitter is the head of a
+text, its digest and a salt. So the driver sees no whole text of the sample, and a text that
+fills a third of the table is cut over many ranges; its few remaining rows, one per salt,
+meet again on their digest.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartergrid.llm.joins import sized
+from quartergrid.session import durable
+
 BLANKS = " \t\n\x0b\x0c\r"
+HEAD = 64
 
 
 def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,18 +37,18 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     each = docs.select(
         docs[doc_id].alias("doc_id"),
         normal.alias("content"),
+        F.substring(normal, 1, HEAD).alias("head"),
         F.struct(-F.length(original), docs[doc_id].isNull(), docs[doc_id].alias("id")).alias("rank"),
         F.sha2(normal, 256).alias("text_sha256"),
         F.pmod(F.xxhash64(docs[doc_id]), F.lit(salts)).alias("salt"),
     )
     runs = (
-        each.repartitionByRange("content", "salt")
-        .sortWithinPartitions("content", "salt")
-        .groupBy("content", "salt")
+        each.repartitionByRange("head", "text_sha256", "salt")
+        .sortWithinPartitions("head", "text_sha256", "content", "salt")
+        .groupBy("head", "text_sha256", "content", "salt")
         .agg(
             F.min("rank").alias("rank"),
             F.count(F.lit(1)).alias("copies"),
-            F.first("text_sha256").alias("text_sha256"),
         )
     )
     equals = Window.partitionBy("text_sha256")
@@ -68,5 +73,5 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose document stays, with all their columns."""
-    stays = mark_copies(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stays.distinct(), docs[doc_id].eqNullSafe(F.col("_stays")), "left_semi")
+    gone = durable(mark_copies(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(sized(gone), docs[doc_id].eqNullSafe(F.col("_gone")), "left_anti")
