@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,9 @@ class Shape:
     """``pivots`` bounds the cells; a tree holds ``tree`` vectors, a page ``page``, a group ``queries`` queries."""
 
     pivots: int = 32
-    tree: int = 1024
-    page: int = 128
-    fanout: int = 8
+    tree: int = 4096
+    page: int = 256
+    fanout: int = 16
     queries: int = 8192
 
 
@@ -44,11 +44,13 @@ def scaled(embedding: Column, scale: int) -> Column:
     return F.when(usable, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows with a vector, in floating point while that is exact."""
-    reach = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(left.shape[-1], 1)
-    if reach < EXACT:
-        return np.rint(left @ right).astype(np.int64)
+def products(left: np.ndarray, right: np.ndarray, largest: float) -> np.ndarray:
+    """Exact integer inner products of rows with a vector, in floating point while that is exact.
+
+    ``largest`` bounds the rows' components.
+    """
+    if largest * np.abs(right).max(initial=0) * max(left.shape[-1], 1) < EXACT:
+        return (left @ right).astype(np.int64)
     exact = left.astype(object) @ right.astype(object)
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
@@ -62,6 +64,10 @@ class Page:
     parent_distances: np.ndarray
     radii: np.ndarray  # of children; empty in a leaf
     below: np.ndarray  # page numbers of children, or ids of each vector
+    largest: float = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.largest = float(np.abs(self.vectors).max(initial=0.0))
 
 
 def lifted(vectors: np.ndarray, top: float) -> np.ndarray:
@@ -128,14 +134,17 @@ def search(pages: list[Page], root: np.ndarray, query: np.ndarray, k: int, top:
                 if low <= bound + slack:
                     heapq.heappush(queue, (max(low, least), int(page.below[entry]), gap))
             continue
-        scores = products(page.vectors[open_], query)
+        held = page.vectors if len(open_) == len(page.vectors) else page.vectors[open_]
+        scores = products(held, query, page.largest)
         if len(best_ids) == k:
-            better = scores >= best_scores[-1]
+            better = np.flatnonzero(scores >= best_scores[-1])
+            if not len(better):
+                continue
             scores, open_ = scores[better], open_[better]
         owners = page.below[open_]
-        held = owners != NONE
-        scores = np.concatenate([best_scores, np.repeat(scores, held.sum(axis=1))])
-        names = np.concatenate([best_ids, owners[held]])
+        named = owners != NONE
+        scores = np.concatenate([best_scores, np.repeat(scores, named.sum(axis=1))])
+        names = np.concatenate([best_ids, owners[named]])
         order = np.lexsort((names, -scores))[:k]
         best_scores, best_ids = scores[order], names[order]
         if len(order) == k:
