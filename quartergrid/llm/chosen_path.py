@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.llm.components import components
-from quartergrid.llm.joins import look_up, sized
+from quartergrid.llm.joins import keyed, look_up, sized
 from quartergrid.llm.token_files import fresh_path
 from quartergrid.llm.words import factorize, grouped, slices
 from quartergrid.session import durable
@@ -447,7 +447,21 @@ def _answer(signed: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     return full.unionByName(blank)
 
 
-def drop_near_copies(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that name their class: one document of each class, with all columns."""
-    gone = durable(class_table(docs, plan, doc_id, text).where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized(gone), docs[doc_id].eqNullSafe(F.col("_gone")), "left_anti")
+def drop_near_copies(
+    docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str = "doc_id", text: str = "text", row: str | None = None
+) -> DataFrame:
+    """One row of ``docs`` of each class, with all columns: that of the smallest id, a null id last.
+
+    Classes are those of rows, which ``row`` tells apart; if no column does, a keyed copy of
+    ``docs`` is written. Rows with the same or a null id are compared by their own texts,
+    and rows without shingles all stay.
+    """
+    if row is None:
+        return drop_near_copies(durable(keyed(docs, "_row")), plan, doc_id, text, "_row").drop("_row")
+    classes = class_table(docs, plan, row, text).where("class_size > 1").select(F.col("doc_id").alias("_row"), "class_id")
+    ids = docs.select(docs[row].alias("_row"), docs[doc_id].alias("_id"))
+    among = durable(classes.join(ids, "_row"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"]
+    stays = among.groupBy("class_id").agg(first.alias("_row")).select("_row")
+    gone = durable(among.select("_row").join(stays, "_row", "left_anti").withColumnRenamed("_row", "_gone"))
+    return docs.join(sized(gone), docs[row] == F.col("_gone"), "left_anti")

@@ -71,7 +71,28 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document stays, with all their columns."""
-    gone = durable(mark_copies(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized(gone), docs[doc_id].eqNullSafe(F.col("_gone")), "left_anti")
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """Rows of ``docs`` whose document stays, with all their columns.
+
+    A row is judged by its own text: a row with the same or a null id and another text is
+    not touched. With ``row``, a column that is different in every row, exactly one row of
+    each group stays: of those that :func:`mark_copies` keeps, the first by ``row``.
+    Without it rows that repeat the id and the text of the staying row stay too.
+    """
+    digest = F.sha2(F.translate(F.coalesce(docs[text], F.lit("")), BLANKS, ""), 256)
+    marked = mark_copies(docs, doc_id, text)
+    if row is None:
+        gone = marked.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_of")).distinct()
+        return docs.join(sized(durable(gone)), docs[doc_id].eqNullSafe(F.col("_gone")) & (digest == F.col("_of")), "left_anti")
+    copied = durable(marked.where("group_size > 1").select("text_sha256").distinct())
+    each = docs.select(
+        docs[row].alias("_row"),
+        digest.alias("text_sha256"),
+        F.struct(
+            -F.length(F.coalesce(docs[text], F.lit(""))), docs[doc_id].isNull(), docs[doc_id].alias("id"), docs[row].alias("row")
+        ).alias("rank"),
+    )
+    among = durable(each.join(sized(copied), "text_sha256"))
+    stays = among.groupBy("text_sha256").agg(F.min("rank")["row"].alias("_row")).select("_row")
+    gone = durable(among.select("_row").join(stays, "_row", "left_anti").withColumnRenamed("_row", "_gone"))
+    return docs.join(sized(gone), docs[row] == F.col("_gone"), "left_anti")

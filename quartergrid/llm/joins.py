@@ -19,6 +19,11 @@ def look_up(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
 
 
+def keyed(rows: DataFrame, name: str = "row_key") -> DataFrame:
+    """Add a number of its own to every row. It is fixed only once the rows are written."""
+    return rows.withColumn(name, F.monotonically_increasing_id())
+
+
 def sized(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """Mark ``rows`` for broadcasting if it counts at most ``most`` narrow rows."""
     return F.broadcast(rows) if rows.count() <= most else rows

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartergrid.llm.joins import keyed
 from quartergrid.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,6 +78,7 @@ def mix(
     seed: str = SEED,
     cycle: tuple[int, ...] = CYCLE,
     most: int = MOST,
+    row: str | None = None,
 ) -> DataFrame:
     """Copies of each document in the mix, one row per input row.
 
@@ -94,7 +96,8 @@ def mix(
             docs[doc_id].alias("doc_id"),
             docs[source].alias("source"),
             F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.pmod(F.xxhash64(docs[doc_id]), F.lit(SALTS)).cast("int").alias("_salt"),
+            F.pmod(F.xxhash64(docs[doc_id] if row is None else docs[row]), F.lit(SALTS)).cast("int").alias("_salt"),
+            *([] if row is None else [docs[row].alias("row"), F.coalesce(docs[doc_id].cast("string"), F.md5(docs[text])).alias("_draw")]),
         )
     )
     by_source = sized.groupBy("source").agg(
@@ -113,7 +116,7 @@ def mix(
             (F.col("source_size") / F.col("source_rows")).alias("mean_size"),
         )
     )
-    draw = uniform(F.col("doc_id"), seed)
+    draw = uniform(F.col("doc_id" if row is None else "_draw"), seed)
     odds = F.col("remainder") / (1 - F.col("remainder")) * F.sqrt(F.col("size") / F.col("mean_size"))
     rank = draw / (1 - draw) / odds
     ranked = durable(
@@ -123,7 +126,8 @@ def mix(
             F.when((F.col("size") > 0) & (F.col("remainder") > 0), rank / (1 + rank)).alias("rank"),
         )
     )
-    cut = _cuts(ranked)
+    place = ["rank", "doc_id"] if row is None else ["rank", "doc_id", "row"]
+    cut = _cuts(ranked, place)
     first, second = _bucket(1), _bucket(2)
     below = (
         F.col("edge1").isNull()
@@ -132,14 +136,14 @@ def mix(
         & (
             F.col("edge2").isNull()
             | (second < F.col("edge2"))
-            | (second == F.col("edge2")) & (F.struct("rank", "doc_id") <= F.col("last"))
+            | (second == F.col("edge2")) & (F.struct(*place) <= F.col("last"))
         )
     )
     extra = F.when(F.col("rank").isNotNull() & F.coalesce(below, F.lit(False)), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("long")
     return _with_source(ranked, cut).select(
         "doc_id", "size", "source", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"), *([] if row is None else ["row"]),
     )
 
 
@@ -166,7 +170,7 @@ def _edge(rows: DataFrame, level: int) -> DataFrame:
     )
 
 
-def _cuts(ranked: DataFrame) -> DataFrame:
+def _cuts(ranked: DataFrame, place: list[str]) -> DataFrame:
     """Where each source's ranking is cut: a bucket, a bucket inside it, and the last row taken there.
 
     Two levels of 1,024 buckets leave a millionth of a source's rows to be sorted together.
@@ -179,12 +183,12 @@ def _cuts(ranked: DataFrame) -> DataFrame:
         rows = inside.where(_bucket(level) == F.col("at.edge")).withColumn("before", F.col("at.before")).drop("at")
         here = edge.select("_source", F.col("at.edge").alias(f"edge{level}"))
         cut = here if cut is None else _join_source(cut, here)
-    order = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = (
         rows.withColumn("up_to", F.col("before") + F.sum("size").over(order))
         .where(F.col("up_to") - F.col("size") / 2 <= F.col("wanted"))
         .groupBy(F.col("source").alias("_source"))
-        .agg(F.max(F.struct("rank", "doc_id")).alias("last"))
+        .agg(F.max(F.struct(*place)).alias("last"))
     )
     return _join_source(cut, last)
 
@@ -194,12 +198,18 @@ def _join_source(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, left["_source"].eqNullSafe(other["_other"]), "left").drop("_other")
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """Rows of ``docs``, each as often as the mix takes its document."""
-    copies = mix(docs, doc_id, text, source, **options).select(F.col("doc_id").alias("_mixed"), "copies")
-    taken = copies.where("copies > 0").dropDuplicates(["_mixed"])
+def mixed(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, **options
+) -> DataFrame:
+    """Rows of ``docs``, each as often as the mix takes it.
+
+    ``row`` tells rows apart; if no column does, a keyed copy of ``docs`` is written.
+    """
+    if row is None:
+        return mixed(durable(keyed(docs, "_row")), doc_id, text, source, "_row", **options).drop("_row")
+    copies = mix(docs, doc_id, text, source, row=row, **options).select(F.col("row").alias("_mixed"), "copies")
     return (
-        docs.join(taken, docs[doc_id].eqNullSafe(F.col("_mixed")))
+        docs.join(copies.where("copies > 0"), docs[row] == F.col("_mixed"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .drop("_mixed", "copies", "_copy")
     )
