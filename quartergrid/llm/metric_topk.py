@@ -111,12 +111,33 @@ def build(vectors: np.ndarray, ids: np.ndarray, top: float, shape: Shape) -> lis
     return pages
 
 
-def search(pages: list[Page], root: np.ndarray, query: np.ndarray, k: int, top: float, bound: float) -> list[tuple[int, int]]:
-    """The ``k`` best (score, id) of a tree, best score first, smaller id first; none farther than ``bound``."""
+def needed(names: np.ndarray, keep: int) -> tuple[list[int], bool]:
+    """Places of best-first ``names`` that leave ``keep - 1`` whichever one name is taken out, and whether they do.
+
+    These are the first ``keep`` where no name repeats, and fewer than twice as many where
+    names do; more than ``keep - 1`` of one name are never needed.
+    """
+    if len(names) >= keep and len(set(names[:keep].tolist())) == keep:
+        return list(range(keep)), True
+    seen: dict[int, int] = {}
+    places: list[int] = []
+    for place, name in enumerate(names.tolist()):
+        if seen.get(name, 0) == keep - 1:
+            continue
+        seen[name] = seen.get(name, 0) + 1
+        places.append(place)
+        if len(places) - max(seen.values()) == keep - 1:
+            return places, True
+    return places, False
+
+
+def search(pages: list[Page], root: np.ndarray, query: np.ndarray, keep: int, top: float, bound: float) -> list[tuple[int, int]]:
+    """The best (score, id) of a tree that are :func:`needed`, best score first, smaller id first; none farther than ``bound``."""
     length = float((query * query).sum())
     lift = np.append(query, 0.0)
     slack = 1e-6 * (1 + np.sqrt(length + top))
     best_scores, best_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    full = False
     queue = [(0.0, 0, float(distances(root[None, :], lift)[0]))]
     while queue:
         least, number, to_route = heapq.heappop(queue)
@@ -136,7 +157,7 @@ def search(pages: list[Page], root: np.ndarray, query: np.ndarray, k: int, top:
             continue
         held = page.vectors if len(open_) == len(page.vectors) else page.vectors[open_]
         scores = products(held, query, page.largest)
-        if len(best_ids) == k:
+        if full:
             better = np.flatnonzero(scores >= best_scores[-1])
             if not len(better):
                 continue
@@ -145,9 +166,11 @@ def search(pages: list[Page], root: np.ndarray, query: np.ndarray, k: int, top:
         named = owners != NONE
         scores = np.concatenate([best_scores, np.repeat(scores, named.sum(axis=1))])
         names = np.concatenate([best_ids, owners[named]])
-        order = np.lexsort((names, -scores))[:k]
+        order = np.lexsort((names, -scores))
+        places, full = needed(names[order], keep)
+        order = order[places]
         best_scores, best_ids = scores[order], names[order]
-        if len(order) == k:
+        if full:
             bound = min(bound, float(np.sqrt(max(length + top - 2.0 * float(best_scores[-1]), 0.0))))
     return list(zip(best_scores.tolist(), best_ids.tolist()))
 
@@ -173,13 +196,16 @@ def index(candidates: DataFrame, width: int, top: float, keep: int, shape: Shape
     """Pages of all trees in the shared folder, the pivots, and each cell's trees and radius.
 
     Pivots are the first ``shape.pivots`` distinct vectors in the order of a hash; every
-    vector is indexed. Equal vectors share one entry with their ``keep`` smallest ids.
+    vector is indexed. Equal vectors share one entry with their ``keep`` smallest ids, each
+    as often as its row is repeated, at most ``keep - 1`` times.
     """
     spark = candidates.sparkSession
     smallest = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    repeats = F.array_repeat("id", F.least(F.col("rows"), F.lit(keep - 1)).cast("int"))
     distinct = durable(
-        candidates.withColumn("_n", smallest).where(F.col("_n") <= keep)
-        .groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        candidates.groupBy("vector", "id").agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("_n", smallest).where(F.col("_n") <= keep)
+        .groupBy("vector").agg(F.sort_array(F.flatten(F.collect_list(repeats))).alias("ids"))
     )
     sample = distinct.orderBy(F.xxhash64("vector"), "vector").select("vector").limit(shape.pivots).collect()
     pivots = lifted(np.array([r["vector"] for r in sample], float).reshape(-1, width), top)
@@ -205,8 +231,9 @@ def index(candidates: DataFrame, width: int, top: float, keep: int, shape: Shape
 
     def load(table: pa.Table) -> pa.Table:
         vectors = _matrix(table["vector"], width)
-        ids = np.full((len(vectors), keep), NONE)
-        for k, own in enumerate(table["ids"].to_pylist()):
+        named = table["ids"].to_pylist()
+        ids = np.full((len(vectors), max(map(len, named))), NONE)
+        for k, own in enumerate(named):
             ids[k, : len(own)] = own
         pages = build(vectors, ids, top, shape)
         n = len(pages)
@@ -263,8 +290,9 @@ def top_products(
     Components are scaled and floored. Rows that are null or hold a null or a non-finite
     component take no part; a shorter vector counts as padded with zeros. Ties go to the
     smaller id; a query with fewer than ``k`` other rows has them all; equal vectors are
-    searched once. Rows that repeat an id are the same vector to their own query: it never
-    finds its own id. A null id takes no part. An empty table gives no rows.
+    searched once. A query never finds its own id. Repeated rows count, as in SQL: a
+    candidate takes a rank for each of its rows, and again for each row of the query. A
+    null id takes no part. An empty table gives no rows.
 
     Columns: ``query_id``, ``rank``, ``vec_id``, ``score``.
     """
@@ -281,7 +309,7 @@ def top_products(
     width, top, keep = facts["width"], facts["top"], k + 1
     padded = F.concat("vector", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("vector")))
     rows = rows.withColumn("vector", padded)
-    asked = durable(rows.where("asked").groupBy("vector").agg(F.min("id").alias("query")))
+    asked = durable(rows.where("asked").select("vector").distinct().withColumn("query", F.monotonically_increasing_id()))
     pages, pivots, cells = index(rows.select("id", "vector"), width, top, keep, shape)
     blocks = -(-facts["asked"] // shape.queries)
     numbers = sorted(cells)
@@ -333,20 +361,20 @@ def top_products(
         return _best(found, keep)
 
     near = durable(visited(asked.withColumn("bound", F.lit(float("inf"))), True))
-    far = near.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
+    far = near.groupBy("query").agg((F.count(F.lit(1)) - F.max("nth")).alias("others"), F.min("score").alias("worst"))
     gap = F.sqrt(F.greatest(square + top - 2.0 * F.col("worst"), F.lit(0.0)))
     bounded = asked.join(far, "query", "left").select(
-        "query", "vector", F.when(F.col("n") == keep, gap).otherwise(float("inf")).alias("bound")
+        "query", "vector", F.when(F.col("others") >= k, gap).otherwise(float("inf")).alias("bound")
     )
     best = _best(near.unionByName(visited(bounded, False)), keep)
     lists = best.groupBy("query").agg(F.collect_list(F.struct("score", "id")).alias("found")).join(asked, "query")
     pairs = (
-        rows.where("asked").select(F.col("id").alias("query_id"), "vector").distinct()
+        rows.where("asked").groupBy(F.col("id").alias("query_id"), "vector").agg(F.count(F.lit(1)).alias("asks"))
         .join(lists.select("vector", "found"), "vector")
-        .select("query_id", F.explode("found").alias("f"))
+        .select("query_id", "asks", F.explode("found").alias("f"))
         .where(F.col("query_id") != F.col("f.id"))
+        .withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("asks"), F.lit(k)))))
         .select("query_id", F.col("f.id").alias("vec_id"), F.col("f.score").alias("score"))
-        .distinct()
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
@@ -357,6 +385,13 @@ def top_products(
 
 
 def _best(found: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` best rows of each query."""
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
+    """The best rows of each query that are :func:`needed`; ``nth`` counts the rows of one id."""
+    own = Window.partitionBy("query", "id").orderBy(F.desc("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "nth")
+    most = F.max("nth").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        found.select("query", "score", "id").repartition("query")
+        .withColumn("nth", F.row_number().over(own)).where(F.col("nth") < keep)
+        .withColumn("_others", F.row_number().over(order) - 1 - F.coalesce(most, F.lit(0)))
+        .where(F.col("_others") < keep - 1).drop("_others")
+    )

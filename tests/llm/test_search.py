@@ -134,3 +134,20 @@ def test_huge_components_stay_exact(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in top_products(frame, F.col("vec_id") % 50 == 0, 5).collect()}
     assert got[0, 1] == 50 and got[50, 1] == 0
+
+
+def test_repeated_rows_count_as_in_sql(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 3) / 4]) for i in range(160)]
+    rows += [rows[0]] * 7 + [rows[50]] * 2 + [rows[k] for k in range(1, 160, 3) for _ in range(k % 4)]
+    rows += [(100, [float(x) / 4, 1.0, -1.0]) for x in range(9)]  # one asked id with many vectors
+    rows += [(0, [0.75, 0.75, 0.75])] * 6 + [(k, [0.75, 0.75, 0.75]) for k in (171, 172, 173)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    usable = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for query in (0, 50, 100, 150):
+        scored = sorted((-int(q @ v), j) for i, q in usable if i == query for j, v in usable if j != query)
+        want += [(query, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5])]
+    for shape in (Shape(), Shape(pivots=4, tree=40, page=8, fanout=3, queries=5)):
+        got = top_products(frame, F.col("vec_id") % 50 == 0, 5, shape=shape).collect()
+        assert sorted(map(tuple, got)) == want
