@@ -25,10 +25,11 @@ from quartergrid.llm.words import slices
 from quartergrid.session import durable
 
 # What a candidate and the name of an assigned secret look like.
-CANDIDATE = re.compile(
-    r"""(?i:\b(?:api[_-]?key|access[_-]?key|key|token|secret|password|passwd|pwd)["']?\s*[:=]\s*["']?)([^\s"']{6,})"""
-    r"""|([A-Za-z0-9+/_=-]{16,})"""
+ASSIGNED = re.compile(
+    r"""(?i:(?:api[_-]?key|access[_-]?key|key|token|secret|password|passwd|pwd)["']?\s*[:=]\s*["']?)([^\s"']{6,})"""
 )
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 TELLING = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "credential")
 AROUND = 24
 WORD_SLOTS = 16
@@ -95,6 +96,19 @@ class Describer:
         return best[-1] / max(len(found), 1)
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where candidates lie: values assigned to a name that ends in a key word, and runs outside those and their names."""
+    out, last = [], 0
+    for match in ASSIGNED.finditer(text):
+        name = match.start()
+        while name > last and text[name - 1] in NAME:
+            name -= 1
+        out += [m.span() for m in RUN.finditer(text, last, name)]
+        out.append(match.span(1))
+        last = match.end()
+    return out + [m.span() for m in RUN.finditer(text, last)]
+
+
 FOUND = "doc_id long, start long, length long, candidate string, features array<double>"
 
 
@@ -114,8 +128,7 @@ def candidates(docs: DataFrame, describer: Describer, doc_id: str = "doc_id", te
 def _found(part: pa.RecordBatch, describer: Describer) -> pa.RecordBatch:
     out: list[tuple] = []
     for key, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-        for match in CANDIDATE.finditer(text or ""):
-            start, end = match.span(1 if match[1] else 2)
+        for start, end in spans(text or ""):
             out.append((key, start, end - start, text[start:end], describer.describe(text, start, end)))
     columns = list(zip(*out)) or [()] * 5
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64())]

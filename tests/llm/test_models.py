@@ -206,3 +206,18 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert toxicity.score_documents(no_docs, model).count() == 0
     none = toxicity.fit_table(no_docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_documents(edge_docs.limit(3), none).where(F.col("score").isNull()).count() == 0
+
+
+def test_prefixed_names_give_their_values():
+    texts = {
+        "db_password: hunter2!x9": "hunter2!x9", 'client_secret = "p4ss-W0rd.9"': "p4ss-W0rd.9", 'DB_PASSWORD="k9$Lm2!qz7"': "k9$Lm2!qz7",
+        "AUTH_TOKEN: a8f.93kd.zz1": "a8f.93kd.zz1", "password: hunter2!x9": "hunter2!x9",
+        "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG": "wJalrXUtnFEMI/K7MDENG", "src/config/app/my.db_password: hunter2!x9": "hunter2!x9",
+    }
+    names = secret_forest.Describer.names
+    for text, value in texts.items():
+        found = [(text[a:b], secret_forest.Describer().describe(text, a, b)) for a, b in secret_forest.spans(text)]
+        assert found[-1][0] == value and len(found) == 1
+        assert found[-1][1][names.index("assigned")] == found[-1][1][names.index("telling")] == 1
+    text = "0123456789abcdef0123, token=abc.def1 and 0123456789abcdef4567"
+    assert [text[a:b] for a, b in secret_forest.spans(text)] == ["0123456789abcdef0123", "abc.def1", "0123456789abcdef4567"]
