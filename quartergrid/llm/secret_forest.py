@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartergrid.llm.joins import look_up
 from quartergrid.llm.words import slices
 from quartergrid.session import durable
 
@@ -33,15 +34,17 @@ NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 TELLING = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "credential")
 AROUND = 24
 WORD_SLOTS = 16
+SHORTEST, LONGEST = 4, 32
+# Words that stand alone: letters beside digits or signs of encodings are mostly parts of keys.
+WORD = rf"(?<![\p{{L}}\p{{N}}+=])(\p{{L}}{{{SHORTEST},{LONGEST}}}+)(?![\p{{L}}\p{{N}}+=])"
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of a fit: labelled findings, and documents whose words make the dictionary."""
+    """Bounds of a fit: labelled findings of each label."""
 
     findings: int = 20_000
-    documents: int = 2000
-    dictionary: int = 20_000
     trees: int = 40
     depth: int = 8
     seed: int = 11
@@ -49,7 +52,7 @@ class Training:
 
 @dataclass
 class Describer:
-    """Features of candidates; ``words`` is the dictionary, in lower case."""
+    """Features of candidates; ``words`` are known ones in lower case, and may be given later by :func:`with_coverage`."""
 
     words: frozenset[str] = field(default_factory=frozenset)
 
@@ -86,11 +89,11 @@ class Describer:
         ]
 
     def covered(self, found: str) -> float:
-        """Largest share of the characters that disjoint known words of four letters or more cover."""
+        """Largest share of the characters that disjoint known words of ``SHORTEST`` letters or more cover."""
         best = [0] * (len(found) + 1)
         for end in range(1, len(found) + 1):
             best[end] = best[end - 1]
-            for size in range(4, min(end, 16) + 1):
+            for size in range(SHORTEST, min(end, LONGEST) + 1):
                 if found[end - size : end] in self.words:
                     best[end] = max(best[end], best[end - size] + size)
         return best[-1] / max(len(found), 1)
@@ -109,6 +112,7 @@ def spans(text: str) -> list[tuple[int, int]]:
     return out + [m.span() for m in RUN.finditer(text, last)]
 
 
+CUT_ROWS = 256
 FOUND = "doc_id long, start long, length long, candidate string, features array<double>"
 
 
@@ -155,15 +159,64 @@ def rule_label(found: DataFrame) -> Column:
     return F.when(secret, 1.0).when(harmless, 0.0)
 
 
-def dictionary(docs: DataFrame, training: Training = Training(), text: str = "text") -> Describer:
-    """Words of at least four letters in a bounded sample of texts, the most frequent first."""
-    usable = docs.select(docs[text].cast("string").alias("text")).where("text IS NOT NULL")
-    sample = usable.orderBy(F.xxhash64("text"), "text").limit(training.documents)
-    words = (
-        sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,16})"), F.lit(1))).alias("word"))
-        .groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(training.dictionary)
+def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word``: all words of four letters or more that stand in two different texts or more.
+
+    The smallest and largest hash of the texts that hold a word settle that, so copies of a
+    text count once and every task reduces its words before they are shuffled.
+    """
+    texts = docs.select(docs[text].cast("string").alias("text")).where("text IS NOT NULL")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1)))
+    return (
+        texts.select(F.xxhash64("text").alias("of"), F.explode(words).alias("word"))
+        .groupBy("word").agg(F.min("of").alias("first"), F.max("of").alias("last"))
+        .where("first <> last").select("word")
     )
-    return Describer(frozenset(r["word"] for r in words.collect()))
+
+
+def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with the share that known words cover in its features.
+
+    The dictionary has no bound, so it is joined to the distinct candidates' letter runs.
+    """
+    place = Describer.names.index("covered")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CUT_ROWS):
+                own = batch.slice(at, CUT_ROWS)
+                parts = [(n, p) for n, c in zip(own["node"].to_pylist(), own["low"].to_pylist()) for p in pieces(c)]
+                nodes, keys = zip(*parts) if parts else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.string())], ["node", "key"])
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = batch["features"].to_pylist()
+            for row, low, known in zip(features, batch["candidate"].to_pylist(), batch["found"].to_pylist()):
+                row[place] = Describer(frozenset(known)).covered(low.lower()) if known else 0.0
+            columns = [batch[c] for c in ("doc_id", "start", "length", "candidate")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(features, pa.list_(pa.float64()))], ["doc_id", "start", "length", "candidate", "features"]
+            )
+
+    node = F.xxhash64("candidate")
+    distinct = durable(found.select(node.alias("node"), F.col("candidate").alias("low")).dropDuplicates(["node"]))
+    parts = distinct.mapInArrow(cut, "node long, key string")
+    labels = words.select(F.col("word").alias("node"), F.lit(True).alias("component"))
+    held = look_up(parts, labels).groupBy("node").agg(F.collect_set("key").alias("words"))
+    known = distinct.select("node").join(held, "node", "left").select(
+        "node", F.coalesce("words", F.array().cast("array<string>")).alias("component")
+    )
+    rows = found.withColumns({"key": node, "node": F.xxhash64("doc_id", "start")})
+    return look_up(rows, known).select(*found.columns, "found").mapInArrow(cover, FOUND)
+
+
+def pieces(candidate: str) -> set[str]:
+    """All parts of the candidate's letter runs, in lower case, that could be words."""
+    runs = LETTERS.findall(candidate.lower())
+    return {
+        run[a : a + n] for run in runs for a in range(len(run)) for n in range(SHORTEST, min(LONGEST, len(run) - a) + 1)
+    }
 
 
 def fit(labelled: DataFrame, training: Training = Training()) -> RandomForestClassificationModel:
@@ -187,7 +240,8 @@ def scan(docs: DataFrame, training: Training = Training(), doc_id: str = "doc_id
     are scanned each; only id and text are read; an empty table gives no rows. Where the
     rules settle findings of one label only, or none, that label (or 0) is given to all.
     """
-    found = durable(candidates(docs, dictionary(docs, training, text), doc_id, text))
+    found = durable(candidates(docs, Describer(), doc_id, text))
+    found = durable(with_coverage(found, dictionary(docs, text)))
     labelled = found.withColumn("label", rule_label(found)).where("label IS NOT NULL")
     present = sorted(r["label"] for r in labelled.select("label").distinct().collect())
     if len(present) < 2:

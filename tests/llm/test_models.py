@@ -221,3 +221,16 @@ def test_prefixed_names_give_their_values():
         assert found[-1][1][names.index("assigned")] == found[-1][1][names.index("telling")] == 1
     text = "0123456789abcdef0123, token=abc.def1 and 0123456789abcdef4567"
     assert [text[a:b] for a, b in secret_forest.spans(text)] == ["0123456789abcdef0123", "abc.def1", "0123456789abcdef4567"]
+
+
+def test_dictionary_reads_every_text_and_counts_copies_once(spark):
+    rows = [(0, "Wasserfall einmal"), (1, "ein wasserfall, Kathedrale"), (2, "die Kathedrale steht"), (3, "abcd1 steht=")]
+    rows += [(k, "hotcopy words") for k in range(10, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secret_forest.dictionary(docs)
+    assert {r["word"] for r in words.collect()} == {"wasserfall", "kathedrale"}
+    runs = spark.createDataFrame([(1, "WasserfallKathedrale token=hotcopyhotcopyhot"), (None, "a/wasserfall/12345678")], "doc_id long, text string")
+    found = secret_forest.candidates(runs, secret_forest.Describer())
+    at = secret_forest.Describer.names.index("covered")
+    got = {r["candidate"]: r["features"][at] for r in secret_forest.with_coverage(found, words).collect()}
+    assert got == {"WasserfallKathedrale": 1.0, "hotcopyhotcopyhot": 0.0, "a/wasserfall/12345678": 10 / 21}
