@@ -346,8 +346,11 @@ def _labelled(part: pa.RecordBatch, model: Model) -> pa.RecordBatch:
     )
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` with a language that holds at least ``least`` of their words, with all columns."""
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that are not ``und``, with all columns; code-switched text stays.
+
+    ``least`` is the mean share that the first language must hold besides.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

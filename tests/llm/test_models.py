@@ -234,3 +234,12 @@ def test_dictionary_reads_every_text_and_counts_copies_once(spark):
     at = secret_forest.Describer.names.index("covered")
     got = {r["candidate"]: r["features"][at] for r in secret_forest.with_coverage(found, words).collect()}
     assert got == {"WasserfallKathedrale": 1.0, "hotcopyhotcopyhot": 0.0, "a/wasserfall/12345678": 10 / 21}
+
+
+def test_evenly_switched_text_stays(spark):
+    model, kinds, make = switched_model()
+    text = " ".join(make(kinds[k]) for k in ("aa", "bb", "cc") for _ in range(8))
+    docs = spark.createDataFrame([(1, text), (2, "123 !!")], "doc_id long, text string")
+    label = language.label_documents(docs, model).where("doc_id = 1").first()
+    assert label["lang_pred"] != "und" and label["score"] < 0.5
+    assert [r["doc_id"] for r in language.keep_identified(docs, model).collect()] == [1]
