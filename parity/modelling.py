@@ -1,4 +1,6 @@
-"""Model fits on line-item quarters at their default settings.
+"""Model fits on line-item quarters with far fewer rounds and features than the defaults.
+
+The early stop needs ten rounds without a gain and so cannot occur in six.
 
 Trees have no SQL form; the queries return what SQL can state of a fit's results.
 """
