@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quartergrid.llm.alignment import alignment_digest
 from quartergrid.llm.chosen_path import class_table
+from quartergrid.llm.class_lm import score_documents as score_language
 from quartergrid.llm.content_dedup import mark_copies
+from quartergrid.llm.hard_negatives import hard_negatives
 from quartergrid.llm.language import Model, fit_table, label_documents
 from quartergrid.llm.metric_topk import top_products
 from quartergrid.llm.mixing import mix
@@ -22,6 +25,8 @@ from quartergrid.llm.weak_quality import fit_table as fit_quality
 from quartergrid.llm.weak_quality import score_quality
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,6 +94,20 @@ def op10_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_pointer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in (BYTE_BPE, PIECE_BPE))
+    return alignment_digest(_table(spark, folder, "documents"), *paths)
+
+
+def op12_class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
+    return score_language(_table(spark, folder, "documents"), _remainder("doc_id", 7) != 2)
+
+
+def op13_secondary_sort_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, shifted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op2_subsequence_toxicity": op2_subsequence_toxicity,
@@ -100,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chosen_path_join": op8_chosen_path_join,
     "op9_content_dedup": op9_content_dedup,
     "op10_language_crf": op10_language_crf,
+    "op11_pointer_alignment": op11_pointer_alignment,
+    "op12_class_bigrams": op12_class_bigrams,
+    "op13_secondary_sort_negatives": op13_secondary_sort_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -180,5 +202,31 @@ WITH normal AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(content) AS text_sha256
 FROM grouped
+""",
+    "op13_secondary_sort_negatives": """
+WITH usable AS (
+  SELECT DISTINCT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT DISTINCT a.id AS anchor_id, a.label AS anchor_label, a.v AS anchor_v, c.id, c.label,
+    CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM usable a JOIN usable c ON a.id <> c.id
+  WHERE a.id % 100 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id, anchor_label, anchor_v ORDER BY score DESC, id) AS place
+  FROM scored WHERE label = anchor_label
+), paired AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, p.anchor_v, p.place
+      ORDER BY n.score DESC, n.id) AS INTEGER) AS rank
+  FROM positives p JOIN scored n
+    ON n.anchor_id = p.anchor_id AND n.anchor_label = p.anchor_label AND n.anchor_v = p.anchor_v
+      AND n.label <> p.anchor_label
+  WHERE p.place <= 5 AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM paired WHERE rank <= 10
 """,
 }
