@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from tokenizers import Tokenizer
 
 from quartergrid.llm.joins import sized
 from quartergrid.llm.tally import Tally, as_batch
+from quartergrid.llm.token_files import stored
 from quartergrid.llm.tokens import _byte_letters
 from quartergrid.llm.words import gather, slices, sums
 from quartergrid.session import durable
@@ -32,6 +32,7 @@ from quartergrid.session import durable
 CUT = re.compile(r"(?<=\S) (?=\S)")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE_MARK = "▁"
+SLICE = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -81,9 +82,11 @@ class TokenizerPair:
         """Parts whose tokens are the same alone as inside the text, without their first space."""
         return CUT.split(text) if self.cuts else [text]
 
-    def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(stretches, num_threads=1)
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides for every text."""
+        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        for left, right in zip(a, self.b.encode(texts, num_threads=1)):
+            yield np.array(left.ids, np.int64), np.array(right, np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -127,35 +130,72 @@ class Aligned:
         last_b = np.flatnonzero(np.diff(self.group_b, append=-1))
         return (self.ids_a[last_a].astype(np.int64) << 32) | self.ids_b[last_b].astype(np.int64)
 
-    def written(self) -> list[str]:
-        """Each stretch's groups as ``a1,a2|b1;a3|b2,b3``."""
-        words_a, words_b = self.ids_a.astype(str).tolist(), self.ids_b.astype(str).tolist()
-        stops_a = np.flatnonzero(np.diff(self.group_a, append=-1)) + 1
-        stops_b = np.flatnonzero(np.diff(self.group_b, append=-1)) + 1
-        groups, at_a, at_b = [], 0, 0
-        for stop_a, stop_b in zip(stops_a.tolist(), stops_b.tolist()):
-            groups.append(f"{','.join(words_a[at_a:stop_a])}|{','.join(words_b[at_b:stop_b])}")
-            at_a, at_b = stop_a, stop_b
-        stops = list(accumulate(self.n_groups.tolist()))
-        return [";".join(groups[start:stop]) for start, stop in zip([0, *stops], stops)]
-
-
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(x) for x in lists], np.int64)
-    return np.concatenate([np.array(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64), counts
-
-
-def _encoded(pair: TokenizerPair, stretches: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-    """Token ids of both sides, and whether both spell the stretch behind a space."""
-    a, b = pair.encode(stretches)
-    spelled = []
-    for side, lists in ((pair.side_a, a), (pair.side_b, b)):
-        ids, counts = _flat(lists)
-        ends = np.cumsum(sums(side.lengths[ids], counts)).tolist()
-        joined = side.spelled(ids).tobytes()
-        spelled.append([joined[start:stop] for start, stop in zip([0, *ends], ends)])
-    wanted = [b" " + s.encode() for s in stretches]
-    return a, b, [x == y == z for x, y, z in zip(*spelled, wanted)]
+    def written(self) -> list[bytes]:
+        """Each stretch's groups as ``a1,a2|b1;a3|b2,b3;``."""
+        ids = np.concatenate([self.ids_a, self.ids_b])
+        group = np.concatenate([self.group_a, self.group_b])
+        is_b = np.arange(len(ids)) >= len(self.ids_a)
+        # Stable, so a group's A tokens stay before its B tokens, and both in order.
+        order = np.argsort(group, kind="stable")
+        ids, group, is_b = ids[order], group[order], is_b[order]
+        last = np.diff(group, append=-1) != 0
+        turns = np.append(is_b[1:] != is_b[:-1], [True]) & ~last if len(ids) else last
+        numbers = [b"%d " % i for i in range(int(ids.max(initial=-1)) + 1)]
+        pool = Side.of(numbers)
+        letters = pool.spelled(ids)
+        ends = np.cumsum(pool.lengths[ids])
+        letters[ends - 1] = np.where(last, ord(";"), np.where(turns, ord("|"), ord(",")))
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
+        whole = letters.tobytes()
+        return [whole[start:stop] for start, stop in zip(bounds, bounds[1:])]
+
+
+def _runs(pair: TokenizerPair, texts: list[str], within: list[list[int]]) -> Iterator[list[tuple[np.ndarray, np.ndarray]] | None]:
+    """Both sides of each text as ids and the ids in each of its stretches, or None where they do not spell it.
+
+    ``within`` has the byte offsets, behind the added space, at which a text's stretches end.
+    """
+    for text, stops, sides in zip(texts, within, pair.encode(texts)):
+        wanted, found = b" " + text.encode(), []
+        for side, ids in zip((pair.side_a, pair.side_b), sides):
+            ends = np.cumsum(side.lengths[ids])
+            if side.spelled(ids).tobytes() != wanted:
+                break
+            last = np.searchsorted(ends, stops)
+            if not np.array_equal(ends[last], stops):
+                break
+            found.append((ids, np.diff(last + 1, prepend=0)))
+        yield found if len(found) == 2 else None
+
+
+NOTHING = (np.zeros(0, np.int64), np.zeros(1, np.int64))
+TOGETHER = 256
+
+
+def _encoded(pair: TokenizerPair, plain: list[str], whole: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Ids and ids per stretch of both sides, ``plain`` stretches first, and which of all are spelled out.
+
+    Plain stretches are encoded ``TOGETHER``, which gives them the same tokens as alone.
+    """
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    good: list[bool] = []
+
+    def alone(texts: list[str]) -> None:
+        for run in _runs(pair, texts, [[len(t.encode()) + 1] for t in texts]):
+            parts.append(run or [NOTHING, NOTHING])
+            good.append(run is not None)
+
+    chunks = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+    stops = [np.cumsum([len(s.encode()) + 1 for s in c]) for c in chunks]
+    for chunk, run in zip(chunks, _runs(pair, [" ".join(c) for c in chunks], stops)):
+        if run is None:
+            alone(chunk)
+        else:
+            parts.append(run)
+            good.extend([True] * len(chunk))
+    alone(whole)
+    sides = zip(*parts) if parts else ([NOTHING], [(NOTHING[0], NOTHING[0])])
+    return [tuple(np.concatenate(x) for x in zip(*side)) for side in sides], np.array(good, bool)
 
 
 def align(pair: TokenizerPair, texts: list[str | None]) -> Aligned:
@@ -165,71 +205,114 @@ def align(pair: TokenizerPair, texts: list[str | None]) -> Aligned:
     a stretch fails, the whole text decides.
     """
     parts = [pair.stretches(t) if t else [] for t in texts]
+    counts = np.array([len(p) for p in parts], np.int64)
     coded = pa.array([s for p in parts for s in p], pa.large_string()).dictionary_encode()
     stretches = coded.dictionary.to_pylist()
-    a, b, good = _encoded(pair, stretches)
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = np.array([len(p) for p in parts], np.int64)
-    fails = sums((~np.array(good, bool))[codes].astype(np.int64), counts) > 0
+    del parts
+    # Beside outer white space a stretch could change its neighbours' tokens.
+    odd = np.array([not pair.cuts or s[0].isspace() or s[-1].isspace() for s in stretches], bool)
+    order = np.argsort(odd, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
+    own = [[stretches[i] for i in order[kind[order]]] for kind in (~odd, odd)]
+    sides, good = _encoded(pair, *own)
+    fails = sums((~good)[codes].astype(np.int64), counts) > 0
     if fails.any():
         rows = np.flatnonzero(fails)
-        whole = [texts[i] for i in rows]
-        more_a, more_b, more_good = _encoded(pair, whole)
-        first = len(stretches)
-        a, b, good = a + more_a, b + more_b, good + more_good
+        more, spared = _encoded(pair, [], [texts[i] for i in rows])
         kept = codes[np.repeat(~fails, counts)]
         counts[rows] = 0
         places = np.cumsum(counts)[rows]
-        spared = np.array(more_good, bool)
-        codes = np.insert(kept, places[spared], first + np.flatnonzero(spared))
+        codes = np.insert(kept, places[spared], len(good) + np.flatnonzero(spared))
         counts[rows[spared]] = 1
-    a = [x if g else [] for x, g in zip(a, good)]
-    b = [x if g else [] for x, g in zip(b, good)]
-    (ids_a, n_a), (ids_b, n_b) = _flat(a), _flat(b)
+        sides = [tuple(np.concatenate(x) for x in zip(*both)) for both in zip(sides, more)]
+    (ids_a, n_a), (ids_b, n_b) = sides
     ends_a, ends_b = np.cumsum(pair.side_a.lengths[ids_a]), np.cumsum(pair.side_b.lengths[ids_b])
     last_a, last_b = terminals(ends_a, ends_b)
     # Terminals ascend with the text, so a group's number is its terminal's rank.
-    own = np.unique(last_a)
-    group_a, group_b = np.searchsorted(own, last_a), np.searchsorted(own, last_b)
+    ends = np.unique(last_a)
+    group_a, group_b = np.searchsorted(ends, last_a), np.searchsorted(ends, last_b)
     n_groups = sums((np.diff(group_a, append=-1) != 0).astype(np.int64), n_a)
     return Aligned(codes, counts, n_a, n_b, ids_a, ids_b, group_a, group_b, n_groups)
 
 
-def _occurrences(found: Aligned) -> np.ndarray:
-    return np.bincount(found.codes, minlength=len(found.n_a))
+ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, b array<int>"
+
+
+def aligned(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Sizes of every text's groups, and the ids of each link in order: the last of a group on both sides."""
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                found = align(worker_pair(path_a, path_b), part["text"].to_pylist())
+                yield _measured(found, part["doc_id"], row)
+                row += part.num_rows
+
+    return rows.mapInArrow(tasks, ALIGNED)
+
+
+def _measured(found: Aligned, doc_ids: pa.Array, row: int) -> pa.RecordBatch:
+    links = found.links()
+    starts = np.cumsum(found.n_groups) - found.n_groups
+    own = gather(links, starts[found.codes], found.n_groups[found.codes])
+
+    def per_doc(each: np.ndarray) -> np.ndarray:
+        return sums(each[found.codes].astype(np.int64), found.counts)
+
+    written, codes, hashes, at = found.written(), found.codes.tolist(), [], 0
+    for count in found.counts.tolist():
+        mine = b"".join([written[c] for c in codes[at : at + count]])
+        hashes.append(hashlib.sha256(mine[:-1]).hexdigest() if count else "")
+        at += count
+    n_groups = per_doc(found.n_groups)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n_groups)]).astype(np.int32))
+    columns = {
+        "row": pa.array(row + np.arange(len(found.counts))),
+        "doc_id": doc_ids,
+        "n_a": pa.array(per_doc(found.n_a)),
+        "n_b": pa.array(per_doc(found.n_b)),
+        "n_groups": pa.array(n_groups),
+        "groups_sha256": pa.array(hashes, pa.string()),
+        "a": pa.ListArray.from_arrays(offsets, pa.array((own >> 32).astype(np.int32))),
+        "b": pa.ListArray.from_arrays(offsets, pa.array((own & 0xFFFFFFFF).astype(np.int32))),
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
-COUNTS = "key long, n long"
+def _link_keys(batch: pa.RecordBatch) -> np.ndarray:
+    a, b = (batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    return (a << 32) | b
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """``key, a, b, n, best`` of all linked id pairs of the corpus.
+def pair_counts(links: DataFrame) -> DataFrame:
+    """``key, a, b, n, best`` of all id pairs of ``aligned`` rows.
 
     ``key`` is ``a << 32 | b``, ``n`` how many links hold the pair, and ``best`` whether no
     pair of the same B id has more. The ``n`` add up to all links. Without tokens there are
     no rows.
     """
-    texts = docs.select(docs[text].cast("string").alias("text"))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = align(worker_pair(path_a, path_b), part["text"].to_pylist())
-                uses = np.repeat(_occurrences(found), found.n_groups)
-                for keys, n in tally.add(found.links()[uses > 0], uses[uses > 0]):
-                    yield as_batch({"key": keys, "n": n[:, 0]})
-        for keys, n in tally.finish():
-            yield as_batch({"key": keys, "n": n[:, 0]})
+            keys, n = np.unique(_link_keys(batch), return_counts=True)
+            for found, summed in tally.add(keys, n):
+                yield as_batch({"key": found, "n": summed[:, 0]})
+        for found, summed in tally.finish():
+            yield as_batch({"key": found, "n": summed[:, 0]})
 
-    counted = durable(texts.mapInArrow(tasks, COUNTS).groupBy("key").agg(F.sum("n").alias("n")))
+    counted = durable(links.select("a", "b").mapInArrow(tasks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     b = F.col("key").bitwiseAND(0xFFFFFFFF)
     counted = counted.select("key", F.shiftright("key", 32).alias("a"), b.alias("b"), "n")
     most = counted.groupBy("b").agg(F.max("n").alias("most"))  # one row per id of B
     return durable(counted.join(sized(most), "b").select("key", "a", "b", "n", (F.col("n") == F.col("most")).alias("best")))
 
 
-DIGEST = (
+FOUND = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
     "count_sum long, groups_sha256 string, tail array<long>"
 )
@@ -249,9 +332,11 @@ def alignment_digest(
     of other pairs are joined with their counts on the pair, which none of them can dominate.
     A text that is null, empty, or not spelled out by both tokenizers has zeros and an empty
     ``groups_sha256``. Repeated rows are measured each, a null id stays null, other columns
-    are not read, and an empty table gives no rows.
+    are not read, and an empty table gives no rows. The links are written to the shared
+    folder once.
     """
-    pairs = pair_counts(docs, path_a, path_b, text)
+    links = stored(aligned(docs, path_a, path_b, doc_id, text), "token-links")
+    pairs = pair_counts(links)
     all_fit = pairs.count() <= head
     first = pairs if all_fit else pairs.orderBy(F.desc("n"), "key").limit(head)
     held = first.select("key", "n", "best").toArrow()
@@ -260,20 +345,16 @@ def alignment_digest(
     known = docs.sparkSession.sparkContext.broadcast(
         (keys[order], held["n"].to_numpy()[order], held["best"].to_numpy(zero_copy_only=False)[order].astype(np.int64))
     )
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = align(worker_pair(path_a, path_b), part["text"].to_pylist())
-                yield _digest(found, part["doc_id"], row, *known.value)
-                row += part.num_rows
+            if batch.num_rows:
+                yield _counted(batch, *known.value)
 
-    digest = rows.mapInArrow(tasks, DIGEST)
+    digest = links.mapInArrow(tasks, FOUND)
     if all_fit:
         return digest.drop("row", "tail")
-    digest = durable(digest)
+    digest = stored(digest, "token-digest")
     late = (
         digest.select("row", F.explode("tail").alias("key"))
         .join(pairs, "key")
@@ -287,43 +368,23 @@ def alignment_digest(
     return digest.join(late, "row", "left").withColumns(added).drop("row", "tail", "late_sum", "late_best")
 
 
-def _digest(
-    found: Aligned, doc_ids: pa.Array, row: int, keys: np.ndarray, counts: np.ndarray, best: np.ndarray
-) -> pa.RecordBatch:
-    links = found.links()
-    at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
-    held = keys[at] == links if len(keys) else np.zeros(len(links), bool)
-    owner = np.repeat(np.arange(len(found.n_a)), found.n_groups)
-    n = np.zeros(len(links), np.int64)
-    n[held] = counts[at[held]]
-    is_best = np.zeros(len(links), np.int64)
-    is_best[held] = best[at[held]]
-
-    def per_doc(each: np.ndarray) -> np.ndarray:
-        return sums(each[found.codes].astype(np.int64), found.counts)
-
-    links_sum, links_best = (sums(values, found.n_groups) for values in (n, is_best))
-    late = np.bincount(owner[~held], minlength=len(found.n_a))
-    late_starts = np.cumsum(late) - late
-    tail = gather(links[~held], late_starts[found.codes], late[found.codes])
-    tail_ends = np.concatenate([[0], np.cumsum(per_doc(late))]).astype(np.int32)
-    written, codes, hashes, at_code = found.written(), found.codes.tolist(), [], 0
-    for count in found.counts.tolist():
-        mine = ";".join([written[c] for c in codes[at_code : at_code + count]])
-        hashes.append(hashlib.sha256(mine.encode()).hexdigest() if count else "")
-        at_code += count
-    n_groups = per_doc(found.n_groups)
-    columns = {
-        "row": pa.array(row + np.arange(len(found.counts))),
-        "doc_id": doc_ids,
-        "n_a": pa.array(per_doc(found.n_a)),
-        "n_b": pa.array(per_doc(found.n_b)),
-        "n_groups": pa.array(n_groups),
-        "n_links": pa.array(n_groups),
-        "n_best": pa.array(per_doc(links_best)),
-        "count_sum": pa.array(per_doc(links_sum)),
-        "groups_sha256": pa.array(hashes, pa.string()),
-        "tail": pa.ListArray.from_arrays(pa.array(tail_ends), pa.array(tail)),
+def _counted(batch: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    links = _link_keys(batch)
+    each = batch["n_groups"].to_numpy()
+    own, back = np.unique(links, return_inverse=True)
+    at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+    held = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+    n, is_best = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    n[held], is_best[held] = counts[at[held]], best[at[held]]
+    late = ~held[back]
+    tail_ends = np.concatenate([[0], np.cumsum(sums(late.astype(np.int64), each))]).astype(np.int32)
+    columns = {c: batch[c] for c in ("row", "doc_id", "n_a", "n_b", "n_groups")}
+    columns |= {
+        "n_links": batch["n_groups"],
+        "n_best": pa.array(sums(is_best[back], each)),
+        "count_sum": pa.array(sums(n[back], each)),
+        "groups_sha256": batch["groups_sha256"],
+        "tail": pa.ListArray.from_arrays(pa.array(tail_ends), pa.array(links[late])),
     }
     return pa.RecordBatch.from_pydict(columns)
 

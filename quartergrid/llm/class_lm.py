@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartergrid.llm.tally import Tally, as_batch
-from quartergrid.llm.token_files import fresh_path
+from quartergrid.llm.token_files import stored
 from quartergrid.llm.words import grouped, slices, sums
 
 LONG_WORD = 24
@@ -50,13 +50,6 @@ def open_class(plan: Clustering) -> int:
     return plan.classes + 1
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    path = fresh_path(frame.sparkSession, name)
-    frame.write.option("compression", "zstd").parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """A code per word, words per text, and the distinct lower-cased words as bytes.
 
