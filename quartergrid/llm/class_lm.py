@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quartergrid.llm.tally import Tally, as_batch
 from quartergrid.llm.token_files import stored
-from quartergrid.llm.words import grouped, slices, sums
+from quartergrid.llm.words import factorize, run_places, slices, sums, whole_runs
 
 LONG_WORD = 24
 
@@ -55,11 +55,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
     A word beyond ``LONG_WORD`` bytes goes by a digest behind a byte that no text holds.
     """
-    lowered = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    split = pc.ascii_split_whitespace(lowered)
-    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = pc.list_flatten(split).dictionary_encode()
-    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    codes, counts, cased = factorize(texts)
+    # Lower-cased by distinct word: they lie in a buffer of their own.
+    lowered = pc.ascii_lower(cased).dictionary_encode()
+    codes = lowered.indices.to_numpy(zero_copy_only=False)[codes].astype(np.int64)
+    counts, words = counts.astype(np.int64), lowered.dictionary
     blank = pc.index(words, "").as_py()
     if blank >= 0:
         real = codes != blank
@@ -255,30 +255,22 @@ def _moves(contexts: DataFrame, core, bigrams: np.ndarray, plan: Clustering, tas
     """The class that suits each word of a part best; at most one row per frequent word."""
     size = plan.classes + 2
 
-    def best(words: list[int], parts: list[pa.Table], known: Core) -> pa.RecordBatch:
-        cells = np.zeros((len(words), 2 * size + 1), np.int64)
-        for i, part in enumerate(parts):
-            np.add.at(cells[i], part["cell"].to_numpy(), part["n"].to_numpy())
-        ids = np.array(words, np.int64)
-        own = known.classes[ids]
-        gains = exchange_gains(
-            bigrams, own, cells[:, :size], cells[:, size : 2 * size], cells[:, -1], plan.classes
-        )
-        wanted = gains.argmax(axis=1)
-        rows = np.arange(len(ids))
-        stay = gains[rows, wanted] - gains[rows, own] <= 1e-6
-        return as_batch({"word": ids.astype(np.int32), "class": np.where(stay, own, wanted).astype(np.int32)})
-
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = [], []
-        for part in grouped(batches, "word"):
-            words.append(part["word"][0].as_py())
-            parts.append(part)
-            if len(words) == 256:
-                yield best(words, parts, core.value)
-                words, parts = [], []
-        if words:
-            yield best(words, parts, core.value)
+        known = core.value
+        for rows in whole_runs(batches, "word"):
+            starts, at = run_places(rows["word"])
+            cells = np.zeros((len(starts), 2 * size + 1), np.int64)
+            np.add.at(cells, (at, rows["cell"].to_numpy()), rows["n"].to_numpy())
+            ids = rows["word"].to_numpy()[starts]
+            for first in range(0, len(ids), 256):
+                here = slice(first, first + 256)
+                own, counted = known.classes[ids[here]], cells[here]
+                gains = exchange_gains(
+                    bigrams, own, counted[:, :size], counted[:, size : 2 * size], counted[:, -1], plan.classes
+                )
+                wanted, each = gains.argmax(axis=1), np.arange(len(own))
+                stay = gains[each, wanted] - gains[each, own] <= 1e-6
+                yield as_batch({"word": ids[here].astype(np.int32), "class": np.where(stay, own, wanted).astype(np.int32)})
 
     dealt = contexts.repartition(tasks_wanted, "word").sortWithinPartitions("word")
     return dealt.mapInArrow(tasks, "word int, class int").toArrow()
@@ -354,32 +346,24 @@ def _classed(rare: DataFrame, bigrams: np.ndarray, plan: Clustering, tasks_wante
     follows = np.log(smooth / smooth.sum(axis=1, keepdims=True))
     size = np.log(bigrams[:, :classes].sum(axis=0) + 1.0)
 
-    def one(part: pa.Table) -> pa.Table:
-        train = part["train"].to_numpy(zero_copy_only=False)
-        n = int(train.sum())
-        chosen = open_class(plan)
-        if n:
-            beside = (part[c].to_numpy()[train] for c in ("before", "after"))
-            before, after = (np.bincount(b[b != UNDECIDED], minlength=classes + 2)[: classes + 1] for b in beside)
-            chosen = int((before @ follows[:, :classes] + follows[:classes] @ after - n * size).argmax())
-        first = np.zeros(len(train), bool)
-        first[np.argmax(train)] = n > 0
-        return (
-            part.drop(["word"])
-            .append_column("class", pa.array(np.full(len(train), chosen, np.int32)))
-            .append_column("n", pa.array(np.full(len(train), n)))
-            .append_column("first", pa.array(first))
-        )
-
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[pa.Table] = []
-        for part in grouped(batches, "word"):
-            ready.append(one(part))
-            if len(ready) == 5_000:
-                yield from pa.concat_tables(ready).combine_chunks().to_batches()
-                ready = []
-        if ready:
-            yield from pa.concat_tables(ready).combine_chunks().to_batches()
+        for rows in whole_runs(batches, "word"):
+            starts, at = run_places(rows["word"])
+            train = rows["train"].to_numpy(zero_copy_only=False)
+            n = np.bincount(at[train], minlength=len(starts))
+            beside = []
+            for side in ("before", "after"):
+                of = rows[side].to_numpy()
+                taken = train & (of != UNDECIDED)
+                cells = np.bincount(at[taken] * (classes + 2) + of[taken], minlength=len(starts) * (classes + 2))
+                beside.append(cells.reshape(-1, classes + 2)[:, : classes + 1])
+            fit = beside[0] @ follows[:, :classes] + beside[1] @ follows[:classes].T - n[:, None] * size
+            chosen = np.where(n > 0, fit.argmax(axis=1), open_class(plan)).astype(np.int32)
+            first = np.zeros(len(at), bool)
+            first[np.flatnonzero(train)[np.unique(at[train], return_index=True)[1]]] = True
+            columns = {c: rows[c] for c in ("row", "pos", "before", "after", "train")}
+            added = {"class": pa.array(chosen[at]), "n": pa.array(n[at]), "first": pa.array(first)}
+            yield from pa.table(columns | added).combine_chunks().to_batches()
 
     return rare.repartition(tasks_wanted, "word").sortWithinPartitions("word").mapInArrow(tasks, CLASSED)
 

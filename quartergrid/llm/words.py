@@ -66,3 +66,28 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held.append(batch.slice(starts[-1]))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def run_places(keys: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys start, and the run of each row."""
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    new = np.ones(len(keys), bool)
+    if len(keys) > 1:
+        new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by ``key`` in tables that hold all rows of their keys; about a batch is held besides the last run."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(run_places(batch[key])[0][-1])
+        if last or (held and held[-1][key][-1].as_py() != batch[key][0].as_py()):
+            ready = [*held, batch.slice(0, last)] if last else held
+            yield pa.Table.from_batches(ready)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
