@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.llm.components import components
-from quartergrid.llm.joins import keyed, look_up, sized
+from quartergrid.llm.joins import free, keyed, look_up, sized
 from quartergrid.llm.token_files import fresh_path
 from quartergrid.llm.words import factorize, grouped, slices
 from quartergrid.session import durable
@@ -457,11 +457,13 @@ def drop_near_copies(
     and rows without shingles all stay.
     """
     if row is None:
-        return drop_near_copies(durable(keyed(docs, "_row")), plan, doc_id, text, "_row").drop("_row")
+        row = free("_row", docs)
+        return drop_near_copies(durable(keyed(docs, row)), plan, doc_id, text, row).drop(row)
+    name = free("_gone", docs)
     classes = class_table(docs, plan, row, text).where("class_size > 1").select(F.col("doc_id").alias("_row"), "class_id")
     ids = docs.select(docs[row].alias("_row"), docs[doc_id].alias("_id"))
     among = durable(classes.join(ids, "_row"))
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"]
     stays = among.groupBy("class_id").agg(first.alias("_row")).select("_row")
-    gone = durable(among.select("_row").join(stays, "_row", "left_anti").withColumnRenamed("_row", "_gone"))
-    return docs.join(sized(gone), docs[row] == F.col("_gone"), "left_anti")
+    gone = durable(among.select("_row").join(stays, "_row", "left_anti").withColumnRenamed("_row", name))
+    return docs.join(sized(gone), docs[row] == F.col(name), "left_anti")

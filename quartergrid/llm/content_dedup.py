@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartergrid.llm.joins import sized
+from quartergrid.llm.joins import free, sized
 from quartergrid.session import durable
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -81,9 +81,10 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
     """
     digest = F.sha2(F.translate(F.coalesce(docs[text], F.lit("")), BLANKS, ""), 256)
     marked = mark_copies(docs, doc_id, text)
+    name, of = free("_gone", docs), free("_of", docs)
     if row is None:
-        gone = marked.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_of")).distinct()
-        return docs.join(sized(durable(gone)), docs[doc_id].eqNullSafe(F.col("_gone")) & (digest == F.col("_of")), "left_anti")
+        gone = marked.where("NOT kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(of)).distinct()
+        return docs.join(sized(durable(gone)), docs[doc_id].eqNullSafe(F.col(name)) & (digest == F.col(of)), "left_anti")
     copied = durable(marked.where("group_size > 1").select("text_sha256").distinct())
     each = docs.select(
         docs[row].alias("_row"),
@@ -94,5 +95,5 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
     )
     among = durable(each.join(sized(copied), "text_sha256"))
     stays = among.groupBy("text_sha256").agg(F.min("rank")["row"].alias("_row")).select("_row")
-    gone = durable(among.select("_row").join(stays, "_row", "left_anti").withColumnRenamed("_row", "_gone"))
-    return docs.join(sized(gone), docs[row] == F.col("_gone"), "left_anti")
+    gone = durable(among.select("_row").join(stays, "_row", "left_anti").withColumnRenamed("_row", name))
+    return docs.join(sized(gone), docs[row] == F.col(name), "left_anti")

@@ -19,6 +19,14 @@ def look_up(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
 
 
+def free(base: str, *frames: DataFrame) -> str:
+    """``base``, lengthened until no frame has a column of that name in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def keyed(rows: DataFrame, name: str = "row_key") -> DataFrame:
     """Add a number of its own to every row. It is fixed only once the rows are written."""
     return rows.withColumn(name, F.monotonically_increasing_id())

@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartergrid.llm.tokens import release_words
 from quartergrid.llm.words import SLICE_BYTES, factorize, gather, slices, sums
 
 UNKNOWN = "und"
@@ -267,15 +268,20 @@ def fit(texts: list[str], labels: list[str], training: Training = Training()) ->
 
 
 def fit_table(docs: DataFrame, training: Training = Training(), text: str = "text", lang: str = "lang") -> Model:
-    """Fit on about ``training.documents`` rows of each language, chosen by a hash of the text."""
+    """Fit on at most ``training.documents`` different texts of each language, the first by a hash of the text.
+
+    Without labelled rows the model has no languages, and every text is ``und``.
+    """
     usable = docs.select(docs[text].alias("text"), docs[lang].alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
-        raise ValueError("no labelled rows")
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, training.documents / n))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = usable.where(draw < share[F.col("lang")]).limit(2 * training.documents * len(counts)).collect()
-    rows = sorted((r["lang"], r["text"]) for r in rows) or [(k, "") for k in counts]
+        none = np.zeros((0, 0))
+        return Model([], np.zeros((1 << TABLE_BITS, 0)), np.zeros(0, np.uint64), np.zeros(0, int), none, none)
+    # The group limit keeps a bounded number per language in every task before anything is shuffled.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    drawn = usable.withColumn("draw", F.xxhash64("text")).distinct()
+    rows = drawn.withColumn("place", place).where(F.col("place") <= training.documents).collect()
+    rows = sorted((r["lang"], r["text"]) for r in rows)
     return fit([t for _, t in rows], [k for k, _ in rows], training)
 
 
@@ -295,6 +301,7 @@ def label_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES // 2):
                 yield _labelled(part, shared.value)
@@ -318,6 +325,8 @@ def share_of(sure: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _labelled(part: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+    if not model.languages:
+        return _unlabelled(part)
     sure, words = distributions(part["text"], model)
     share = share_of(sure, words)
     best = share.argmax(axis=1)
@@ -346,16 +355,34 @@ def _labelled(part: pa.RecordBatch, model: Model) -> pa.RecordBatch:
     )
 
 
+def _unlabelled(part: pa.RecordBatch) -> pa.RecordBatch:
+    n = part.num_rows
+    words = chains(part["text"]).text_words
+    shares = pa.MapArray.from_arrays(pa.array([0] * (n + 1), pa.int32()), pa.array([], pa.string()), pa.array([], pa.float64()))
+    return pa.RecordBatch.from_arrays(
+        [
+            part["doc_id"], pa.array([UNKNOWN] * n, pa.string()), pa.array(np.zeros(n)),
+            pa.array(words.astype(np.int64)), pa.array(np.zeros(n, np.int64)), shares,
+        ],
+        ["doc_id", "lang_pred", "score", "words", "switches", "shares"],
+    )
+
+
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that are not ``und``, with all columns; code-switched text stays.
 
-    ``least`` is the mean share that the first language must hold besides.
+    ``least`` is the mean share that the first language must hold besides. A model without
+    languages rejects only texts without a letter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES // 2):
+                if not shared.value.languages:
+                    yield part.filter(pa.array(chains(part[text]).text_words > 0))
+                    continue
                 sure, words = distributions(part[text], shared.value)
                 yield part.filter(pa.array((words > 0) & (share_of(sure, words).max(axis=1, initial=0.0) >= least)))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartergrid.llm.joins import keyed
+from quartergrid.llm.joins import free, keyed
 from quartergrid.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -206,10 +206,12 @@ def mixed(
     ``row`` tells rows apart; if no column does, a keyed copy of ``docs`` is written.
     """
     if row is None:
-        return mixed(durable(keyed(docs, "_row")), doc_id, text, source, "_row", **options).drop("_row")
-    copies = mix(docs, doc_id, text, source, row=row, **options).select(F.col("row").alias("_mixed"), "copies")
+        row = free("_row", docs)
+        return mixed(durable(keyed(docs, row)), doc_id, text, source, row, **options).drop(row)
+    key, times, copy = (free(name, docs) for name in ("_mixed", "_copies", "_copy"))
+    copies = mix(docs, doc_id, text, source, row=row, **options).select(F.col("row").alias(key), F.col("copies").alias(times))
     return (
-        docs.join(copies.where("copies > 0"), docs[row] == F.col("_mixed"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .drop("_mixed", "copies", "_copy")
+        docs.join(copies.where(F.col(times) > 0), docs[row] == F.col(key))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+        .drop(key, times, copy)
     )

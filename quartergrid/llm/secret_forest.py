@@ -202,7 +202,9 @@ def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     node = F.xxhash64("candidate")
     distinct = durable(found.select(node.alias("node"), F.col("candidate").alias("low")).dropDuplicates(["node"]))
     parts = distinct.mapInArrow(cut, "node long, key string")
-    labels = words.select(F.col("word").alias("node"), F.lit(True).alias("component"))
+    # Only words that stand in a candidate are copied to spread hot keys.
+    met = durable(words.join(parts.select(F.col("key").alias("word")).distinct(), "word", "left_semi"))
+    labels = met.select(F.col("word").alias("node"), F.lit(True).alias("component"))
     held = look_up(parts, labels).groupBy("node").agg(F.collect_set("key").alias("words"))
     known = distinct.select("node").join(held, "node", "left").select(
         "node", F.coalesce("words", F.array().cast("array<string>")).alias("component")

@@ -90,6 +90,11 @@ def worker_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def release_words() -> None:
+    """Forget this worker's encoders and their words, for tasks of other operators that need the memory."""
+    worker_tokens.cache_clear()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Put ``end_id`` behind each text's ids."""
     ends = np.cumsum(counts)

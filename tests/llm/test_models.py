@@ -4,7 +4,6 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from quartergrid.llm import language, secret_forest, toxicity, weak_quality
@@ -125,8 +124,11 @@ def test_documents_without_letters_are_unknown(spark, edge_docs, no_docs):
     kept = language.keep_identified(edge_docs, model, least=0.0)
     assert kept.columns == edge_docs.columns and kept.count() == len(rows) - 3
     assert language.label_documents(no_docs, model).count() == 0
-    with pytest.raises(ValueError):
-        language.fit_table(no_docs)
+    unlabelled = edge_docs.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")
+    for table in (no_docs, unlabelled):
+        nothing = language.fit_table(table)
+        assert {(r["lang_pred"], r["score"]) for r in language.label_documents(edge_docs, nothing).collect()} == {("und", 0.0)}
+        assert language.keep_identified(edge_docs, nothing).count() == len(rows) - 3
 
 
 def test_held_out_language(spark):

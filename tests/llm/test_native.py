@@ -8,6 +8,7 @@ from quartergrid.llm.chosen_path import drop_near_copies
 from quartergrid.llm.content_dedup import drop_copies, mark_copies
 from quartergrid.llm.joins import keyed
 from quartergrid.llm.mixing import mix, mixed
+from quartergrid.session import durable
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
@@ -87,7 +88,7 @@ REPEATED = [
 
 
 def test_rows_are_judged_apart_where_ids_repeat_or_are_null(spark):
-    docs = keyed(spark.createDataFrame(REPEATED, "doc_id long, text string, source string")).localCheckpoint()
+    docs = durable(keyed(spark.createDataFrame(REPEATED, "doc_id long, text string, source string")))
     want = [(5, "C c c c c c"), (7, "A a a a a a"), (8, "D d d d d d"), (9, "E e e"), (None, "B b b b b b"), (None, "F f f f")]
     for dropped in (drop_copies(docs, row="row_key"), drop_near_copies(docs, row="row_key"), drop_near_copies(docs.drop("row_key"))):
         assert sorted([(r["doc_id"], r["text"]) for r in dropped.collect()], key=repr) == sorted(want, key=repr)
@@ -97,7 +98,7 @@ def test_rows_are_judged_apart_where_ids_repeat_or_are_null(spark):
 
 def test_each_row_takes_its_own_copies(spark):
     rows = [(None, f"w{k} " * (1 + k % 9), "a" if k % 3 else "b") for k in range(60)] + [(1, "x y", "a"), (1, "z " * 9, "c")]
-    docs = keyed(spark.createDataFrame(rows, "doc_id long, text string, source string")).localCheckpoint()
+    docs = durable(keyed(spark.createDataFrame(rows, "doc_id long, text string, source string")))
     counted = {r["row"]: r["copies"] for r in mix(docs, row="row_key").collect()}
     got = Counter(r["row_key"] for r in mixed(docs, row="row_key").collect())
     assert len(counted) == len(rows) and got == Counter({k: n for k, n in counted.items() if n})
