@@ -32,7 +32,7 @@ from quartergrid.session import durable
 CUT = re.compile(r"(?<=\S) (?=\S)")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE_MARK = "▁"
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 @dataclass(frozen=True)

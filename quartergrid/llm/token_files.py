@@ -252,7 +252,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again."""
     path = fresh_path(frame.sparkSession, name)
-    frame.write.option("compression", "zstd").parquet(path)
+    # Writers hold a row group in memory, so it is kept small.
+    frame.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return frame.sparkSession.read.parquet(path)
 
 
