@@ -32,7 +32,9 @@ from quartergrid.session import durable
 CUT = re.compile(r"(?<=\S) (?=\S)")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE_MARK = "▁"
-SLICE = 2 << 20
+SLICE = 1 << 20
+# Encodings take far more memory than their ids.
+AT_ONCE = 16
 
 
 @dataclass(frozen=True)
@@ -84,9 +86,11 @@ class TokenizerPair:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides for every text."""
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for left, right in zip(a, self.b.encode(texts, num_threads=1)):
-            yield np.array(left.ids, np.int64), np.array(right, np.int64)
+        for first in range(0, len(texts), AT_ONCE):
+            some = texts[first : first + AT_ONCE]
+            a = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
+            for left, right in zip(a, self.b.encode(some, num_threads=1)):
+                yield np.array(left.ids, np.int32), np.array(right, np.int32)
 
 
 @lru_cache(maxsize=1)
@@ -168,7 +172,7 @@ def _runs(pair: TokenizerPair, texts: list[str], within: list[list[int]]) -> Ite
         yield found if len(found) == 2 else None
 
 
-NOTHING = (np.zeros(0, np.int64), np.zeros(1, np.int64))
+NOTHING = (np.zeros(0, np.int32), np.zeros(1, np.int64))
 TOGETHER = 256
 
 
