@@ -17,10 +17,11 @@ def order_statistic(
     *,
     by: Sequence[str] = (),
     name: str = "order_statistic",
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact value at a zero-based rank per group; ``rank`` maps the row count to it.
 
-    NULL values do not count, NULL groups are groups, and NaN or infinite values stop
+    With ``weight``, a column of positive numbers, a row counts as that many rows. NULL values do not count, NULL groups are groups, and NaN or infinite values stop
     the job.
 
     Equal values are folded into weights first. The distinct values are then range
@@ -28,7 +29,7 @@ def order_statistic(
     group nor a hot value ends up in one task, and nothing is sampled.
     """
     known = frame.where(F.col(value).isNotNull()).withColumn(value, _finite(F.col(value)))
-    weights = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_weight"))
+    weights = known.groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_weight"))
     ranged = durable(
         weights.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id())
     )
@@ -37,7 +38,7 @@ def order_statistic(
     located = ranges.withColumns(
         {
             "_before": F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)),
-            "_rank": rank(F.sum("_in_range").over(Window.partitionBy(*by))).cast("bigint"),
+            "_rank": rank(F.sum("_in_range").over(Window.partitionBy(*by))).cast("double" if weight else "bigint"),
         }
     ).where(
         (F.col("_before") <= F.col("_rank"))

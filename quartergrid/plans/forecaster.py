@@ -8,13 +8,6 @@ from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel,
-    DecisionTreeRegressor,
-    GBTRegressionModel,
-    GBTRegressor,
-    LinearRegression,
-)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,31 +26,28 @@ from quartergrid.market import (
 from quartergrid.operators.monitoring import feature_statistics, input_drift
 from quartergrid.operators.splits import day_index, sample_weights, spread
 from quartergrid.operators.statistics import conformal_rank, order_statistic
-from quartergrid.session import durable
+from quartergrid.plans.boosting import BoostedTrees, Objective, boost
 
 SPREAD = "_spread"
 VECTOR = "_features"
-LEAF = "_leaf"
+BOUNDS = ("_lower_spread", "_upper_spread")
 
 
 @dataclass(frozen=True)
 class BoostingConfig:
-    """Knobs of the point model and of the tree behind the interval bounds.
+    """Knobs of the boosted point model and of the two boosted bounds.
 
-    Boosting ends at the best round before ``patience`` rounds bring no gain on the
-    held-out rows. ``linear_iterations`` bounds one linear fit; a fit that needs more raises.
+    Boosting ends when ``patience`` rounds bring no gain on the held-out rows, and keeps the
+    best round.
     """
 
     step: float = 0.05
     rounds: int = 250
     patience: int = 10
-    first_rounds: int = 32
     depth: int = 4
     interval_depth: int = 3
     min_rows: int = 40
     validation_share: float = 0.1
-    linear_iterations: int = 200
-    scale_rounds: int = 8
     seed: int = 42
 
 
@@ -76,7 +66,7 @@ LOSSES = tuple(
     for label, kind, heavy_from in (
         ("boosted, absolute", "absolute", None),
         ("boosted, squared", "squared", None),
-        (f"linear, Huber from {HUBER_DELTA:g} EUR/MWh", "huber", None),
+        (f"boosted, Huber from {HUBER_DELTA:g} EUR/MWh", "huber", None),
         (f"boosted, absolute, shifts from {MATERIAL_SHIFT:g} weighted", "absolute", MATERIAL_SHIFT),
     )
 )
@@ -122,85 +112,44 @@ def with_vector(frame: DataFrame, features: Sequence[str]) -> DataFrame:
     return assembler.transform(frame)
 
 
-def fit_point(frame: DataFrame, config: BoostingConfig, loss: Loss = LOSSES[0]):
+def fit_point(frame: DataFrame, config: BoostingConfig, loss: Loss = LOSSES[0]) -> BoostedTrees:
     """Fit the spread model. Early stopping watches a hashed tenth of the rows."""
-    if loss.kind == "huber":
-        return _fit_huber(frame, config)
-    bucket = F.pmod(F.xxhash64("delivery_date", "quarter_of_day"), F.lit(1000))
-    held_out = bucket < int(config.validation_share * 1000)
-    booster = GBTRegressor(
-        featuresCol=VECTOR, labelCol=SPREAD, predictionCol="_point", lossType=loss.kind,
-        stepSize=config.step, maxDepth=config.depth, minInstancesPerNode=config.min_rows,
-        seed=config.seed,
-    )
-    prepared = frame
-    if loss.heavy_from is not None:
-        weight = sample_weights(F.col(SPREAD), threshold=loss.heavy_from)
-        prepared = frame.withColumn("_weight", weight)
-        booster = booster.setWeightCol("_weight")
-    return _fit_patiently(
-        booster, prepared.where(~held_out), prepared.where(held_out), loss.kind, config
+    objective = Objective(loss.kind, HUBER_DELTA if loss.kind == "huber" else None)
+    weight = None if loss.heavy_from is None else sample_weights(F.col(SPREAD), threshold=loss.heavy_from)
+    return _boosted(frame, objective, config, "_point", config.depth, weight)
+
+
+def fit_bounds(frame: DataFrame, coverage: float, config: BoostingConfig) -> tuple[BoostedTrees, BoostedTrees]:
+    """Boosted models of the spread's lower and upper quantile under the pinball loss."""
+    alpha = 1 - coverage
+    lower, upper = (
+        _boosted(frame, Objective("quantile", share), config, name, config.interval_depth, None)
+        for share, name in zip((alpha / 2, 1 - alpha / 2), BOUNDS, strict=True)
     )
+    return lower, upper
 
 
-def best_round(errors: Sequence[float], patience: int) -> int | None:
-    """Rounds up to the best error that ``patience`` later rounds do not beat, or None."""
-    best = min(range(len(errors)), key=errors.__getitem__)
-    for at, error in enumerate(errors[: best + 1]):
-        if at + patience < len(errors) and error <= min(errors[at : at + patience + 1]):
-            return at + 1
-    return None
-
-
-def _fit_patiently(booster, train: DataFrame, held_out: DataFrame, kind: str, config: BoostingConfig):
-    """Boost in growing runs until the stop is seen; equal seeds give equal first trees."""
-    rounds = min(config.first_rounds, config.rounds)
-    watched = not held_out.isEmpty()
-    if not watched:
-        return booster.setMaxIter(config.rounds).fit(train)
-    while True:
-        model = booster.setMaxIter(rounds).fit(train)
-        errors = model.evaluateEachIteration(held_out, kind)
-        stop = best_round(errors, config.patience)
-        if stop is None and rounds < config.rounds:
-            rounds = min(2 * rounds, config.rounds)
-            continue
-        if stop is None:
-            stop = min(range(len(errors)), key=errors.__getitem__) + 1
-        return model if stop == rounds else booster.setMaxIter(stop).fit(train)
-
-
-def _fit_huber(frame: DataFrame, config: BoostingConfig):
-    """Linear model whose squared loss turns linear at ``HUBER_DELTA`` of price.
-
-    Spark states the bend as a multiple of the residual scale that it fits as well, so
-    the multiple is set from the last fit's scale until it settles. It cannot go below 1.
-    """
-    bend = 1.35
-    for _ in range(config.scale_rounds):
-        model = LinearRegression(
-            featuresCol=VECTOR, labelCol=SPREAD, predictionCol="_point", loss="huber",
-            epsilon=bend, solver="l-bfgs", maxIter=config.linear_iterations,
-        ).fit(frame)
-        if model.hasSummary and model.summary.totalIterations >= config.linear_iterations:
-            raise RuntimeError("the linear fit needs more iterations")
-        wanted = max(HUBER_DELTA / max(model.scale, 1e-9), 1.0001)
-        if abs(wanted - bend) < 0.01 * bend:
-            break
-        bend = wanted
-    return model
+def _boosted(
+    frame: DataFrame, objective: Objective, config: BoostingConfig, output: str, depth: int, weight: Column | None
+) -> BoostedTrees:
+    bucket = F.pmod(F.xxhash64("delivery_date", "quarter_of_day"), F.lit(1000))
+    return boost(
+        frame, objective, vector=VECTOR, label=SPREAD, output=output,
+        held_out=bucket < int(config.validation_share * 1000), step=config.step, rounds=config.rounds,
+        patience=config.patience, depth=depth, min_rows=config.min_rows, seed=config.seed, weight=weight,
+    )
 
 
 @dataclass(frozen=True)
 class ConformalForecaster:
-    """Fitted point model, interval tree with leaf quantiles, and calibration."""
+    """Fitted point model, models of the lower and upper quantile, and calibration."""
 
     features: tuple[str, ...]
     target: str
     reference: str
-    point_model: object
-    interval_tree: DecisionTreeRegressionModel
-    leaf_bounds: dict[float, tuple[float, float]]
+    point_model: BoostedTrees
+    lower_model: BoostedTrees
+    upper_model: BoostedTrees
     adjustment: float
     statistics: dict[str, tuple[float, float]]
     coverage: float = TARGET_COVERAGE
@@ -221,8 +170,8 @@ class ConformalForecaster:
     def predict(self, frame: DataFrame) -> DataFrame:
         """Add point, lower and upper prices to every row."""
         scored = self.point_model.transform(with_vector(frame, self.features))
-        scored = self.interval_tree.transform(scored)
-        lower, upper = _leaf_columns(self.leaf_bounds)
+        scored = self.upper_model.transform(self.lower_model.transform(scored))
+        lower, upper = (F.col(c) for c in BOUNDS)
         columns = assemble_interval(
             F.col("_point") * self.point_shrinkage,
             lower,
@@ -231,7 +180,7 @@ class ConformalForecaster:
             F.col(self.reference),
         )
         named = dict(zip((POINT, LOWER, UPPER), columns, strict=True))
-        return scored.withColumns(named).drop(VECTOR, LEAF, "_point", "_tree")
+        return scored.withColumns(named).drop(VECTOR, *BOUNDS, "_point")
 
     def drift(self, predicted: DataFrame, by: Sequence[str]) -> DataFrame:
         """Input and output drift of predicted rows against the training statistics."""
@@ -249,13 +198,12 @@ class ConformalForecaster:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write models and metadata; an existing version is never overwritten."""
-        self.point_model.write().save(f"{path}/point")
-        self.interval_tree.write().save(f"{path}/interval")
+        for name, model in (("point", self.point_model), ("lower", self.lower_model), ("upper", self.upper_model)):
+            model.save(spark, f"{path}/{name}")
         metadata = {
             "features": self.features,
             "target": self.target,
             "reference": self.reference,
-            "leaf_bounds": [[leaf, *bounds] for leaf, bounds in self.leaf_bounds.items()],
             "adjustment": self.adjustment,
             "statistics": self.statistics,
             "coverage": self.coverage,
@@ -272,11 +220,9 @@ class ConformalForecaster:
         if stored["model_data_version"] != MODEL_DATA_VERSION:
             raise ValueError(f"model must be retrained on data version {MODEL_DATA_VERSION}")
         stored["features"] = tuple(stored["features"])
-        stored["leaf_bounds"] = {leaf: (low, high) for leaf, low, high in stored["leaf_bounds"]}
         stored["statistics"] = {k: tuple(v) for k, v in stored["statistics"].items()}
         return cls(
-            point_model=GBTRegressionModel.load(f"{path}/point"),
-            interval_tree=DecisionTreeRegressionModel.load(f"{path}/interval"),
+            **{f"{name}_model": BoostedTrees.load(spark, f"{path}/{name}") for name in ("point", "lower", "upper")},
             **stored,
         )
 
@@ -294,7 +240,7 @@ def fit_forecaster(
 ) -> ConformalForecaster:
     """Fit on the rows of fully labelled days.
 
-    The point model sees all days. The interval tree leaves out the last
+    The point model sees all days. The quantile models leave out the last
     ``calibration_days``, which then calibrate the bounds.
     """
     if not 0 < coverage < 1 or not 0 <= point_shrinkage <= 1:
@@ -309,11 +255,10 @@ def fit_forecaster(
     ).persist()
     try:
         point_model = fit_point(prepared, config)
-        tree, bounds = _fit_bounds(
-            prepared.where(F.col("delivery_date") < cut), coverage, config
-        )
-        lower, upper = _leaf_columns(bounds)
-        calibration = tree.transform(prepared.where(F.col("delivery_date") >= cut)).select(
+        lower_model, upper_model = fit_bounds(prepared.where(F.col("delivery_date") < cut), coverage, config)
+        lower, upper = (F.col(c) for c in BOUNDS)
+        late = prepared.where(F.col("delivery_date") >= cut)
+        calibration = upper_model.transform(lower_model.transform(late)).select(
             SPREAD, F.least(lower, upper).alias("_low"), F.greatest(lower, upper).alias("_high")
         )
         adjustment = conformal_adjustment(
@@ -324,45 +269,12 @@ def fit_forecaster(
         prepared.unpersist()
     return ConformalForecaster(
         features=tuple(features), target=target, reference=reference, point_model=point_model,
-        interval_tree=tree, leaf_bounds=bounds, adjustment=float(adjustment),
+        lower_model=lower_model, upper_model=upper_model, adjustment=float(adjustment),
         statistics=statistics, coverage=coverage, calibration_days=calibration_days,
         point_shrinkage=point_shrinkage,
     )
 
 
-def _fit_bounds(frame: DataFrame, coverage: float, config: BoostingConfig):
-    """A small tree whose leaves hold the lower and upper spread quantiles."""
-    tree = DecisionTreeRegressor(
-        featuresCol=VECTOR, labelCol=SPREAD, predictionCol="_tree", leafCol=LEAF,
-        maxDepth=config.interval_depth, minInstancesPerNode=config.min_rows, seed=config.seed,
-    ).fit(frame)
-    alpha = 1 - coverage
-    # At most 2 ** interval_depth rows a bound.
-    leaves = durable(tree.transform(frame).select(LEAF, SPREAD))
-    low, high = (
-        {
-            row[LEAF]: row["bound"]
-            for row in order_statistic(leaves, SPREAD, _quantile_rank(q), by=[LEAF], name="bound").collect()
-        }
-        for q in (alpha / 2, 1 - alpha / 2)
-    )
-    return tree, {leaf: (low[leaf], high[leaf]) for leaf in low}
-
-
-def _quantile_rank(share: float):
-    """Rank of the smallest value that at least ``share`` of the rows do not pass."""
-    return lambda rows: F.greatest(F.ceil(rows * F.lit(share)) - 1, F.lit(0))
-
-
-def _leaf_columns(bounds: dict[float, tuple[float, float]]) -> tuple[Column, Column]:
-    lower, upper = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for leaf, (low, high) in sorted(bounds.items()):
-        here = F.col(LEAF) == leaf
-        lower = F.when(here, low).otherwise(lower)
-        upper = F.when(here, high).otherwise(upper)
-    return lower, upper
-
-
 def _statistics(frame: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     row = frame.agg(
         *feature_statistics({c: F.col(c).cast("double") for c in columns})
