@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import date
+from functools import partial
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,7 @@ from quartergrid.operators.monitoring import feature_statistics, input_drift
 from quartergrid.operators.splits import day_index, sample_weights, spread
 from quartergrid.operators.statistics import conformal_rank, order_statistic
 from quartergrid.plans.boosting import BoostedTrees, Objective, boost
+from quartergrid.session import together
 
 SPREAD = "_spread"
 VECTOR = "_features"
@@ -122,10 +124,12 @@ def fit_point(frame: DataFrame, config: BoostingConfig, loss: Loss = LOSSES[0])
 def fit_bounds(frame: DataFrame, coverage: float, config: BoostingConfig) -> tuple[BoostedTrees, BoostedTrees]:
     """Boosted models of the spread's lower and upper quantile under the pinball loss."""
     alpha = 1 - coverage
-    lower, upper = (
-        _boosted(frame, Objective("quantile", share), config, name, config.interval_depth, None)
-        for share, name in zip((alpha / 2, 1 - alpha / 2), BOUNDS, strict=True)
-    )
+
+    def fit(share: float, name: str) -> BoostedTrees:
+        return _boosted(frame, Objective("quantile", share), config, name, config.interval_depth, None)
+
+    shares = zip((alpha / 2, 1 - alpha / 2), BOUNDS, strict=True)
+    lower, upper = together(frame.sparkSession, [partial(fit, *one) for one in shares])
     return lower, upper
 
 
@@ -254,8 +258,9 @@ def fit_forecaster(
         frame.withColumn(SPREAD, spread(target, reference)), features
     ).persist()
     try:
-        point_model = fit_point(prepared, config)
-        lower_model, upper_model = fit_bounds(prepared.where(F.col("delivery_date") < cut), coverage, config)
+        early = prepared.where(F.col("delivery_date") < cut)
+        fits = (lambda: fit_point(prepared, config), lambda: fit_bounds(early, coverage, config))
+        point_model, (lower_model, upper_model) = together(frame.sparkSession, fits)
         lower, upper = (F.col(c) for c in BOUNDS)
         late = prepared.where(F.col("delivery_date") >= cut)
         calibration = upper_model.transform(lower_model.transform(late)).select(

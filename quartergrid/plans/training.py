@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ from quartergrid.plans.forecaster import (
     fit_point,
     with_vector,
 )
-from quartergrid.session import durable
+from quartergrid.session import durable, together
 
 UNCHANGED = "reference as it is"
 
@@ -132,7 +132,8 @@ def evaluate_candidate(
         "calibration_days": calibration_days, "config": config,
     }
     *folds, last = walk_forward_folds(frame, **sizes)
-    models = [fit_forecaster(days_before(frame, f.start), features, **settings) for f in folds]
+    fits = [partial(fit_forecaster, days_before(frame, f.start), features, **settings) for f in folds]
+    models = together(frame.sparkSession, fits)
     residual = spread(target, reference).alias("residual")
     pooled = reduce(
         DataFrame.unionByName,
@@ -192,7 +193,8 @@ def loss_predictions(
         evaluation = days_from(prepared, fold.start, fold.end)
         train = days_before(prepared, fold.start)
         scored = [(UNCHANGED, evaluation.withColumn("_point", F.lit(0.0)))]
-        scored += [(s.label, fit_point(train, config, s).transform(evaluation)) for s in losses]
+        fits = together(frame.sparkSession, [partial(fit_point, train, config, s) for s in losses])
+        scored += [(s.label, fit.transform(evaluation)) for s, fit in zip(losses, fits, strict=True)]
         parts += [
             rows.select(
                 F.lit(label).alias("point_loss"),

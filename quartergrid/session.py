@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
+
+Result = TypeVar("Result")
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,3 +57,10 @@ def durable(frame: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder, so a lost executor costs only a re-read."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def together(spark: SparkSession, calls: Iterable[Callable[[], Result]], at_once: int = 4) -> list[Result]:
+    """Results of independent calls that submit their Spark jobs side by side, in order."""
+    shared_folder(spark)
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda call: call()), list(calls)))
