@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -287,6 +288,17 @@ def _measured(found: Aligned, doc_ids: pa.Array, row: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _portions(batch: pa.RecordBatch, links: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many links; a longer text stands alone."""
+    ends = np.cumsum(pc.list_value_length(batch["a"]).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, before + links, side="right")), first + 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _link_keys(batch: pa.RecordBatch) -> np.ndarray:
     a, b = (batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
     return (a << 32) | b
@@ -303,9 +315,10 @@ def pair_counts(links: DataFrame) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
-            keys, n = np.unique(_link_keys(batch), return_counts=True)
-            for found, summed in tally.add(keys, n):
-                yield as_batch({"key": found, "n": summed[:, 0]})
+            for part in _portions(batch):
+                keys, n = np.unique(_link_keys(part), return_counts=True)
+                for found, summed in tally.add(keys, n):
+                    yield as_batch({"key": found, "n": summed[:, 0]})
         for found, summed in tally.finish():
             yield as_batch({"key": found, "n": summed[:, 0]})
 
@@ -352,8 +365,8 @@ def alignment_digest(
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _counted(batch, *known.value)
+            for part in _portions(batch):
+                yield _counted(part, *known.value)
 
     digest = links.mapInArrow(tasks, FOUND)
     if all_fit:
