@@ -12,8 +12,10 @@ from quartergrid.functions.timegrid import day_end, day_start
 from quartergrid.market import (
     CURVE_SERIES,
     PRICE_SERIES,
+    WEATHER_FALLBACK_MODEL,
     WEATHER_FIELDS,
     WEATHER_LOCATIONS,
+    WEATHER_MODEL,
 )
 from quartergrid.plans.requests import new_versions
 from quartergrid.sources import measurements as m
@@ -307,6 +309,61 @@ def json_weather_rows(spark, folder):
     return m.measurements(_weather_log(spark, folder))
 
 
+# Faults of a weather document, by (day of year + 5 at sea) % 16: what to look for, what to put
+# in its place, and the reason that must be given. None: the document is accepted.
+_HOURLY_AT, _UNITS_AT = '"hourly":\\{', '"hourly_units":\\{'
+_LISTED = ",".join(["1"] * 48)
+_NAMED = f'"cloud_cover_{WEATHER_MODEL}":'
+_WEATHER_FAULTS = (
+    ((), None),
+    (((_HOURLY_AT, f'"hourly":{{"temperature_2m_{WEATHER_MODEL}":null,'),),
+     "values are not 48 in temperature_2m"),
+    (((_HOURLY_AT, f'"hourly":{{"cloud_cover_{WEATHER_FALLBACK_MODEL}":null,'),), None),
+    (((_HOURLY_AT, f'"hourly":{{"wind_speed_100m_{WEATHER_FALLBACK_MODEL}":[1],'),),
+     "fallback values are not 48 in wind_speed_100m"),
+    ((('"timezone":"GMT"', '"timezone":"Europe/Berlin"'),), "timestamps are not GMT"),
+    (((',"[^"]*T23:00"\\]', "]"),), "incomplete: not all 48 hours are published"),
+    ((('"iso8601"', '"unixtime"'),), "times are not ISO 8601"),
+    ((('"latitude":', '"latitude":1'),), "location order changed"),
+    ((("T00:00", "T00:30"),), "hours are not the 48 consecutive run hours"),
+    ((('"latitude":', '"lat":'),), "no coordinates"),
+    ((("(?s)^(.{200}).*$", "$1"),), "unreadable document"),
+    ((('"cloud_cover":"%"', '"cloud_cover":"1"'),), "unexpected unit of cloud_cover"),
+    (((_HOURLY_AT, f'"hourly":{{{_NAMED}[{_LISTED}],'), (_UNITS_AT, f'"hourly_units":{{{_NAMED}"%",')), None),
+    (((_HOURLY_AT, f'"hourly":{{{_NAMED}[{_LISTED}],'),), "unexpected unit of cloud_cover"),
+    (((_HOURLY_AT, f'"hourly":{{{_NAMED}[true,{_LISTED[2:]}],'), (_UNITS_AT, f'"hourly_units":{{{_NAMED}"%",')),
+     "values are not 48 in cloud_cover"),
+    ((('"latitude":([0-9.]+)', '"latitude":"$1"'),), None),
+)
+_FAULT_ROWS = ", ".join(
+    f"({i}, {'NULL' if reason is None else repr(reason)})" for i, (_, reason) in enumerate(_WEATHER_FAULTS)
+)
+
+
+@query(
+    "weather_statuses",
+    "P10 P11 P12 P13 P15 P18 Q1",
+    f"""SELECT run AS delivery_date, cell AS series, CASE WHEN reason IS NULL THEN 'accepted'
+    WHEN reason LIKE 'incomplete: %' THEN 'incomplete' ELSE 'malformed' END AS status, reason
+FROM (SELECT DISTINCT CAST(ts AS DATE) AS run FROM events)
+CROSS JOIN (VALUES ('weather.ecmwf_ifs.land', 0), ('weather.ecmwf_ifs.sea', 5)) c(cell, later)
+JOIN (VALUES {_FAULT_ROWS}) f(fault, reason) ON fault = (dayofyear(run) + later) % 16""",
+)
+def weather_statuses(spark, folder):
+    """Every weather document with one of sixteen changes, and what is said about it."""
+    later = F.when(F.col("series").endswith("sea"), 5).otherwise(0)
+    fault = F.pmod(F.dayofyear("delivery_date") + later, F.lit(len(_WEATHER_FAULTS)))
+    payload = F.col("payload")
+    for i, (edits, _) in enumerate(_WEATHER_FAULTS):
+        changed = F.col("payload")
+        for pattern, put in edits:
+            changed = F.regexp_replace(changed, pattern, put)
+        if edits:
+            payload = F.when(fault == i, changed).otherwise(payload)
+    log = _weather_log(spark, folder).withColumn("payload", payload)
+    return m.payload_status(log).select("delivery_date", "series", "status", "reason")
+
+
 @query(
     "missing_temperatures",
     "P17",

@@ -19,6 +19,7 @@ from quartergrid.market import (
     REFERENCE,
     TARGET,
     UPPER,
+    WEATHER_FIELDS,
     WEATHER_LOCATIONS,
     Placement,
     WideLayout,
@@ -392,7 +393,8 @@ NAMES = ("load", "solar", "wind_onshore", "wind_offshore")
 TAILS = ("forecast_delivery_d_minus_1_mw", "actual_d_minus_2_mw")
 POWER = [f"{name}_{tail}" for tail in TAILS for name in NAMES]
 PLACES = [p[0] for p in WEATHER_LOCATIONS]
-FIELDS = ("temperature_2m_c", "cloud_cover_pct")
+SHOWN = [(field, column) for field, column, _ in WEATHER_FIELDS if field in v.MEAN_FIELDS]
+FIELDS = tuple(column for _, column in SHOWN)
 
 
 def _power_series(i: int) -> str:
@@ -430,7 +432,7 @@ def fundamentals_gw(spark, folder):
 WEATHER = {
     f"weather_{place}_{column}": f"weather.{place}.{field}"
     for place in PLACES
-    for column, field in zip(FIELDS, ("temperature_2m", "cloud_cover"), strict=True)
+    for field, column in SHOWN
 }
 MEANS_CTE = f"""{s.measurements_cte(s.AUTUMN)},
 {s.normalised_cte()},

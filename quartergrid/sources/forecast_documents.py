@@ -27,9 +27,13 @@ def _names(field: str) -> tuple[str, str, str]:
     return field, f"{field}_{WEATHER_MODEL}", f"{field}_{WEATHER_FALLBACK_MODEL}"
 
 
+# A suffixed list may be missing, and then another one counts, or present as NULL, and then
+# the document is wrong. VARIANT keeps the two apart.
 _HOURLY = ", ".join(
-    f"{name}: ARRAY<DOUBLE>" for field, _, _ in WEATHER_FIELDS for name in _names(field)
+    f"{plain}: ARRAY<DOUBLE>, {first}: VARIANT, {second}: VARIANT"
+    for plain, first, second in (_names(field) for field, _, _ in WEATHER_FIELDS)
 )
+_NUMBER_LIST = r"^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)|VOID)>$"
 _LOCATION = (
     "STRUCT<latitude: STRING, longitude: STRING, timezone: STRING, "
     "utc_offset_seconds: DOUBLE, hourly_units: MAP<STRING, STRING>, "
@@ -122,14 +126,17 @@ def _field(place: Column, spare: Column, field: str, _column: str, unit: str) ->
     plain, primary_name, fallback_name = _names(field)
     hourly, units = place["hourly"], place["hourly_units"]
     suffixed, inline = hourly[primary_name], hourly[fallback_name]
-    fallback, inline_used = inline, inline.isNotNull()
+    inline_used = inline.isNotNull() & ~F.is_variant_null(inline)
+    # What is no list of numbers counts as one of the wrong length.
+    no_list = F.array().cast("array<double>")
+    fallback = F.when(inline_used, F.coalesce(_numbers(inline), no_list))
     if field == TEMPERATURE:
-        fallback, inline_used = F.coalesce(spare, inline), inline_used & spare.isNull()
+        fallback, inline_used = F.coalesce(spare, fallback), inline_used & spare.isNull()
     return F.struct(
         F.lit(field).alias("field"),
         F.lit(unit).alias("unit"),
         F.lit(3600 if field == RADIATION else 0).alias("back"),
-        F.coalesce(suffixed, hourly[plain]).alias("primary"),
+        F.when(suffixed.isNotNull(), _numbers(suffixed)).otherwise(hourly[plain]).alias("primary"),
         F.when(suffixed.isNotNull(), units[primary_name])
         .otherwise(units[plain])
         .alias("primary_unit"),
@@ -138,6 +145,12 @@ def _field(place: Column, spare: Column, field: str, _column: str, unit: str) ->
     )
 
 
+def _numbers(found: Column) -> Column:
+    """A list of numbers and NULLs, or NULL where anything else is found."""
+    listed = F.schema_of_variant(found).rlike(_NUMBER_LIST)
+    return F.when(listed, F.try_variant_get(found, "$", "array<double>"))
+
+
 def _checked_field(item: Column) -> Column:
     """Values after repair, with the first problem of the lists or of a value."""
     field, unit, fallback = item["field"], item["unit"], item["fallback"]

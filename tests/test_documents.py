@@ -3,6 +3,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from documents import INGESTED, document, time_series, weather_payload
 
+from quartergrid.market import WEATHER_FALLBACK_MODEL, WEATHER_MODEL
 from quartergrid.sources import measurements as m
 from quartergrid.sources.forecast_documents import missing_temperatures
 
@@ -201,6 +202,31 @@ def _true_cloud(places):
     places[2]["hourly"]["cloud_cover"][5] = True
 
 
+def _null_named(places):
+    places[0]["hourly"][f"temperature_2m_{WEATHER_MODEL}"] = None
+
+
+def _null_spare(places):
+    places[0]["hourly"][f"cloud_cover_{WEATHER_FALLBACK_MODEL}"] = None
+
+
+def _number_spare(places):
+    places[0]["hourly"][f"cloud_cover_{WEATHER_FALLBACK_MODEL}"] = 7
+
+
+def _text_spare(places):
+    places[0]["hourly"][f"temperature_2m_{WEATHER_FALLBACK_MODEL}"] = ["1"] * 48
+    places[0]["hourly_units"][f"temperature_2m_{WEATHER_FALLBACK_MODEL}"] = "°C"
+
+
+def _text_place(places):
+    places[0]["latitude"] = str(places[0]["latitude"])
+
+
+def _seconds(places):
+    places[0]["hourly"]["time"] = [f"{hour}:00" for hour in places[0]["hourly"]["time"]]
+
+
 def _move(places):
     places[0]["latitude"] += 1
 
@@ -226,6 +252,12 @@ WEATHER = [
     (_drop_hour, "incomplete"),
     (_null_cloud, "incomplete"),
     (_true_cloud, "malformed"),
+    (_null_named, "malformed"),
+    (_null_spare, "accepted"),
+    (_number_spare, "malformed"),
+    (_text_spare, "malformed"),
+    (_text_place, "accepted"),
+    (_seconds, "accepted"),
     (_move, "malformed"),
     (_fewer, "malformed"),
     (_zone, "malformed"),
