@@ -7,9 +7,13 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from parity import features, payloads
 from parity import supplied as s
+from parity.registry import CATALOG as ALL
 from parity.registry import query, with_ctes
+from parity.supplied import EVENT_SERIES
 from quartergrid.functions.timegrid import forecast_kind
+from quartergrid.operators.calendar import holiday_calendar
 from quartergrid.operators.versions import changed_only, latest_version, upsert
 from quartergrid.plans.pending import (
     default_start,
@@ -18,9 +22,12 @@ from quartergrid.plans.pending import (
     pending_forecasts,
     ready_days,
 )
+from quartergrid.plans import refresh
+from quartergrid.plans.model_input import model_input
 from quartergrid.plans.requests import OFFSETS, missing_requests, request_plan
 from quartergrid.session import shared_folder
 from quartergrid.functions.timegrid import day_start
+from quartergrid.sources.measurements import MEASUREMENT_SCHEMA, RAW_SCHEMA, measurements
 from quartergrid.sources.tables import (
     DayTable,
     export_csv,
@@ -398,3 +405,64 @@ def csv_export(spark, folder):
     export_csv(rows, path, date(2000, 12, 31))
     schema = "delivery_date date, quarter_of_day int, n bigint, total double"
     return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def _thirds():
+    return F.pmod(F.dayofyear("delivery_date"), F.lit(3)) == 0
+
+
+def _refreshed_log(spark, folder):
+    """A stored log of old versions and two thirds of the new ones, and a refresh with all new ones."""
+    raw = payloads.curve_log(spark, folder)
+    new = F.col("payload") != "<broken>"
+    base = f"{shared_folder(spark)}/{uuid4().hex}"
+    log = DayTable(spark, f"{base}/log", RAW_SCHEMA)
+    state = DayTable(spark, f"{base}/state", refresh.STATE_SCHEMA)
+    log.append(raw.where(~new | ~_thirds()))
+    return base, log, log.version(), lambda: refresh.append_changed(log, state, raw.where(new))
+
+
+@query(
+    "refresh_appends",
+    "I3 P19",
+    with_ctes(
+        payloads.CURVE_CTE,
+        select="""SELECT delivery_date, series FROM states WHERE status = 'accepted'
+  AND dayofyear(delivery_date) % 3 = 0""",
+    ),
+)
+def refresh_appends(spark, folder):
+    """What a refresh appends: accepted payloads that differ from the stored digest."""
+    _, _, _, append = _refreshed_log(spark, folder)
+    return append().select("delivery_date", "series")
+
+
+@query("incremental_measurements", "P20 I3 S6 S9", ALL["xml_curve_expand"].sql)
+def incremental_measurements(spark, folder):
+    """Measurements of the stored log, then of what a refresh appended: the full build's rows."""
+    base, log, before, append = _refreshed_log(spark, folder)
+    table = DayTable(spark, f"{base}/measurements", MEASUREMENT_SCHEMA)
+    table.append(measurements(log.read(version=before)))
+    append()
+    refresh.refresh_measurements(log, table, before)
+    return table.read()
+
+
+@query("incremental_model_input", "K8 I6 S8", ALL["flagship_model_input"].sql)
+def incremental_model_input(spark, folder):
+    """The wide table built from partly wrong measurements, then refreshed: the full build's rows."""
+    right = s.measurements(spark, folder, s.AUTUMN)
+    wrong = (F.pmod(F.dayofmonth("delivery_date"), F.lit(9)) == 0) & (
+        F.col("series") == EVENT_SERIES["purchase"]
+    )
+    base = f"{shared_folder(spark)}/{uuid4().hex}"
+    measured = DayTable(spark, f"{base}/measurements", right.schema)
+    measured.append(right.withColumn("value", F.when(wrong, -1.0).otherwise(F.col("value"))))
+    holidays = holiday_calendar(s.year_bounds(spark, folder, s.AUTUMN), s.holiday_ranges(spark, folder))
+    rows = model_input(measured.read(), holidays, through=features.THROUGH)
+    wide = DayTable(spark, f"{base}/wide", rows.schema)
+    wide.append(rows)
+    measured.overwrite(measured.read().where(~wrong).unionByName(right.where(wrong)))
+    changed = right.where(wrong).select("delivery_date", "series").distinct()
+    refresh.refresh_model_input(measured, wide, changed, holidays, through=features.THROUGH)
+    return wide.read().withColumns({c: F.round(c, 6) for c in features.DIRECTIONS})

@@ -44,7 +44,7 @@ def _points(spark, folder):
     )
 
 
-def _curve_log(spark, folder):
+def curve_log(spark, folder):
     """Raw log of curve documents; every key also has an older, wrong version."""
     names = s.text_array(CURVE_SERIES)
     docs = (
@@ -149,7 +149,7 @@ filled AS (
     ),
 )
 def xml_curve_expand(spark, folder):
-    return m.measurements(_curve_log(spark, folder))
+    return m.measurements(curve_log(spark, folder))
 
 
 @query(
@@ -162,7 +162,7 @@ FROM states""",
     ),
 )
 def xml_statuses(spark, folder):
-    return m.payload_status(m.latest_payloads(_curve_log(spark, folder)))
+    return m.payload_status(m.latest_payloads(curve_log(spark, folder)))
 
 
 @query(
@@ -176,7 +176,7 @@ GROUP BY ALL UNION ALL SELECT 'malformed', 'unreadable document', series, count(
 )
 def payload_quarantine(spark, folder):
     """Old versions are broken, so every series has them besides its rejected variants."""
-    bad = m.quarantine(_curve_log(spark, folder))
+    bad = m.quarantine(curve_log(spark, folder))
     broken = F.col("payload") == "<broken>"
     return bad.groupBy("status", "reason", "series", broken.alias("_old")).agg(
         F.count(F.lit(1)).alias("n")
@@ -194,7 +194,7 @@ def payload_quarantine(spark, folder):
 )
 def accepted_batch(spark, folder):
     """Earlier days are stored already; the good payloads of later ones are new."""
-    log = _curve_log(spark, folder).where(F.col("payload") != "<broken>")
+    log = curve_log(spark, folder).where(F.col("payload") != "<broken>")
     stored = log.where(F.col("delivery_date") < F.lit(date(2024, 3, 20)))
     return new_versions(log, stored).select("delivery_date", "series")
 

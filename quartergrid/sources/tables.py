@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Sequence, Set
 from dataclasses import dataclass
 from datetime import date
 
@@ -89,9 +89,17 @@ class DayTable:
         """All commits: version, operation, time, schema and parts."""
         return self.spark.read.parquet(self._commits)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """Rows of the last version, or of an earlier one."""
-        return self._stored(version).drop(MONTH)
+    def read(self, version: int | None = None, months: Sequence[str] | None = None) -> DataFrame:
+        """Rows of the last version, or of an earlier one; with ``months`` (yyyy-MM) only theirs are read."""
+        stored = self._stored(version)
+        return (stored if months is None else stored.where(F.col(MONTH).isin(list(months)))).drop(MONTH)
+
+    def added(self, since: int) -> DataFrame:
+        """Rows of the folders that version ``since`` did not name.
+
+        In a table that is only appended to, these are the rows appended after that version.
+        """
+        return self._stored(without=set(self._manifest(since)["parts"])).drop(MONTH)
 
     def version(self) -> int:
         """Number of the last commit, to be stored with whatever is derived from it."""
@@ -110,11 +118,15 @@ class DayTable:
         self._commit("overwrite", rows, lambda part: False)
         return True
 
-    def replace_months(self, rows: DataFrame) -> bool:
-        """Replace only the months that occur in ``rows``."""
-        if rows.isEmpty():
-            return False
-        self._commit("overwrite", rows)
+    def replace_months(self, rows: DataFrame, months: Sequence[str] | None = None) -> bool:
+        """Replace only the months that occur in ``rows``, or the given ones, also where no row is left."""
+        if months is None:
+            if rows.isEmpty():
+                return False
+            self._commit("overwrite", rows)
+            return True
+        gone = {f"{MONTH}={month}" for month in months}
+        self._commit("overwrite", rows, lambda part: part.rpartition("/")[2] not in gone)
         return True
 
     def merge(self, updates: DataFrame, keys: Sequence[str]) -> None:
@@ -149,13 +161,13 @@ class DayTable:
             raise ValueError(f"there is no version {version}")
         return found
 
-    def _stored(self, version: int | None = None) -> DataFrame:
+    def _stored(self, version: int | None = None, without: Set[str] = frozenset()) -> DataFrame:
         found = self._manifest(version) if self.exists() else None
         schema = StructType.fromJson(json.loads(found["schema"])) if found else self._declared()
         fields = StructType(list(schema.fields)).add(MONTH, "string")
-        if not found or not found["parts"]:
+        paths = [f"{self._data}/{part}" for part in found["parts"] if part not in without] if found else []
+        if not paths:
             return self.spark.createDataFrame([], fields)
-        paths = [f"{self._data}/{part}" for part in found["parts"]]
         stored = self.spark.read.schema(StructType(list(fields.fields)).add(WRITE, "string"))
         return stored.option("basePath", self._data).parquet(*paths).drop(WRITE)
 
