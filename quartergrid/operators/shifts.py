@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from quartergrid.market import BOOTSTRAP_SAMPLES, MATERIAL_SHIFT
 from quartergrid.operators.metrics import mean_absolute, root_mean_square
 
+# Samples of a bootstrap that one task draws from one copy of the gains.
+BLOCK = 250
+
 
 def shift_metrics(
     actual: str, predicted: str, *, material_shift: float = MATERIAL_SHIFT
@@ -67,7 +70,8 @@ def gain_interval(
 
     ``gains`` has one row per day and group, so a group's gains form an array of at
     most 366 numbers per year. Each sample draws as many days as there are, by a hash
-    of (sample, slot): the draws need no join and do not depend on partitioning.
+    of (sample, slot): the draws need no join and do not depend on partitioning. The
+    array travels once per block of samples, and a block returns one mean per sample.
     """
     if samples < 1:
         raise ValueError("samples must be positive")
@@ -77,16 +81,22 @@ def gain_interval(
         F.avg("gain").alias("mae_gain"),
     )
     days = F.size("_gains")
-    drawn = F.aggregate(
-        F.sequence(F.lit(0), days - 1),
-        F.lit(0.0),
-        lambda total, slot: total
-        + F.get(F.col("_gains"), (slot_hash(F.col("_sample"), slot, seed) % days).cast("int")),
-    )
+
+    def mean(sample):
+        drawn = F.aggregate(
+            F.sequence(F.lit(0), days - 1),
+            F.lit(0.0),
+            lambda total, slot: total
+            + F.get(F.col("_gains"), (slot_hash(sample, slot, seed) % days).cast("int")),
+        )
+        return drawn / days
+
+    first = F.col("_block") * BLOCK
+    block = F.sequence(first, F.least(first + BLOCK, F.lit(samples)) - 1)
     means = (
-        groups.withColumn("_sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .repartition(*by, "_sample")
-        .select(*by, "mae_gain", (drawn / days).alias("_mean"))
+        groups.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // BLOCK))))
+        .repartition(*by, "_block")
+        .select(*by, "mae_gain", F.explode(F.transform(block, mean)).alias("_mean"))
     )
     bounds = F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975)))
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from quartergrid.session import durable
 
 
+# Most distinct values of a group that are sorted in one task.
+SORTED = 1_000_000
+# Most ranges into which one step cuts a range that is too large.
+PIECES = 1_000
+
+
 def order_statistic(
     frame: DataFrame,
     value: str,
@@ -18,46 +25,70 @@ def order_statistic(
     by: Sequence[str] = (),
     name: str = "order_statistic",
     weight: str | None = None,
+    largest: int = SORTED,
 ) -> DataFrame:
     """Exact value at a zero-based rank per group; ``rank`` maps the row count to it.
 
-    With ``weight``, a column of positive numbers, a row counts as that many rows. NULL values do not count, NULL groups are groups, and NaN or infinite values stop
-    the job.
+    With ``weight``, a column of positive numbers, a row counts as that many rows. NULL values
+    do not count, NULL groups are groups, and NaN or infinite values stop the job.
 
     Equal values are folded into weights first. The distinct values are then range
-    partitioned and only weights per range cross partitions, so neither a hot
-    group nor a hot value ends up in one task, and nothing is sampled.
+    partitioned and only weights per range cross partitions, so neither a hot group nor a hot
+    value ends up in one task, and nothing is sampled. While the range that holds a rank has
+    more than ``largest`` distinct values, it is cut into ranges again.
     """
+    if largest < 1:
+        raise ValueError("a task must be allowed one value")
     known = frame.where(F.col(value).isNotNull()).withColumn(value, _finite(F.col(value)))
     weights = known.groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_weight"))
-    ranged = durable(
-        weights.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id())
-    )
-    ranges = ranged.groupBy(*by, "_range").agg(F.sum("_weight").alias("_in_range"))
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    located = ranges.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)),
-            "_rank": rank(F.sum("_in_range").over(Window.partitionBy(*by))).cast("double" if weight else "bigint"),
-        }
-    ).where(
-        (F.col("_before") <= F.col("_rank"))
-        & (F.col("_rank") < F.col("_before") + F.col("_in_range"))
-    )
-    # One range per group is left: its slice of the sorted distinct values.
-    renamed = located.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "_range"]})
-    same = [ranged[c].eqNullSafe(renamed[f"_of_{c}"]) for c in [*by, "_range"]]
-    slices = ranged.join(renamed, same)
+    ranged = durable(_cut(weights.repartitionByRange(*by, value)))
+    total = F.sum("_in_range").over(Window.partitionBy(*by))
+    slices, most = _holding(ranged, by, rank(total).cast("double" if weight else "bigint"))
+    while most > largest:
+        pieces = min(PIECES, max(2, math.ceil(2 * most / largest)))
+        ranged = durable(_cut(slices.repartitionByRange(pieces, *by, value)))
+        slices, most = _holding(ranged, by, F.max("_wanted").over(Window.partitionBy(*by)))
     running = Window.partitionBy(*by).orderBy(value)
-    reached = F.col("_before") + F.sum("_weight").over(running) > F.col("_rank")
     return (
-        slices.withColumn("_reached", reached)
+        slices.withColumn("_reached", F.sum("_weight").over(running) > F.col("_wanted"))
         .where("_reached")
         .groupBy(*by)
         .agg(F.min(value).alias(name))
     )
 
 
+def _cut(values: DataFrame) -> DataFrame:
+    return values.withColumn("_range", F.spark_partition_id())
+
+
+def _holding(ranged: DataFrame, by: Sequence[str], wanted: Column) -> tuple[DataFrame, int]:
+    """Each group's range that holds the wanted rank, and the values in the largest of these.
+
+    ``wanted`` is an expression over the ranges; ``_wanted`` of the result counts from the start
+    of its range.
+    """
+    again = [F.first("_wanted").alias("_wanted")] if "_wanted" in ranged.columns else []
+    ranges = ranged.groupBy(*by, "_range").agg(
+        F.sum("_weight").alias("_in_range"), F.count(F.lit(1)).alias("_values"), *again
+    )
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_in_range").over(earlier), F.lit(0))
+    located = (
+        ranges.withColumns({"_before": before, "_wanted": wanted})
+        .where(
+            (F.col("_before") <= F.col("_wanted"))
+            & (F.col("_wanted") < F.col("_before") + F.col("_in_range"))
+        )
+        .withColumn("_wanted", F.col("_wanted") - F.col("_before"))
+    )
+    most = located.agg(F.max("_values")).first()[0] or 0
+    keys = [*by, "_range"]
+    renamed = located.select("_wanted", *(F.col(c).alias(f"_of_{c}") for c in keys))
+    values = ranged.drop(*["_wanted"] if again else [])
+    same = [values[c].eqNullSafe(renamed[f"_of_{c}"]) for c in keys]
+    return values.join(renamed, same).drop("_range", *(f"_of_{c}" for c in keys)), most
+
+
 def _finite(value: Column) -> Column:
     stop = F.raise_error(F.lit("order statistics need finite values")).cast("double")
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), stop).otherwise(value)

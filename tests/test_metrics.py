@@ -1,3 +1,4 @@
+import hashlib
 import math
 from datetime import date, timedelta
 
@@ -9,6 +10,7 @@ from quartergrid.operators import splits
 from quartergrid.operators.metrics import forecast_metrics
 from quartergrid.operators.monitoring import assess_drift, feature_statistics, input_drift
 from quartergrid.operators.shifts import (
+    BLOCK,
     best_shrinkage,
     daily_gains,
     gain_interval,
@@ -101,6 +103,36 @@ def test_order_statistic_matches_numpy_with_hot_values(spark, coverage):
     assert len(found) == 2
 
 
+def test_order_statistic_cuts_large_ranges_again(spark):
+    rng = np.random.default_rng(5)
+    groups = {"hot": rng.normal(size=6000), None: rng.normal(size=40), "one": np.array([3.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    for share in (0.37, 1.0):
+        rank = lambda count: F.floor((count - 1) * F.lit(share))
+        found = order_statistic(frame, "v", rank, by=["g"], largest=150).collect()
+        assert {row["g"]: row["order_statistic"] for row in found} == {
+            g: np.sort(vs)[math.floor((len(vs) - 1) * share)] for g, vs in groups.items()
+        }
+    assert order_statistic(frame.limit(0), "v", rank, by=["g"], largest=150).isEmpty()
+    assert order_statistic(frame, "v", rank, largest=150).first()[0] == max(v for _, v in rows)
+
+
+def test_bootstrap_ships_the_gains_once_per_block(spark):
+    gains = spark.createDataFrame([(DAY, 1.0), (DAY + timedelta(1), 4.0)], "delivery_date date, gain double")
+    found = gain_interval(gains, samples=BLOCK + 1)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.first()["mae_gain"] == 2.5
+    assert plan.count("explode") >= 2
+    exact = [
+        sum((1.0, 4.0)[int(hashlib.md5(f"42:{s}:{d}".encode()).hexdigest()[:8], 16) % 2] for d in range(2)) / 2
+        for s in range(BLOCK + 1)
+    ]
+    assert found.first()["mae_gain_ci_low"] == pytest.approx(np.quantile(exact, 0.025))
+    assert found.first()["mae_gain_ci_high"] == pytest.approx(np.quantile(exact, 0.975))
+
+
 def test_interval_contains_the_point(spark):
     columns = assemble_interval(*(F.lit(float(v)) for v in (5, 1, -1, -3, 100)))
     assert tuple(spark.range(1).select(*columns).first()) == (105, 102, 105)
