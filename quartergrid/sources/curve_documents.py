@@ -55,15 +55,20 @@ def parse_curves(raw: DataFrame, payload: Column | None = None) -> DataFrame:
     )
     checked = typed.withColumn("_series", F.transform("_series", _checked_series))
     return (
-        checked.withColumn("_found", _document_reasons(F.col("_series")))
+        checked.withColumn("_kept", _without_copies(F.col("_series")))
+        .withColumn(
+            "_found", _first_problem(F.col("_series"), F.col("_kept"), "conflicting time series")
+        )
         .withColumn("_grid", physical_grid(F.col("delivery_date")))
-        .withColumn("_points", F.array_sort(_distinct_points(F.col("_series"))))
+        .withColumn(
+            "_points", F.array_sort(F.flatten(F.transform("_kept", lambda item: item["values"])))
+        )
         .withColumn("_starts", _starts(F.col("_points")))
         .withColumn("reason", _reason())
         .withColumn("status", status_of(F.col("reason")))
         .withColumn("unit", F.when(is_price, "EUR/MWh").otherwise("MW"))
         .withColumn("intervals", F.when(F.col("reason").isNull(), F.col("_points")))
-        .drop("_doc", "_broken", "_series", "_found", "_grid", "_points", "_starts")
+        .drop("_doc", "_broken", "_series", "_kept", "_found", "_grid", "_points", "_starts")
     )
 
 
@@ -164,14 +169,12 @@ def _checked_series(item: Column) -> Column:
     periods = F.transform(item["periods"], _with_positions)
     periods = F.transform(periods, lambda period: _with_reason(period, curve))
     periods = F.transform(periods, _with_values)
-    periods = F.transform(periods, _with_starts)
     return _bind(
         _bind(periods, lambda found: _series_outcome(item, found)),
         lambda outcome: F.struct(
             outcome["reason"].alias("reason"),
             curve.alias("curve"),
             F.when(outcome["reason"].isNull(), outcome["values"]).alias("values"),
-            _starts(outcome["values"]).alias("starts"),
         ),
     )
 
@@ -179,7 +182,7 @@ def _checked_series(item: Column) -> Column:
 def _series_outcome(item: Column, periods: Column) -> Column:
     reason = F.coalesce(
         item["head"],
-        _first(F.transform(periods, lambda period, i: _conflict(periods, period, i))),
+        _first_problem(periods, _placed(periods), "duplicate interval"),
         F.when(F.coalesce(F.size(periods), F.lit(0)) <= 0, "no period"),
     )
     values = F.flatten(F.transform(periods, lambda period: period["values"]))
@@ -251,53 +254,82 @@ def _with_values(period: Column) -> Column:
     )
 
 
-def _with_starts(period: Column) -> Column:
-    values = period["values"]
-    return F.struct(
-        period["reason"].alias("reason"), values.alias("values"), _starts(values).alias("starts")
-    )
-
-
 def _starts(values: Column) -> Column:
     return F.transform(values, lambda value: value["start"])
 
 
-def _overlaps(items: Column, item: Column, i: Column) -> Column:
-    return F.exists(
-        F.slice(items, 1, i),
-        lambda earlier: F.arrays_overlap(earlier["starts"], item["starts"]),
+def _placed(items: Column) -> Column:
+    """Values of the usable items, each with its place in the document."""
+    placed = F.transform(items, lambda item, i: F.struct(i.alias("at"), item["values"].alias("values")))
+    return F.filter(placed, lambda item: item["values"].isNotNull())
+
+
+def _without_copies(items: Column) -> Column:
+    """Usable TimeSeries with their places, the first of each group of identical ones.
+
+    Sorting by a digest and then by content brings copies together.
+    """
+    usable = F.filter(
+        F.transform(
+            items,
+            lambda item, i: F.struct(
+                F.xxhash64(item["curve"], item["values"]).alias("digest"),
+                item["curve"].alias("curve"),
+                item["values"].alias("values"),
+                i.alias("at"),
+            ),
+        ),
+        lambda item: item["values"].isNotNull(),
     )
 
+    def first_of_its_kind(ordered):
+        def differs(item, k):
+            before = F.get(ordered, k - 1)
+            return (k == 0) | ~(
+                (before["digest"] == item["digest"])
+                & before["curve"].eqNullSafe(item["curve"])
+                & (before["values"] == item["values"])
+            )
 
-def _conflict(items: Column, item: Column, i: Column) -> Column:
-    """An item's own reason, or that it repeats an interval of an earlier one."""
-    return F.coalesce(item["reason"], F.when(_overlaps(items, item, i), "duplicate interval"))
+        return F.filter(ordered, differs)
 
+    return _bind(F.array_sort(usable), first_of_its_kind)
 
-def _document_reasons(items: Column) -> Column:
-    """The same over whole TimeSeries, where an identical copy is ignored."""
 
-    def reason(item, i):
-        copied = F.exists(
-            F.slice(items, 1, i),
-            lambda earlier: (earlier["curve"] == item["curve"])
-            & (earlier["values"] == item["values"]),
-        )
-        return F.coalesce(
-            item["reason"],
-            F.when(_overlaps(items, item, i) & ~copied, "conflicting time series"),
+def _first_clash(placed: Column) -> Column:
+    """Place of the first item that repeats an interval of an earlier one.
+
+    One sweep over all intervals by start and place; items are not compared in pairs.
+    """
+    intervals = F.flatten(
+        F.transform(
+            placed,
+            lambda item: F.transform(
+                item["values"],
+                lambda value: F.struct(value["start"].alias("start"), item["at"].alias("at")),
+            ),
         )
+    )
 
-    return F.transform(items, reason)
+    def repeated(ordered):
+        def clashes(interval, k):
+            before = F.get(ordered, k - 1)
+            return (k > 0) & (before["start"] == interval["start"]) & (before["at"] < interval["at"])
 
+        return F.array_min(F.transform(F.filter(ordered, clashes), lambda interval: interval["at"]))
 
-def _first(texts: Column) -> Column:
-    return F.get(F.filter(texts, lambda text: text.isNotNull()), F.lit(0))
+    return _bind(F.array_sort(intervals), repeated)
 
 
-def _distinct_points(items: Column) -> Column:
-    contents = F.array_distinct(F.transform(items, lambda item: item["values"]))
-    return F.flatten(F.filter(contents, lambda values: values.isNotNull()))
+def _first_problem(items: Column, placed: Column, clash: str) -> Column:
+    """First problem in order: an item's own reason, or ``clash`` where it repeats an interval."""
+    own = F.array_min(F.transform(items, lambda item, i: F.when(item["reason"].isNotNull(), i)))
+    return _bind(
+        F.struct(own.alias("own"), _first_clash(placed).alias("clash")),
+        lambda at: F.when(
+            at["clash"].isNotNull() & (at["own"].isNull() | (at["clash"] < at["own"])), clash
+        ).otherwise(F.get(items, at["own"])["reason"]),
+    )
 
 
 def _reason() -> Column:
@@ -313,7 +345,7 @@ def _reason() -> Column:
         F.when(~F.col("series").isin(*CURVE_SERIES), "unknown series")
         .when(F.col("_broken"), "unreadable document")
         .when(F.coalesce(F.size("_series"), F.lit(0)) <= 0, "no time series")
-        .when(_first(F.col("_found")).isNotNull(), _first(F.col("_found")))
+        .when(F.col("_found").isNotNull(), F.col("_found"))
         .when(F.size(F.array_except(starts, grid)) > 0, "interval off the delivery grid")
         .when(
             (missing > 0) & ~late_start,

@@ -5,6 +5,7 @@ from documents import INGESTED, document, time_series, weather_payload
 
 from quartergrid.market import WEATHER_FALLBACK_MODEL, WEATHER_MODEL
 from quartergrid.sources import measurements as m
+from quartergrid.sources.curve_documents import parse_curves
 from quartergrid.sources.forecast_documents import missing_temperatures
 
 DAY = date(2026, 1, 1)
@@ -308,3 +309,38 @@ def test_missing_temperatures(spark):
         [(RUN, SEA, weather_payload(RUN, "sea", change=blank), INGESTED)], m.RAW_SCHEMA
     )
     assert missing_temperatures(raw).first()["missing_temperatures"] == 3
+
+
+def _quarters(value, count=96, first=0):
+    """One TimeSeries per quarter of the day."""
+    begin = datetime(2025, 12, 31, 23)
+    return [
+        time_series(
+            [(1, value)],
+            f"{begin + timedelta(minutes=15 * q):%Y-%m-%dT%H:%MZ}",
+            f"{begin + timedelta(minutes=15 * (q + 1)):%Y-%m-%dT%H:%MZ}",
+        )
+        for q in range(first, first + count)
+    ]
+
+
+def test_documents_of_thousands_of_time_series(spark):
+    copies = _quarters(1) * 40
+    payloads = {
+        "copies": document(*copies),
+        "conflict at the end": document(*copies, *_quarters(2, 1, 50)),
+        "own reason first": document(*copies[:96], time_series([(2, 1)], *FULL), *_quarters(2, 1)),
+        "conflict first": document(*copies[:96], *_quarters(2, 1), time_series([(2, 1)], *FULL)),
+        "same values, other curve": document(_period(FLAT), time_series([(i, 1) for i in range(1, 97)], *FULL, curve="A01")),
+    }
+    rows = [(DAY, LOAD, name, payload) for name, payload in payloads.items()]
+    raw = spark.createDataFrame(rows, "delivery_date date, series string, name string, payload string")
+    found = {r["name"]: (r["status"], r["reason"], len(r["intervals"] or [])) for r in parse_curves(raw).collect()}
+    conflict = ("malformed", "conflicting time series", 0)
+    assert found == {
+        "copies": ("accepted", None, 96),
+        "conflict at the end": conflict,
+        "own reason first": ("malformed", "curve does not start at position 1", 0),
+        "conflict first": conflict,
+        "same values, other curve": conflict,
+    }
