@@ -29,7 +29,9 @@ from quartergrid.session import shared_folder
 from quartergrid.functions.timegrid import day_start
 from quartergrid.sources.measurements import MEASUREMENT_SCHEMA, RAW_SCHEMA, measurements
 from quartergrid.sources.tables import (
+    HOLIDAY_SCHEMA,
     DayTable,
+    cover_holidays,
     export_csv,
     extract_snapshot,
     production_version,
@@ -466,3 +468,56 @@ def incremental_model_input(spark, folder):
     changed = right.where(wrong).select("delivery_date", "series").distinct()
     refresh.refresh_model_input(measured, wide, changed, holidays, through=features.THROUGH)
     return wide.read().withColumns({c: F.round(c, 6) for c in features.DIRECTIONS})
+
+
+_LATER = "CAST(o_orderdate AS DATE) BETWEEN DATE '1993-03-01' AND DATE '1997-06-30'"
+_FIRST = "DATE '1992-01-01' + CAST(s_suppkey * 37 % 2400 AS INTEGER)"
+
+
+@query(
+    "holiday_cache",
+    "S18 K6",
+    with_ctes(
+        f"""stored AS (SELECT CAST(o_orderdate AS DATE) AS delivery_date,
+    min(o_custkey) % 2 = 0 AS is_holiday_de_nationwide, max(o_custkey) % 3 = 0 AS is_holiday_lu
+  FROM orders WHERE o_orderkey % 3 <> 0 OR year(CAST(o_orderdate AS DATE)) > 1994 GROUP BY 1)""",
+        """asked AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS delivery_date
+  FROM (SELECT CAST(min(CAST(o_orderdate AS DATE)) AS TIMESTAMP) AS lo,
+    CAST(max(CAST(o_orderdate AS DATE)) AS TIMESTAMP) AS hi FROM orders WHERE """ + _LATER + "))",
+        """gaps AS (SELECT DISTINCT year(delivery_date) AS y FROM asked
+  WHERE delivery_date NOT IN (SELECT delivery_date FROM stored))""",
+        f"""covered AS (SELECT DISTINCT s_suppkey % 2 = 0 AS de, CAST(unnest(generate_series(
+    CAST({_FIRST} AS TIMESTAMP), CAST({_FIRST} + s_nationkey % 3 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE)
+    AS delivery_date FROM supplier WHERE s_suppkey % 2 = 1 OR s_acctbal > 4000)""",
+        select="""SELECT a.delivery_date, coalesce(bool_or(c.de), false) AS is_holiday_de_nationwide,
+  coalesce(bool_or(NOT c.de), false) AS is_holiday_lu FROM asked a LEFT JOIN covered c USING (delivery_date)
+WHERE year(a.delivery_date) IN (SELECT y FROM gaps) GROUP BY 1
+UNION ALL SELECT s.* FROM stored s JOIN asked USING (delivery_date)
+WHERE year(s.delivery_date) NOT IN (SELECT y FROM gaps)""",
+    ),
+)
+def holiday_cache(spark, folder):
+    """Order dates as a cache with holes: whole years with a hole are computed anew."""
+    day = F.col("o_orderdate").cast("date")
+    orders = s.table(spark, folder, "orders").withColumn("delivery_date", day)
+    stored = (
+        orders.where((F.col("o_orderkey") % 3 != 0) | (F.year("delivery_date") > 1994))
+        .groupBy("delivery_date")
+        .agg(
+            (F.min("o_custkey") % 2 == 0).alias("is_holiday_de_nationwide"),
+            (F.max("o_custkey") % 3 == 0).alias("is_holiday_lu"),
+        )
+    )
+    bounds = orders.where(F.expr(_LATER)).agg(
+        F.min("delivery_date").alias("start"), F.max("delivery_date").alias("end")
+    )
+    first = F.date_add(F.lit("1992-01-01").cast("date"), F.pmod(F.col("s_suppkey") * 37, F.lit(2400)).cast("int"))
+    ranges = s.table(spark, folder, "supplier").select(
+        F.when(F.col("s_suppkey") % 2 == 0, "DE").otherwise("LU").alias("country"),
+        first.alias("start_date"),
+        F.date_add(first, F.col("s_nationkey") % 3).alias("end_date"),
+        (F.col("s_acctbal") > 4000).alias("nationwide"),
+    )
+    cache = DayTable(spark, f"{shared_folder(spark)}/{uuid4().hex}", HOLIDAY_SCHEMA)
+    cache.append(stored)
+    return cover_holidays(cache, bounds, ranges)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from parity import supplied as s
@@ -30,7 +32,8 @@ from quartergrid.operators.normalise import normalise_quarters
 from quartergrid.operators.wide import pivot_columns, place_series
 from quartergrid.plans import evaluate as e
 from quartergrid.plans import views as v
-from quartergrid.session import durable
+from quartergrid.session import durable, shared_folder
+from quartergrid.sources.tables import DayTable
 
 PRICES = ("de_lu.price.sdac", "de_lu.price.exaa")
 PRICE_LAYOUT = WideLayout(
@@ -247,6 +250,29 @@ def evaluate_days(spark, folder):
     return evaluated.drop("evaluated_at").withColumns({c: F.round(c, 6) for c in columns})
 
 
+@query("evaluate_stored_days", "M7 M8 M9 J12 S8 S9", ALL["evaluate_days"].sql)
+def evaluate_stored_days(spark, folder):
+    """Stored tables evaluated in two runs, the second with the first one's rows as history."""
+    prices, wide, forecasts = _published(spark, folder)
+    base = f"{shared_folder(spark)}/{uuid4().hex}"
+    tables = []
+    for name, rows in (("forecasts", forecasts), ("wide", wide), ("prices", prices)):
+        tables.append(DayTable(spark, f"{base}/{name}", rows.schema))
+        tables[-1].append(rows)
+    others = _model_runs(forecasts), _model_mae(spark, folder)
+    history = _history(spark, folder)
+    days = tables[0].read().select("delivery_date").distinct()
+    schema = e.evaluate_days(days, *(table.read() for table in tables), *others, history).schema
+    metrics = DayTable(spark, f"{base}/metrics", schema)
+    metrics.append(spark.createDataFrame([], schema).unionByName(history, allowMissingColumns=True))
+    middle = days.agg(F.min("delivery_date"), F.max("delivery_date")).first()
+    early = F.col("delivery_date") < F.lit(middle[0] + (middle[1] - middle[0]) / 2)
+    for part in (early, ~early):
+        e.evaluate_stored(days.where(part), *tables, *others, metrics)
+    found = metrics.read().join(days, "delivery_date", "left_semi").drop("evaluated_at")
+    return found.withColumns({c: F.round(c, 6) for c in (*ALL_METRICS, *ROLLING)})
+
+
 def _metrics(spark, folder):
     """Stored daily metrics of working days."""
     days = s.events(spark, folder, s.AUTUMN).select("delivery_date").distinct()

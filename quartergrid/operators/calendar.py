@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartergrid.functions.timegrid import local_start, season, weekday
@@ -79,3 +79,24 @@ def holiday_calendar(bounds: DataFrame, holidays: DataFrame) -> DataFrame:
     return days.join(holiday_dates(holidays), "delivery_date", "left").select(
         "delivery_date", *(F.coalesce(F.col(flag), F.lit(False)).alias(flag) for flag in flags)
     )
+
+
+def uncovered_years(bounds: DataFrame, stored: DataFrame) -> DataFrame:
+    """Ranges of whole years of which some requested date is not stored; neighbours form one range.
+
+    ``bounds`` has inclusive ``start`` and ``end`` dates, ``stored`` a ``delivery_date``. The
+    window sees one row per year.
+    """
+    days = days_between(bounds.select("start", "end"), "start", "end").select("delivery_date").distinct()
+    missing = days.join(stored.select("delivery_date"), "delivery_date", "left_anti")
+    years = missing.select(F.year("delivery_date").alias("year")).distinct()
+    island = F.col("year") - F.row_number().over(Window.orderBy("year"))
+    return (
+        years.withColumn("_island", island)
+        .groupBy("_island")
+        .agg(
+            F.make_date(F.min("year"), F.lit(1), F.lit(1)).alias("start"),
+            F.make_date(F.max("year"), F.lit(12), F.lit(31)).alias("end"),
+        )
+        .drop("_island")
+    )

@@ -26,6 +26,9 @@ from quartergrid.market import (
 )
 from quartergrid.operators.metrics import DAILY_METRICS, market_metrics
 from quartergrid.operators.monitoring import ROLLING, assess_drift
+from quartergrid.plans.refresh import months_of
+from quartergrid.session import durable
+from quartergrid.sources.tables import DayTable
 
 TARGET_PRICE = "de_lu.price.sdac"
 REFERENCE_PRICE = "de_lu.price.exaa"
@@ -143,10 +146,15 @@ def evaluate_days(
     ``runs`` supplies drift values per day, ``model_mae`` the test MAE per model
     version as ``reference_mae``, and ``history`` earlier metric rows. All days are
     evaluated at once, so the rolling values do not depend on an order of runs. An
-    inconsistent day stops the evaluation.
+    inconsistent day stops the evaluation. Rows of other days are left before any
+    aggregation or join.
     """
     key = [*entity, "delivery_date"]
-    rows = forecast_rows(forecasts.join(days, key, "left_semi"), wide, entity=entity)
+    asked = days.select(*key)
+    forecasts, wide, measurements = (
+        frame.join(asked, key, "left_semi") for frame in (forecasts, wide, measurements)
+    )
+    rows = forecast_rows(forecasts, wide, entity=entity)
     quality = published_quality(rows, entity=entity).where(F.col("state") != "waiting")
     ready = quality.select(
         *key,
@@ -179,6 +187,36 @@ def evaluate_days(
     )
 
 
+def evaluate_stored(
+    days: DataFrame,
+    forecasts: DayTable,
+    wide: DayTable,
+    measured: DayTable,
+    runs: DataFrame,
+    model_mae: DataFrame,
+    metrics: DayTable,
+    **options,
+) -> DataFrame:
+    """Evaluate days of stored tables and merge the metric rows; returns these.
+
+    Only the months of the requested days are read from the three large tables. The metric
+    table has one row per day and gives the rolling values their history.
+    """
+    months = months_of(days)
+    found = durable(
+        evaluate_days(
+            days,
+            *(table.read(months=months) for table in (forecasts, wide, measured)),
+            runs,
+            model_mae,
+            metrics.read(),
+            **options,
+        )
+    )
+    metrics.merge(found, [*options.get("entity", ()), "delivery_date"])
+    return found
+
+
 def _monitoring(fresh, runs, model_mae, history, entity, coverage) -> DataFrame:
     """Rolling values and drift over operational days, old and new together."""
     key = [*entity, "delivery_date"]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quartergrid.operators.calendar import days_between, holiday_calendar, uncovered_years
 from quartergrid.operators.versions import check_updates, upsert
 from quartergrid.session import durable
 
@@ -256,3 +257,20 @@ def holidays_covered(stored: DataFrame, start: date, end: date) -> bool:
     """Whether stored holiday rows cover every date of the range."""
     inside = stored.where(F.col("delivery_date").between(F.lit(start), F.lit(end)))
     return inside.count() == (end - start).days + 1
+
+
+HOLIDAY_SCHEMA = "delivery_date date, is_holiday_de_nationwide boolean, is_holiday_lu boolean"
+
+
+def cover_holidays(cache: DayTable, bounds: DataFrame, holidays: DataFrame) -> DataFrame:
+    """Holiday flags of every date in ``bounds``, from the stored rows where these cover a year's dates.
+
+    A year with a requested date that is not stored is computed from the holiday ranges as a
+    whole and replaces what the table held of it; other years stay as they are.
+    """
+    cache.create()
+    gaps = durable(uncovered_years(bounds, cache.read()))
+    if not gaps.isEmpty():
+        cache.replace_months(holiday_calendar(gaps, holidays))
+    asked = days_between(bounds.select("start", "end"), "start", "end").select("delivery_date")
+    return cache.read().join(asked, "delivery_date", "left_semi")

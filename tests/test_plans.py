@@ -69,6 +69,37 @@ def test_physical_hour_counts_twice(spark):
     assert row["rolling_7d_mae"] == pytest.approx(2.96) and row["monitoring_status"] == "ok"
 
 
+def test_stored_tables_are_read_only_in_the_months_asked(spark, tmp_path, monkeypatch):
+    day, other = date(2026, 2, 1), date(2026, 3, 9)
+    one, two = Market(spark, day), Market(spark, other)
+    stored = []
+    for name in ("forecasts", "inputs", "prices"):
+        rows = getattr(one, name).unionByName(getattr(two, name))
+        stored.append(DayTable(spark, str(tmp_path / name), rows.schema))
+        stored[-1].append(rows)
+    read, plain = [], evaluate.evaluate_days
+
+    def seen(days, *frames, **options):
+        read.extend(frame._jdf.queryExecution().executedPlan().toString() for frame in frames[:3])
+        return plain(days, *frames, **options)
+
+    runs = one.runs.unionByName(two.runs)
+    days = spark.createDataFrame([(day,)], "delivery_date date")
+    past = spark.createDataFrame([], HISTORY)
+    whole = plain(days, one.forecasts, one.inputs, one.prices, runs, one.mae, past)
+    metrics = DayTable(spark, str(tmp_path / "metrics"), whole.schema)
+    monkeypatch.setattr(evaluate, "evaluate_days", seen)
+    for at in (day, other):
+        days = spark.createDataFrame([(at,)], "delivery_date date")
+        evaluate.evaluate_stored(days, *stored, runs, one.mae, metrics)
+        month = f"{at:%Y-%m}"
+        filters = [plan.split("PartitionFilters: [")[1].split("]")[0] for plan in read]
+        assert len(filters) == 3 and all(month in text for text in filters)
+        read.clear()
+    found = metrics.read().orderBy("delivery_date").collect()
+    assert [(r["delivery_date"], r["mae"]) for r in found] == [(day, 1.0), (other, 1.0)]
+
+
 def test_rolling_values_use_operational_history_only(spark):
     day = date(2026, 2, 1)
     history = [

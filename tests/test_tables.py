@@ -12,6 +12,7 @@ from quartergrid.plans.requests import (
     require_refresh_bounds,
 )
 from quartergrid.sources import measurements as m
+from quartergrid.operators.calendar import uncovered_years
 from quartergrid.sources import tables
 
 SCHEMA = "delivery_date date, quarter_of_day int, value double"
@@ -173,3 +174,28 @@ def test_model_log_and_holiday_cover(spark, tmp_path):
     days = spark.createDataFrame([(DAY,), (DAY + timedelta(days=1),)], "delivery_date date")
     assert tables.holidays_covered(days, DAY, DAY + timedelta(days=1))
     assert not tables.holidays_covered(days, DAY, DAY + timedelta(days=2))
+
+
+def test_holiday_cache_extends_only_years_with_holes(spark, tmp_path):
+    def bounds(*ranges):
+        return spark.createDataFrame(list(ranges), "start date, end date")
+
+    rows = [("DE", date(2024, 5, 1), date(2024, 5, 1), True), ("LU", date(2026, 6, 23), date(2026, 6, 23), True)]
+    ranges = spark.createDataFrame(rows, "country string, start_date date, end_date date, nationwide boolean")
+    cache = tables.DayTable(spark, str(tmp_path / "h"), tables.HOLIDAY_SCHEMA)
+    asked = bounds((date(2024, 4, 30), date(2024, 5, 2)))
+    assert tables.cover_holidays(cache, asked.limit(0), ranges).isEmpty()
+    found = {r[0]: r[1] for r in tables.cover_holidays(cache, asked, ranges).collect()}
+    assert found == {date(2024, 4, 30): False, date(2024, 5, 1): True, date(2024, 5, 2): False}
+    assert cache.read().count() == 366 and (before := cache.version())
+    tables.cover_holidays(cache, asked, ranges.limit(0))
+    assert cache.version() == before
+    # 2025 has a hole, 2024 keeps its stored flag, 2026 is not asked for.
+    tables.cover_holidays(cache, bounds((date(2024, 12, 31), date(2025, 1, 1))), ranges.limit(0))
+    assert cache.read().count() == 366 + 365
+    assert cache.read().where("is_holiday_de_nationwide").count() == 1
+    gaps = uncovered_years(bounds((date(2023, 6, 1), date(2027, 2, 1))), cache.read())
+    assert sorted(map(tuple, gaps.collect())) == [
+        (date(2023, 1, 1), date(2023, 12, 31)),
+        (date(2026, 1, 1), date(2027, 12, 31)),
+    ]
