@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quartergrid.session import durable
@@ -41,13 +41,15 @@ def order_statistic(
         raise ValueError("a task must be allowed one value")
     known = frame.where(F.col(value).isNotNull()).withColumn(value, _finite(F.col(value)))
     weights = known.groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_weight"))
-    ranged = durable(_cut(weights.repartitionByRange(*by, value)))
+    # Counted while the ranges are written; few values need no look at the ranges' sizes.
+    seen = Observation()
+    ranged = durable(_cut(weights.repartitionByRange(*by, value)).observe(seen, F.count(F.lit(1)).alias("values")))
     total = F.sum("_in_range").over(Window.partitionBy(*by))
-    slices, most = _holding(ranged, by, rank(total).cast("double" if weight else "bigint"))
-    while most > largest:
+    slices, located = _holding(ranged, by, rank(total).cast("double" if weight else "bigint"))
+    while seen.get.get("values", 0) > largest and (most := _most(located)) > largest:
         pieces = min(PIECES, max(2, math.ceil(2 * most / largest)))
         ranged = durable(_cut(slices.repartitionByRange(pieces, *by, value)))
-        slices, most = _holding(ranged, by, F.max("_wanted").over(Window.partitionBy(*by)))
+        slices, located = _holding(ranged, by, F.max("_wanted").over(Window.partitionBy(*by)))
     running = Window.partitionBy(*by).orderBy(value)
     return (
         slices.withColumn("_reached", F.sum("_weight").over(running) > F.col("_wanted"))
@@ -61,8 +63,8 @@ def _cut(values: DataFrame) -> DataFrame:
     return values.withColumn("_range", F.spark_partition_id())
 
 
-def _holding(ranged: DataFrame, by: Sequence[str], wanted: Column) -> tuple[DataFrame, int]:
-    """Each group's range that holds the wanted rank, and the values in the largest of these.
+def _holding(ranged: DataFrame, by: Sequence[str], wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """Values of each group's range that holds the wanted rank, and these ranges with their sizes.
 
     ``wanted`` is an expression over the ranges; ``_wanted`` of the result counts from the start
     of its range.
@@ -81,12 +83,15 @@ def _holding(ranged: DataFrame, by: Sequence[str], wanted: Column) -> tuple[Data
         )
         .withColumn("_wanted", F.col("_wanted") - F.col("_before"))
     )
-    most = located.agg(F.max("_values")).first()[0] or 0
     keys = [*by, "_range"]
     renamed = located.select("_wanted", *(F.col(c).alias(f"_of_{c}") for c in keys))
     values = ranged.drop(*["_wanted"] if again else [])
     same = [values[c].eqNullSafe(renamed[f"_of_{c}"]) for c in keys]
-    return values.join(renamed, same).drop("_range", *(f"_of_{c}" for c in keys)), most
+    return values.join(renamed, same).drop("_range", *(f"_of_{c}" for c in keys)), located
+
+
+def _most(located: DataFrame) -> int:
+    return located.agg(F.max("_values")).first()[0] or 0
 
 
 def _finite(value: Column) -> Column:
