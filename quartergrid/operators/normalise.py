@@ -44,9 +44,10 @@ def quarter_values(
     """One value per local quarter; a repeated autumn quarter becomes a mean.
 
     Angles use the circular mean, and only where a quarter really repeats. Opposite
-    angles have none: that is an error, or a missing quarter with ``on_gap="null"``. The
-    aggregation combines on the map side, so a hot series or day is reduced to at
-    most 96 rows per task before it is shuffled.
+    angles have none: that is an error, or NULL with ``on_gap="null"``. A quarter without
+    a value stays as NULL, so that its day is not lost. The aggregation combines on the
+    map side, so a hot series or day is reduced to at most 96 rows per task before it is
+    shuffled.
     """
     series = F.col("series")
     angular = policy.angular(series)
@@ -75,7 +76,7 @@ def quarter_values(
         "series",
         "quarter_of_day",
         F.when(repeated_angle, direction).otherwise(F.col("_mean")).alias("value"),
-    ).where(F.col("value").isNotNull())
+    )
 
 
 def fill_quarters(
@@ -92,20 +93,23 @@ def fill_quarters(
     the expanded row, so no spine, join or second window is needed. A window
     partition holds at most 96 rows because ``quarters`` is unique per quarter.
 
+    A quarter whose value is NULL counts as missing; a day with no other keeps its 96 slots.
     ``on_gap`` is ``"error"`` to fail on a slot that cannot be filled, or ``"null"``.
     """
     if on_gap not in ("error", "null"):
         raise ValueError("on_gap must be 'error' or 'null'")
     key = [*entity, "delivery_date", "series"]
-    day = Window.partitionBy(*key).orderBy("quarter_of_day")
+    known = F.col("value").isNotNull()
+    # Quarters without a value come last, so one is first only where a day has no value at all.
+    day = Window.partitionBy(*key).orderBy(known.desc(), "quarter_of_day")
     linked = quarters.select(
         *key,
         F.col("quarter_of_day").alias("_q"),
         F.col("value").alias("_v"),
         F.lag("quarter_of_day").over(day).isNull().alias("_first"),
-        F.lead("quarter_of_day").over(day).alias("_next_q"),
+        F.lead(F.when(known, F.col("quarter_of_day"))).over(day).alias("_next_q"),
         F.lead("value").over(day).alias("_next_v"),
-    )
+    ).where(F.col("_v").isNotNull() | F.col("_first"))
     slots = linked.withColumn(
         "quarter_of_day",
         F.explode(

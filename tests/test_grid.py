@@ -84,6 +84,21 @@ def test_opposite_angles_are_an_error(spark):
         frame.collect()
 
 
+def test_a_day_without_any_value_keeps_its_quarters(spark):
+    at = datetime(2026, 1, 1, 9)
+    rows = [(PLAIN, at, WIND, 0.0), (PLAIN, at, WIND, 180.0), (PLAIN, at, LOAD, None)]
+    rows += [(PLAIN, at, WARM, None), (PLAIN, at + timedelta(hours=2), WARM, 5.0)]
+    found = filled(spark, rows)
+    assert set(found) == {(PLAIN, WIND), (PLAIN, LOAD), (PLAIN, WARM)}
+    nothing = dict.fromkeys(range(96))
+    assert found[PLAIN, WIND] == nothing and found[PLAIN, LOAD] == nothing
+    # An hour without a value is a gap like one that is not there.
+    warm = found[PLAIN, WARM]
+    assert [warm[q] for q in (0, 40, 48, 51)] == [5.0] * 4 and warm[52] is None
+    with pytest.raises(Exception, match="cannot be filled"):
+        normalise_quarters(spark.createDataFrame(rows[2:3], SCHEMA)).collect()
+
+
 def test_gaps_by_series_class(spark):
     rows = [r for r in rows_of(PLAIN, LOAD, float) if r[3] not in (0.0, 50.0, 95.0)]
     rows += [r for r in rows_of(PLAIN, SOLAR, float) if r[3] >= 4]
