@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quartergrid.llm.chosen_path import drop_near_copies
 from quartergrid.llm.content_dedup import drop_copies
@@ -17,6 +18,8 @@ from quartergrid.llm.token_files import fresh_path
 TOKENIZER = "word_bpe_49k.json"
 # Tells rows apart from the first stage's output to the mixture; ids may repeat or be null.
 ROW = "row_key"
+# The language that the first stage identifies; the mixture weighs a source's languages apart.
+LANGUAGE = "identified_lang"
 
 
 def _row(docs: DataFrame) -> str | None:
@@ -24,13 +27,21 @@ def _row(docs: DataFrame) -> str | None:
     return docs.columns[-1] if docs.columns[-1].startswith(ROW) else None
 
 
+def _language(docs: DataFrame) -> str | None:
+    """The identified language, which stands before the row key; None in a table without it."""
+    names = docs.columns[-2:]
+    return names[0] if _row(docs) and names[0].startswith(LANGUAGE) else None
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text is null or has no letter: their language is ``und``.
+    """Name each document's language for the mixture; drop texts that are null or have no letter (``und``).
 
-    Without labelled documents only those can be told. Repeated rows, null ids and all
-    columns stay; the row key takes a name that no column has. An empty table stays empty.
+    Without labelled documents the language of all others is ``und`` too, and they stay.
+    Repeated rows, null ids and all columns stay; the language and the row key take names
+    that no column has. An empty table stays empty.
     """
-    return keyed(keep_identified(docs, language_model(docs)), free(ROW, docs))
+    named = keep_identified(docs, language_model(docs), into=free(LANGUAGE, docs))
+    return keyed(named, free(ROW, docs))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +55,17 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources, a null one included, meet their targets."""
-    row = _row(docs)
-    return mixed(docs, row=row).drop(*[row] if row else [])
+    """Repeat or drop documents so that sources, a null one included, meet their targets.
+
+    The documents of a source in one identified language are a source of their own.
+    """
+    row, language = _row(docs), _language(docs)
+    if language is None:
+        return mixed(docs, row=row).drop(*[row] if row else [])
+    part = free("_part", docs)
+    # A null source comes last, as it does without languages.
+    parts = docs.withColumn(part, F.struct(F.col("source").isNull().alias("none"), "source", language))
+    return mixed(parts, source=part, row=row).drop(part, language, row)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quartergrid.llm.tokens import release_words
 from quartergrid.llm.words import SLICE_BYTES, factorize, gather, slices, sums
@@ -368,22 +369,32 @@ def _unlabelled(part: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
+def keep_identified(
+    docs: DataFrame, model: Model, least: float = 0.0, text: str = "text", into: str | None = None
+) -> DataFrame:
     """Rows of ``docs`` that are not ``und``, with all columns; code-switched text stays.
 
-    ``least`` is the mean share that the first language must hold besides. A model without
-    languages rejects only texts without a letter.
+    ``least`` is the mean share that the first language must hold besides. ``into`` names a
+    last column for the language, which must be a new one. A model without languages
+    rejects only texts without a letter; the language of the others is ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.schema if into is None else StructType([*docs.schema.fields, StructField(into, StringType())])
+
+    def kept(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if not shared.value.languages:
+            return chains(part[text]).text_words > 0, np.zeros(part.num_rows, int)
+        sure, words = distributions(part[text], shared.value)
+        share = share_of(sure, words)
+        return (words > 0) & (share.max(axis=1, initial=0.0) >= least), share.argmax(axis=1)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_words()
+        names = np.array(shared.value.languages or [UNKNOWN], object)
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES // 2):
-                if not shared.value.languages:
-                    yield part.filter(pa.array(chains(part[text]).text_words > 0))
-                    continue
-                sure, words = distributions(part[text], shared.value)
-                yield part.filter(pa.array((words > 0) & (share_of(sure, words).max(axis=1, initial=0.0) >= least)))
+                stays, best = kept(part)
+                columns = part.columns if into is None else [*part.columns, pa.array(names[best], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(stays))
 
-    return docs.mapInArrow(tasks, docs.schema)
+    return docs.mapInArrow(tasks, schema)

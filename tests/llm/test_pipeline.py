@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -79,3 +80,18 @@ def test_empty_and_unlabelled_tables(spark, folder):
     assert corpus_pipeline.run(spark, folder([])).count() == 0
     unlabelled = [(i, t, None, s, n) for i, t, _, s, n in documents()]
     assert corpus_pipeline.run(spark, folder(unlabelled)).count() > 0
+
+
+def test_the_mixture_weighs_the_identified_languages_of_a_source(spark, folder):
+    rng = random.Random(4)
+    kinds = {"de": ("sch", "ung", "ver", "lich"), "fr": ("eux", "qui", "ais", "oir")}
+    rows = []
+    for k, (lang, parts) in enumerate(kinds.items()):
+        for i in range(60):
+            text = " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(40)) + "."
+            rows.append((100 * k + i, text, lang if i % 4 else None, "a", 0))
+    identified, _, near, mixed, _ = staged(spark, folder(rows))
+    assert identified.columns[-2] == "identified_lang"
+    assert all(r["identified_lang"] == ("fr" if r["doc_id"] >= 100 else "de") for r in identified.collect())
+    total, taken = 40 * near.count(), [40 * mixed.where(c).count() for c in ("doc_id < 100", "doc_id >= 100")]
+    assert taken == pytest.approx([total / 3, 2 * total / 3], abs=40)
