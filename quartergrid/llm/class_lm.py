@@ -124,7 +124,9 @@ class Core:
         return len(self.words) + 1
 
 
-SEQUENCES = "row long, doc_id long, train boolean, ids array<int>, rare array<binary>"
+# The ids of a text are one value, four bytes each: the clustering reads them again and again, and an
+# array would be copied number by number each time.
+SEQUENCES = "row long, doc_id long, train boolean, ids binary, rare array<binary>"
 
 
 def sequences(texts: DataFrame, core) -> DataFrame:
@@ -138,14 +140,16 @@ def sequences(texts: DataFrame, core) -> DataFrame:
                 ids = pc.fill_null(pc.index_in(words, known.words), known.rare).to_numpy(zero_copy_only=False)[codes]
                 is_rare = ids == known.rare
                 ends = np.cumsum(counts)
-                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
+                offsets = 4 * np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
                 rare_ends = np.concatenate([[0], np.cumsum(sums(is_rare.astype(np.int64), counts))]).astype(np.int32)
-                with_ends = np.insert(ids, ends, known.end).astype(np.int32)
+                with_ends = np.insert(ids, ends, known.end).astype("<i4")
                 columns = {
                     "row": pa.array(row + np.arange(part.num_rows)),
                     "doc_id": part["doc_id"],
                     "train": part["train"],
-                    "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(with_ends)),
+                    "ids": pa.Array.from_buffers(
+                        pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(with_ends)]
+                    ),
                     "rare": pa.ListArray.from_arrays(pa.array(rare_ends), words.take(pa.array(codes[is_rare]))),
                 }
                 row += part.num_rows
@@ -156,8 +160,11 @@ def sequences(texts: DataFrame, core) -> DataFrame:
 
 def _flat(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts, the id before each (the end before a text's first), and ids per text."""
-    counts = pc.list_value_length(batch["ids"]).to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = batch["ids"].flatten().to_numpy(zero_copy_only=False)
+    packed = batch["ids"].cast(pa.binary())
+    _, offsets, values = packed.buffers()
+    places = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
+    counts = np.diff(places).astype(np.int64)
+    ids = np.frombuffer(values, "<i4")[places[0] : places[-1]]
     before = np.concatenate([[end], ids[:-1]])
     before[np.cumsum(counts) - counts] = end
     return ids, before, counts

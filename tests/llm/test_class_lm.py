@@ -3,10 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quartergrid.llm.class_lm import ClassModel, Clustering, exchange_gains, likelihood, score_documents
+from quartergrid.llm.class_lm import ClassModel, Clustering, _flat, exchange_gains, likelihood, score_documents
 
 # One word in a hundred is frequent; the others travel by shuffle.
 PLAN = Clustering(classes=4, core_share=0.01, sweeps=1, parts=2)
@@ -118,3 +119,13 @@ def test_classes_find_the_parts_of_a_grammar(spark):
     per_token = sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows)
     # One of twelve words of a known part of speech, and the end after every third word.
     assert per_token > math.log10(1 / 12) - 0.25
+
+
+def test_packed_ids_of_a_cut_batch():
+    texts = [[4, 9], [9], [70_000, 1, 1, 9], [9], [2, 9]]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([np.array(t, "<i4").tobytes() for t in texts], pa.binary())})
+    for first, n in ((0, 5), (1, 3), (2, 1)):
+        ids, before, counts = _flat(batch.slice(first, n), 9)
+        cut = texts[first : first + n]
+        assert ids.tolist() == sum(cut, []) and counts.tolist() == [len(t) for t in cut]
+        assert before.tolist() == sum(([9, *t[:-1]] for t in cut), [])
