@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quartergrid.llm.components import components
 from quartergrid.llm.joins import free, keyed, look_up, sized
 from quartergrid.llm.token_files import fresh_path
-from quartergrid.llm.words import factorize, grouped, slices
+from quartergrid.llm.words import factorize, give_back, grouped, slices
 from quartergrid.session import durable
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, plan: JoinPlan, doc_id: str, text: str) -> DataF
                     ],
                     ["doc_id", "set_id", "size", "sketch", "picks"],
                 )
+        give_back()
 
     return rows.mapInArrow(tasks, SIGNATURE)
 
@@ -358,6 +359,7 @@ def _verified(docs: DataFrame, sets: DataFrame, coarse: DataFrame, plan: JoinPla
                     ["set_id", "copies", "block", "items", "units"],
                 )
                 yield out.filter(same)
+        give_back()
 
     whole = found.mapInArrow(read, "set_id binary, copies long, block int, items binary, units array<string>")
     rows = whole.select("set_id", "copies", "block", "items", F.explode("units").alias("unit"))
@@ -365,6 +367,7 @@ def _verified(docs: DataFrame, sets: DataFrame, coarse: DataFrame, plan: JoinPla
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in grouped(batches, "unit"):
             yield _compared(unit, plan.similarity)
+        give_back()
 
     return durable(rows.repartitionByRange("unit").sortWithinPartitions("unit").mapInArrow(compare, LINKED))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quartergrid.llm.tokens import release_words
-from quartergrid.llm.words import SLICE_BYTES, factorize, gather, slices, sums
+from quartergrid.llm.words import SLICE_BYTES, factorize, gather, give_back, slices, sums
 
 UNKNOWN = "und"
 TABLE_BITS = 17
@@ -283,7 +283,9 @@ def fit_table(docs: DataFrame, training: Training = Training(), text: str = "tex
     drawn = usable.withColumn("draw", F.xxhash64("text")).distinct()
     rows = drawn.withColumn("place", place).where(F.col("place") <= training.documents).collect()
     rows = sorted((r["lang"], r["text"]) for r in rows)
-    return fit([t for _, t in rows], [k for k, _ in rows], training)
+    model = fit([t for _, t in rows], [k for k, _ in rows], training)
+    give_back()
+    return model
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, words long, switches long, shares map<string,double>"
@@ -306,6 +308,7 @@ def label_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES // 2):
                 yield _labelled(part, shared.value)
+        give_back()
 
     return rows.mapInArrow(tasks, PREDICTED)
 
@@ -396,5 +399,6 @@ def keep_identified(
                 stays, best = kept(part)
                 columns = part.columns if into is None else [*part.columns, pa.array(names[best], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(stays))
+        give_back()
 
     return docs.mapInArrow(tasks, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         first = last
 
 
+def give_back() -> None:
+    """Return freed memory to the system; the driver and its workers live on after a fit or a task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU C library has the call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def factorize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Split at ASCII white space. Return a code per word, the words per text, and the distinct words.
 

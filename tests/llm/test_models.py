@@ -1,9 +1,15 @@
+import os
 import random
+import re
+import subprocess
+import sys
 import zlib
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quartergrid.llm import language, secret_forest, toxicity, weak_quality
@@ -245,3 +251,31 @@ def test_evenly_switched_text_stays(spark):
     label = language.label_documents(docs, model).where("doc_id = 1").first()
     assert label["lang_pred"] != "und" and label["score"] < 0.5
     assert [r["doc_id"] for r in language.keep_identified(docs, model).collect()] == [1]
+
+
+FIT_AND_MEASURE = """
+import random, re
+from pathlib import Path
+from pyspark.sql import SparkSession
+from quartergrid.llm import language
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+rng = random.Random(2)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+text = lambda extra: " ".join("".join(rng.choices("abcdefghijklmnop" + extra, k=rng.randint(2, 9))) for _ in range(500))
+docs = spark.createDataFrame([(k, text(k)) for k in ("x", "y", "z") for _ in range(300)], "lang string, text string")
+docs.groupBy("lang").count().collect()
+before = held()
+model = language.fit_table(docs)
+print("HELD", held() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_the_driver_keeps_no_memory_of_the_fit():
+    env = os.environ | {"PYTHONPATH": str(Path(language.__file__).parents[2])}
+    run = subprocess.run([sys.executable, "-c", FIT_AND_MEASURE], capture_output=True, text=True, timeout=300, env=env)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert float(re.search(r"HELD (.*)", run.stdout)[1]) < 60
