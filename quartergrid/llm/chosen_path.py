@@ -251,16 +251,16 @@ def _leaves(sets: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
         split = _buckets(rows, plan, level).select("set_id", "run", "bucket")
         counts = durable(split.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
         small = F.col("members") <= plan.leaf
-        leaves.append(durable(split.select("set_id", "bucket").join(counts.where(small), "bucket")))
+        leaves.append(durable(split.select("set_id", "bucket").join(counts.where(small).hint("merge"), "bucket")))
         large = counts.where(~small).select("bucket")
         if large.isEmpty():
             return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges)
         kept = durable(split.join(sized(large), "bucket", "left_semi"))
-        found = _with_leaders(kept.join(sets.select("set_id", "sketch"), "set_id"), plan)
+        found = _with_leaders(kept.join(sets.select("set_id", "sketch").hint("merge"), "set_id"), plan)
         edges.append(found.select("a", F.col("leader").alias("b")).distinct())
         taken = found.where(F.col("alike") >= plan.absorbed).select("bucket", F.col("a").alias("set_id"))
-        kept = durable(kept.join(taken, ["bucket", "set_id"], "left_anti"))
-        rows = kept.join(sets.select("set_id", "picks"), "set_id")
+        kept = durable(kept.join(taken.hint("merge"), ["bucket", "set_id"], "left_anti"))
+        rows = kept.join(sets.select("set_id", "picks").hint("merge"), "set_id")
     counts = durable(kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     leaves.append(durable(kept.select("set_id", "bucket").join(sized(counts), "bucket")))
     return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges)
@@ -300,7 +300,7 @@ def _search(leaves: DataFrame, sets: DataFrame, plan: JoinPlan) -> DataFrame:
         .select(F.xxhash64("all").alias("bucket"), F.size("all").cast("long").alias("members"), F.explode("all").alias("set_id"))
     )
     rows = small.unionByName(leaves.where(F.col("members") > plan.leaf).select(*small.columns))
-    units = _blocks(rows, plan).join(sets.select("set_id", "sketch"), "set_id")
+    units = _blocks(rows, plan).join(sets.select("set_id", "sketch").hint("merge"), "set_id")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in grouped(batches, "unit"):
@@ -422,8 +422,8 @@ def _answer(signed: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     fine = components(links.where("a <> b").select("a", "b")).withColumnRenamed("node", "set_id")
     known = durable(
         sets.select("set_id", "rep", "copies")
-        .join(per_set, "set_id", "left")
-        .join(fine, "set_id", "left")
+        .join(per_set.hint("merge"), "set_id", "left")
+        .join(fine.hint("merge"), "set_id", "left")
         .withColumn("class", F.coalesce("component", "set_id"))
         .drop("component")
     )
@@ -465,8 +465,8 @@ def drop_near_copies(
     name = free("_gone", docs)
     classes = class_table(docs, plan, row, text).where("class_size > 1").select(F.col("doc_id").alias("_row"), "class_id")
     ids = docs.select(docs[row].alias("_row"), docs[doc_id].alias("_id"))
-    among = durable(classes.join(ids, "_row"))
+    among = durable(classes.join(ids.hint("merge"), "_row"))
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"]
     stays = among.groupBy("class_id").agg(first.alias("_row")).select("_row")
-    gone = durable(among.select("_row").join(stays, "_row", "left_anti").withColumnRenamed("_row", name))
+    gone = durable(among.select("_row").join(stays.hint("merge"), "_row", "left_anti").withColumnRenamed("_row", name))
     return docs.join(sized(gone), docs[row] == F.col(name), "left_anti")

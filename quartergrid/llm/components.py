@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("found").alias("near"))
         )
-        closer = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("key"))
+        closer = labels.join(near.hint("merge"), "node").select("node", "component", F.least("component", "near").alias("key"))
         jumped = durable(look_up(closer, labels).select("node", F.col("found").alias("new"), "component"))
         moved = jumped.where("new <> component").limit(1).count()
         labels = jumped.select("node", F.col("new").alias("component"))

@@ -9,14 +9,18 @@ SALTS = 16
 
 
 def look_up(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add the label of ``key`` as ``found``; labels are copied once per salt."""
+    """Add the label of ``key`` as ``found``; labels are copied once per salt.
+
+    Merged, whatever the size: callers repeat it, and every broadcast would hold a memory page of
+    each executor until the driver happens to collect its plan.
+    """
     salted = labels.select(
         F.col("node").alias("key"),
         F.col("component").alias("found"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     other = next(c for c in ("b", "node") if c in rows.columns)
-    return rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    return rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["key", "salt"])
 
 
 def free(base: str, *frames: DataFrame) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quartergrid.llm.chosen_path import JoinPlan, class_table, drop_near_copies, intersections
 from quartergrid.llm.components import components
+from quartergrid.llm.joins import look_up
 from quartergrid.llm.metric_topk import Shape, build, search, top_products
 from quartergrid.llm.words import grouped, slices
 
@@ -151,3 +152,11 @@ def test_repeated_rows_count_as_in_sql(spark):
     for shape in (Shape(), Shape(pivots=4, tree=40, page=8, fanout=3, queries=5)):
         got = top_products(frame, F.col("vec_id") % 50 == 0, 5, shape=shape).collect()
         assert sorted(map(tuple, got)) == want
+
+
+def test_rounds_of_small_joins_hold_no_broadcast(spark):
+    rows = spark.createDataFrame([("x", "y"), ("z", "y")], "key string, b string")
+    labels = spark.createDataFrame([("x", 1), ("y", 2)], "node string, component int")
+    found = look_up(rows, labels)
+    assert [(r["key"], r["found"]) for r in found.collect()] == [("x", 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
