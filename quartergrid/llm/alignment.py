@@ -177,7 +177,7 @@ NOTHING = (np.zeros(0, np.int32), np.zeros(1, np.int64))
 TOGETHER = 256
 
 
-def _encoded(pair: TokenizerPair, plain: list[str], whole: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def _encoded(pair: TokenizerPair, plain: pa.Array, whole: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Ids and ids per stretch of both sides, ``plain`` stretches first, and which of all are spelled out.
 
     Plain stretches are encoded ``TOGETHER``, which gives them the same tokens as alone.
@@ -190,11 +190,11 @@ def _encoded(pair: TokenizerPair, plain: list[str], whole: list[str]) -> tuple[l
             parts.append(run or [NOTHING, NOTHING])
             good.append(run is not None)
 
-    chunks = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-    stops = [np.cumsum([len(s.encode()) + 1 for s in c]) for c in chunks]
-    for chunk, run in zip(chunks, _runs(pair, [" ".join(c) for c in chunks], stops)):
+    chunks = [plain.slice(i, TOGETHER) for i in range(0, len(plain), TOGETHER)]
+    stops = [np.cumsum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) + 1) for c in chunks]
+    for chunk, run in zip(chunks, _runs(pair, [" ".join(c.to_pylist()) for c in chunks], stops)):
         if run is None:
-            alone(chunk)
+            alone(chunk.to_pylist())
         else:
             parts.append(run)
             good.extend([True] * len(chunk))
@@ -212,20 +212,25 @@ def align(pair: TokenizerPair, texts: list[str | None]) -> Aligned:
     parts = [pair.stretches(t) if t else [] for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
     coded = pa.array([s for p in parts for s in p], pa.large_string()).dictionary_encode()
-    stretches = coded.dictionary.to_pylist()
+    codes, stretches = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    # Beside outer white space a stretch could change its neighbours' tokens. Only a text's ends have any.
+    odd = np.full(len(stretches), not pair.cuts)
+    ends = np.cumsum(counts)
+    for own, start, end in zip(parts, (ends - counts).tolist(), ends.tolist()):
+        if own and own[0][0].isspace():
+            odd[codes[start]] = True
+        if own and own[-1][-1].isspace():
+            odd[codes[end - 1]] = True
     del parts
-    # Beside outer white space a stretch could change its neighbours' tokens.
-    odd = np.array([not pair.cuts or s[0].isspace() or s[-1].isspace() for s in stretches], bool)
     order = np.argsort(odd, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
-    own = [[stretches[i] for i in order[kind[order]]] for kind in (~odd, odd)]
-    sides, good = _encoded(pair, *own)
+    codes = rank[codes]
+    sides, good = _encoded(pair, stretches.filter(pa.array(~odd)), stretches.filter(pa.array(odd)).to_pylist())
     fails = sums((~good)[codes].astype(np.int64), counts) > 0
     if fails.any():
         rows = np.flatnonzero(fails)
-        more, spared = _encoded(pair, [], [texts[i] for i in rows])
+        more, spared = _encoded(pair, pa.array([], pa.large_string()), [texts[i] for i in rows])
         kept = codes[np.repeat(~fails, counts)]
         counts[rows] = 0
         places = np.cumsum(counts)[rows]
@@ -235,14 +240,16 @@ def align(pair: TokenizerPair, texts: list[str | None]) -> Aligned:
     (ids_a, n_a), (ids_b, n_b) = sides
     ends_a, ends_b = np.cumsum(pair.side_a.lengths[ids_a]), np.cumsum(pair.side_b.lengths[ids_b])
     last_a, last_b = terminals(ends_a, ends_b)
-    # Terminals ascend with the text, so a group's number is its terminal's rank.
-    ends = np.unique(last_a)
-    group_a, group_b = np.searchsorted(ends, last_a), np.searchsorted(ends, last_b)
+    # Terminals ascend with the text and are the same on both sides, so a group's number is that of its run.
+    group_a, group_b = (np.cumsum(np.diff(last, prepend=last[:1]) != 0) for last in (last_a, last_b))
     n_groups = sums((np.diff(group_a, append=-1) != 0).astype(np.int64), n_a)
     return Aligned(codes, counts, n_a, n_b, ids_a, ids_b, group_a, group_b, n_groups)
 
 
-ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, b array<int>"
+# The links of a text are one value, eight bytes each (``a << 32 | b``): an array would be copied number by
+# number whenever it is written or read.
+ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
+LINK = np.dtype("<i8")
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,7 +281,7 @@ def _measured(found: Aligned, doc_ids: pa.Array, row: int) -> pa.RecordBatch:
         hashes.append(hashlib.sha256(mine[:-1]).hexdigest() if count else "")
         at += count
     n_groups = per_doc(found.n_groups)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(n_groups)]).astype(np.int32))
+    offsets = (LINK.itemsize * np.concatenate([[0], np.cumsum(n_groups)])).astype(np.int32)
     columns = {
         "row": pa.array(row + np.arange(len(found.counts))),
         "doc_id": doc_ids,
@@ -282,15 +289,16 @@ def _measured(found: Aligned, doc_ids: pa.Array, row: int) -> pa.RecordBatch:
         "n_b": pa.array(per_doc(found.n_b)),
         "n_groups": pa.array(n_groups),
         "groups_sha256": pa.array(hashes, pa.string()),
-        "a": pa.ListArray.from_arrays(offsets, pa.array((own >> 32).astype(np.int32))),
-        "b": pa.ListArray.from_arrays(offsets, pa.array((own & 0xFFFFFFFF).astype(np.int32))),
+        "links": pa.Array.from_buffers(
+            pa.binary(), len(n_groups), [None, pa.py_buffer(offsets), pa.py_buffer(own.astype(LINK))]
+        ),
     }
     return pa.RecordBatch.from_pydict(columns)
 
 
 def _portions(batch: pa.RecordBatch, links: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many links; a longer text stands alone."""
-    ends = np.cumsum(pc.list_value_length(batch["a"]).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.binary_length(batch["links"]).to_numpy(zero_copy_only=False) // LINK.itemsize)
     first = 0
     while first < batch.num_rows:
         before = ends[first - 1] if first else 0
@@ -300,8 +308,10 @@ def _portions(batch: pa.RecordBatch, links: int = 500_000) -> Iterator[pa.Record
 
 
 def _link_keys(batch: pa.RecordBatch) -> np.ndarray:
-    a, b = (batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
-    return (a << 32) | b
+    packed = batch["links"].cast(pa.binary())
+    _, offsets, values = packed.buffers()
+    places = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1] // LINK.itemsize
+    return np.frombuffer(values or b"", LINK)[places[0] : places[-1]]
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -322,7 +332,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
         for found, summed in tally.finish():
             yield as_batch({"key": found, "n": summed[:, 0]})
 
-    counted = durable(links.select("a", "b").mapInArrow(tasks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    counted = durable(links.select("links").mapInArrow(tasks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     b = F.col("key").bitwiseAND(0xFFFFFFFF)
     counted = counted.select("key", F.shiftright("key", 32).alias("a"), b.alias("b"), "n")
     most = counted.groupBy("b").agg(F.max("n").alias("most"))  # one row per id of B

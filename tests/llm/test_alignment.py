@@ -6,7 +6,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from quartergrid.llm.alignment import alignment_digest, token_groups
+from quartergrid.llm.alignment import aligned, alignment_digest, token_groups
 
 A, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -115,3 +115,10 @@ def test_groups_cover_the_text(spark, edge_docs):
         assert [(r["ids_a"], r["ids_b"]) for r in found] == plain.groups(texts[doc_id])
         assert [r["start"] for r in found] == [0, *accumulate(r["bytes"] for r in found)][:-1]
         assert found[-1]["start"] + found[-1]["bytes"] == len((" " + texts[doc_id]).encode())
+
+
+def test_links_are_stored_as_one_value_a_text(spark):
+    docs = spark.createDataFrame([(1, " two words\n"), (2, None), (3, "two")], "doc_id long, text string")
+    stored = {r["doc_id"]: r for r in aligned(docs, A, B).collect()}
+    assert {i: len(r["links"]) for i, r in stored.items()} == {i: 8 * r["n_groups"] for i, r in stored.items()}
+    assert stored[1]["n_groups"] > 0 and stored[2]["links"] == b""
