@@ -130,10 +130,14 @@ SEQUENCES = "row long, doc_id long, train boolean, ids binary, rare array<binary
 
 
 def sequences(texts: DataFrame, core) -> DataFrame:
-    """Word ids of every text with its end, and its other words in order."""
+    """Word ids of every text with its end, and its other words in order.
+
+    A text's ``row`` is the number of its task and of the task's ids before it, so ``row`` and a
+    place in the text add up to a number of their own for every id.
+    """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = core.value, TaskContext.get().partitionId() << 33
+        known, row = core.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 codes, counts, words = words_of(part["text"])
@@ -144,7 +148,7 @@ def sequences(texts: DataFrame, core) -> DataFrame:
                 rare_ends = np.concatenate([[0], np.cumsum(sums(is_rare.astype(np.int64), counts))]).astype(np.int32)
                 with_ends = np.insert(ids, ends, known.end).astype("<i4")
                 columns = {
-                    "row": pa.array(row + np.arange(part.num_rows)),
+                    "row": pa.array(row + offsets[:-1].astype(np.int64) // 4),
                     "doc_id": part["doc_id"],
                     "train": part["train"],
                     "ids": pa.Array.from_buffers(
@@ -152,7 +156,7 @@ def sequences(texts: DataFrame, core) -> DataFrame:
                     ),
                     "rare": pa.ListArray.from_arrays(pa.array(rare_ends), words.take(pa.array(codes[is_rare]))),
                 }
-                row += part.num_rows
+                row += len(with_ends)
                 yield pa.RecordBatch.from_pydict(columns)
 
     return texts.mapInArrow(tasks, SEQUENCES)
@@ -184,9 +188,13 @@ def class_bigrams(training: DataFrame, core, plan: Clustering) -> np.ndarray:
         cells = np.flatnonzero(total)
         yield as_batch({"cell": cells, "n": total[cells]})
 
-    counted = training.select("ids").mapInArrow(tasks, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return _matrix(training.select("ids").mapInArrow(tasks, "cell long, n long"), size)
+
+
+def _matrix(counted: DataFrame, size: int) -> np.ndarray:
     matrix = np.zeros(size * size, np.int64)
-    for row in counted.collect():  # at most one row per pair of classes
+    # At most one row per pair of classes.
+    for row in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():
         matrix[row["cell"]] = row["n"]
     return matrix.reshape(size, size)
 
@@ -230,30 +238,42 @@ def exchange_gains(
     return columns.sum(axis=1) - columns[:, each, each] + lines.sum(axis=2) - lines[:, each, each] + both - sized
 
 
+# Stands for a word where a row counts class bigrams.
+ALL = -1
+
+
 def _contexts(training: DataFrame, core, plan: Clustering, part: int) -> DataFrame:
-    """``word, cell, n``: classes left and right of the words of one part, and words that follow themselves."""
+    """``word, cell, n``: classes left and right of the words of one part, and words that follow themselves.
+
+    Rows of the word ``ALL`` count class bigrams by cell, as in :func:`class_bigrams`, so the
+    texts are read once for both.
+    """
     size = plan.classes + 2
     width = 2 * size + 1
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tally = core.value, Tally(most=1_000_000)
+        known, tally, total = core.value, Tally(most=1_000_000), np.zeros(size * size, np.int64)
         mine = np.append((np.arange(len(known.words)) % plan.parts == part) & (known.counts > 0), [False, False])
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, before, _ = _flat(batch, known.end)
-            at, classes = ids.astype(np.int64) * width, known.classes
-            next_at = before.astype(np.int64) * width
+            left, right = known.classes[before], known.classes[ids]
+            total += np.bincount(left * size + right, minlength=size * size)
+            here, onward, again = mine[ids], mine[before], ids == before
+            again &= here
             keys = np.concatenate([
-                (at + classes[before])[mine[ids]],
-                (next_at + size + classes[ids])[mine[before]],
-                (at + 2 * size)[mine[ids] & (ids == before)],
+                ids[here].astype(np.int64) * width + left[here],
+                before[onward].astype(np.int64) * width + size + right[onward],
+                ids[again].astype(np.int64) * width + 2 * size,
             ])
             keys, n = np.unique(keys, return_counts=True)
             for found, summed in tally.add(keys, n):
                 yield as_batch({"word": found // width, "cell": found % width, "n": summed[:, 0]})
         for found, summed in tally.finish():
             yield as_batch({"word": found // width, "cell": found % width, "n": summed[:, 0]})
+        cells = np.flatnonzero(total)
+        yield as_batch({"word": np.full(len(cells), ALL), "cell": cells, "n": total[cells]})
 
     return training.select("ids").mapInArrow(tasks, "word long, cell long, n long")
 
@@ -289,14 +309,19 @@ def cluster(spark: SparkSession, training: DataFrame, core: Core, plan: Clusteri
     classes, best, best_classes = core.classes, -np.inf, core.classes
     for step in range(plan.sweeps * plan.parts + 1):
         shared = spark.sparkContext.broadcast(Core(core.words, core.counts, classes, core.texts))
-        bigrams = class_bigrams(training, shared, plan)
+        last = step == plan.sweeps * plan.parts or not len(core.words)
+        if last:
+            bigrams = class_bigrams(training, shared, plan)
+        else:
+            contexts = stored(_contexts(training, shared, plan, step % plan.parts), "contexts")
+            bigrams = _matrix(contexts.where(F.col("word") == ALL), plan.classes + 2)
         reached = likelihood(bigrams)
         if reached > best:
             best, best_classes = reached, classes
-        if step == plan.sweeps * plan.parts or not len(core.words):
+        if last:
             shared.unpersist()
             break
-        found = _moves(_contexts(training, shared, plan, step % plan.parts), shared, bigrams, plan, tasks_wanted)
+        found = _moves(contexts.where(F.col("word") != ALL), shared, bigrams, plan, tasks_wanted)
         classes = classes.copy()
         classes[found["word"].to_numpy()] = found["class"].to_numpy()
         shared.unpersist()
@@ -311,7 +336,8 @@ def _beside(core: Core, ids: np.ndarray) -> np.ndarray:
     return np.where(ids == core.rare, UNDECIDED, core.classes[ids]).astype(np.int32)
 
 
-RARE = "word binary, row long, pos int, before int, after int, train boolean"
+# ``place`` orders all occurrences; one number, which Spark sorts without comparing rows.
+RARE = "word binary, row long, place long, before int, after int, train boolean"
 
 
 def _rare_words(rows: DataFrame, core) -> DataFrame:
@@ -326,10 +352,11 @@ def _rare_words(rows: DataFrame, core) -> DataFrame:
             at = np.flatnonzero(ids == known.rare)
             owner = np.repeat(np.arange(batch.num_rows), counts)[at]
             starts = (np.cumsum(counts) - counts)[owner]
+            rows = batch["row"].to_numpy()[owner]
             columns = {
                 "word": batch["rare"].flatten(),
-                "row": batch["row"].take(pa.array(owner)),
-                "pos": pa.array((at - starts).astype(np.int32)),
+                "row": pa.array(rows),
+                "place": pa.array(rows + at - starts),
                 "before": pa.array(_beside(known, before[at])),
                 # The end follows every word, so there is always a next id.
                 "after": pa.array(_beside(known, ids[at + 1])),
@@ -340,7 +367,7 @@ def _rare_words(rows: DataFrame, core) -> DataFrame:
     return rows.mapInArrow(tasks, RARE)
 
 
-CLASSED = "row long, pos int, before int, after int, train boolean, class int, n long, first boolean"
+CLASSED = "row long, place long, before int, after int, train boolean, class int, n long, first boolean"
 
 
 def _classed(rare: DataFrame, bigrams: np.ndarray, plan: Clustering, tasks_wanted: int) -> DataFrame:
@@ -368,7 +395,7 @@ def _classed(rare: DataFrame, bigrams: np.ndarray, plan: Clustering, tasks_wante
             chosen = np.where(n > 0, fit.argmax(axis=1), open_class(plan)).astype(np.int32)
             first = np.zeros(len(at), bool)
             first[np.flatnonzero(train)[np.unique(at[train], return_index=True)[1]]] = True
-            columns = {c: rows[c] for c in ("row", "pos", "before", "after", "train")}
+            columns = {c: rows[c] for c in ("row", "place", "before", "after", "train")}
             added = {"class": pa.array(chosen[at]), "n": pa.array(n[at]), "first": pa.array(first)}
             yield from pa.table(columns | added).combine_chunks().to_batches()
 
@@ -394,7 +421,7 @@ def _in_order(classed: DataFrame, plan: Clustering, tasks_wanted: int) -> DataFr
     marked = classed.withColumn("chained", F.col("before") == UNDECIDED).withColumn("leads", F.col("after") == UNDECIDED)
     return (
         marked.repartition(tasks_wanted, "row")
-        .sortWithinPartitions("row", "pos")
+        .sortWithinPartitions("place")
         .mapInArrow(tasks, "row long, after int, train boolean, class int, n long, first boolean, before int, leads boolean")
     )
 
@@ -485,7 +512,10 @@ def _rare_scores(ordered: DataFrame, model) -> DataFrame:
             score = scorer.emission(own, n) + scorer.follows[before, own]
             score += np.where(leads, 0.0, scorer.follows[own, np.where(leads, 0, after)])
             columns = {"known": (n > 0).astype(np.int64), "base": scorer.base(n), "more": score}
-            yield pa.RecordBatch.from_pydict({"row": batch["row"]} | {k: pa.array(v) for k, v in columns.items()})
+            # Rows of a text lie together, so few are left to add up.
+            starts, _ = run_places(batch["row"])
+            summed = {k: pa.array(np.add.reduceat(v, starts)) for k, v in columns.items()}
+            yield pa.RecordBatch.from_pydict({"row": batch["row"].take(pa.array(starts))} | summed)
 
     each = ordered.select("row", "class", "before", "after", "n", "leads")
     added = [F.sum(c).alias(c) for c in ("known", "base", "more")]

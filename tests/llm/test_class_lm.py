@@ -7,7 +7,21 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quartergrid.llm.class_lm import ClassModel, Clustering, _flat, exchange_gains, likelihood, score_documents
+from quartergrid.llm.class_lm import (
+    ALL,
+    ClassModel,
+    Clustering,
+    Core,
+    _contexts,
+    _flat,
+    _matrix,
+    _rare_words,
+    class_bigrams,
+    exchange_gains,
+    likelihood,
+    score_documents,
+    sequences,
+)
 
 # One word in a hundred is frequent; the others travel by shuffle.
 PLAN = Clustering(classes=4, core_share=0.01, sweeps=1, parts=2)
@@ -129,3 +143,18 @@ def test_packed_ids_of_a_cut_batch():
         cut = texts[first : first + n]
         assert ids.tolist() == sum(cut, []) and counts.tolist() == [len(t) for t in cut]
         assert before.tolist() == sum(([9, *t[:-1]] for t in cut), [])
+
+
+def test_one_reading_counts_contexts_and_bigrams_and_rare_words_have_places(spark):
+    plan = Clustering(classes=2)
+    core = Core(pa.array([b"a", b"b"], pa.binary()), np.array([4, 3]), np.array([0, 1, 2, 3]), 4)
+    shared = spark.sparkContext.broadcast(core)
+    docs = [(1, "a b x y a", True), (2, "", True), (3, "z b a", True), (4, "a x b", True)]
+    rows = sequences(spark.createDataFrame(docs, "doc_id long, text string, train boolean").coalesce(1), shared).cache()
+    bigrams = class_bigrams(rows, shared, plan)
+    assert bigrams.sum() == 6 + 1 + 4 + 4
+    for part in range(plan.parts):
+        counted = _contexts(rows, shared, plan, part).where(F.col("word") == ALL)
+        assert np.array_equal(_matrix(counted, plan.classes + 2), bigrams)
+    rare = _rare_words(rows, shared).orderBy("place").collect()
+    assert [(bytes(r["word"]), r["place"]) for r in rare] == [(b"x", 2), (b"y", 3), (b"z", 7), (b"x", 12)]
