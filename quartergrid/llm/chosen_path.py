@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.llm.components import components
-from quartergrid.llm.joins import free, keyed, look_up, sized
+from quartergrid.llm.joins import free, gathered, keyed, look_up, sized
 from quartergrid.llm.token_files import fresh_path
 from quartergrid.llm.words import factorize, give_back, grouped, slices
 from quartergrid.session import durable
@@ -188,11 +188,12 @@ def class_table(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str = "doc
     )
     distinct.write.parquet(place)
     sets = spark.read.parquet(place)
-    edges, gone = _absorbed(sets, plan)
+    n = sets.count()
+    edges, gone = _absorbed(sets, n, plan)
     active = sets.join(sized(gone), "set_id", "left_anti")
-    leaves, more = _leaves(active, plan)
-    coarse = components(_search(leaves, active, plan).unionByName(edges).unionByName(more))
-    return _answer(signed, sets, _verified(docs, sets, coarse, plan, doc_id, text))
+    leaves, more, n_leaves = _leaves(active, n, plan)
+    coarse = components(_search(leaves, n_leaves, active, plan).unionByName(edges).unionByName(more))
+    return _answer(signed, sets, n, _verified(docs, sets, coarse, plan, doc_id, text))
 
 
 def _buckets(rows: DataFrame, plan: JoinPlan, level: int) -> DataFrame:
@@ -201,8 +202,8 @@ def _buckets(rows: DataFrame, plan: JoinPlan, level: int) -> DataFrame:
     return rows.withColumn("item", item).withColumn("bucket", F.xxhash64("bucket", F.lit(level), "item")).drop("item", "picks")
 
 
-def _with_leaders(split: DataFrame, plan: JoinPlan) -> DataFrame:
-    """``bucket, a, order, leader, alike``: every set's likeness to the leaders of its ``bucket``.
+def _with_leaders(split: DataFrame, n: float, plan: JoinPlan) -> DataFrame:
+    """``bucket, a, order, leader, alike``: every set's likeness to the leaders of its ``bucket``, from some ``n`` rows.
 
     The leader is a bucket's first set in the order of a hash, so this is linear in the rows
     of a bucket. Only likeness of ``coarse`` or more is returned.
@@ -211,7 +212,7 @@ def _with_leaders(split: DataFrame, plan: JoinPlan) -> DataFrame:
     leaders = split.groupBy("bucket").agg(F.min(first).alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = look_up(
         split.withColumnRenamed("bucket", "key").withColumnRenamed("set_id", "node"),
-        durable(leaders.select(F.col("bucket").alias("node"), "component")),
+        durable(gathered(leaders.select(F.col("bucket").alias("node"), "component"), n)),
     ).select(F.col("key").alias("bucket"), F.col("node").alias("a"), "sketch", "found.*").where("a <> leader")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,49 +222,63 @@ def _with_leaders(split: DataFrame, plan: JoinPlan) -> DataFrame:
             found = batch.select(["bucket", "a", "order", "leader"]).append_column("alike", pa.array(alike))
             yield found.filter(pa.array(alike >= plan.coarse))
 
-    return durable(pairs.mapInArrow(near, "bucket long, a binary, order long, leader binary, alike double"))
+    return durable(gathered(pairs, n).mapInArrow(near, "bucket long, a binary, order long, leader binary, alike double"))
 
 
-def _absorbed(sets: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
+def _absorbed(sets: DataFrame, n: int, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
     """Edges ``a, b`` to leaders, and the sets ``a`` that are left to a leader which is left to none.
 
     This takes large groups of near copies apart before any bucket is searched in full.
     """
     runs = F.explode(F.sequence(F.lit(0), F.lit(plan.absorbing_runs - 1)))
     rows = sets.select("set_id", "sketch", "picks", runs.alias("run")).withColumn("bucket", F.col("run").cast("long"))
-    found = _with_leaders(_buckets(rows, plan, 0), plan)
+    n_rows = n * plan.absorbing_runs * plan.first_sample
+    found = _with_leaders(_buckets(rows, plan, 0), n_rows, plan)
     near = found.where(F.col("alike") >= plan.absorbed)
-    best = durable(near.groupBy("a").agg(F.min(F.struct("order", "leader"))["leader"].alias("b")))
+    best = durable(gathered(near.groupBy("a").agg(F.min(F.struct("order", "leader"))["leader"].alias("b")), n))
     gone = best.join(sized(best.select(F.col("a").alias("b"))), "b", "left_anti").select(F.col("a").alias("set_id"))
     return found.select("a", F.col("leader").alias("b")).distinct(), durable(gone)
 
 
-def _leaves(sets: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
+def _leaves(sets: DataFrame, n: float, plan: JoinPlan) -> tuple[DataFrame, DataFrame, int]:
     """``bucket, set_id, members`` of all buckets that are not split further and hold two sets or more.
 
     And edges ``a, b``: before a large bucket is split its sets are compared with its leader,
     and those very near it are left to it there. So near copies do not go down together.
+    And the number of rows that the search deals out to units; there are at most ``n`` sets.
     """
     runs = F.explode(F.sequence(F.lit(0), F.lit(plan.runs() - 1)))
     rows = sets.select("set_id", "picks", runs.alias("run")).withColumn("bucket", F.col("run").cast("long"))
-    leaves, edges = [], [sets.sparkSession.createDataFrame([], "a binary, b binary")]
-    for level in range(plan.levels):
+    leaves, edges, total = [], [sets.sparkSession.createDataFrame([], "a binary, b binary")], 0
+    n *= plan.runs()
+    for level, sample in enumerate(plan.samples()):
+        n *= sample
         split = _buckets(rows, plan, level).select("set_id", "run", "bucket")
-        counts = durable(split.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+        counts = durable(gathered(_members(split), n))
         small = F.col("members") <= plan.leaf
-        leaves.append(durable(split.select("set_id", "bucket").join(counts.where(small).hint("merge"), "bucket")))
+        in_small, n = counts.agg(*(F.coalesce(F.sum(F.when(c, F.col("members"))), F.lit(0)) for c in (small, ~small))).first()
+        total += in_small
+        leaf = split.select("set_id", "bucket").join(counts.where(small).hint("merge"), "bucket")
+        leaves.append(durable(gathered(leaf, in_small)))
+        if not n:
+            return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges), total
         large = counts.where(~small).select("bucket")
-        if large.isEmpty():
-            return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges)
-        kept = durable(split.join(sized(large), "bucket", "left_semi"))
-        found = _with_leaders(kept.join(sets.select("set_id", "sketch").hint("merge"), "set_id"), plan)
+        kept = durable(gathered(split.join(sized(large), "bucket", "left_semi"), n))
+        sketched = gathered(kept.join(sets.select("set_id", "sketch").hint("merge"), "set_id"), n)
+        found = _with_leaders(sketched, n, plan)
         edges.append(found.select("a", F.col("leader").alias("b")).distinct())
         taken = found.where(F.col("alike") >= plan.absorbed).select("bucket", F.col("a").alias("set_id"))
-        kept = durable(kept.join(taken.hint("merge"), ["bucket", "set_id"], "left_anti"))
-        rows = kept.join(sets.select("set_id", "picks").hint("merge"), "set_id")
-    counts = durable(kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    leaves.append(durable(kept.select("set_id", "bucket").join(sized(counts), "bucket")))
-    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges)
+        kept = durable(gathered(kept.join(taken.hint("merge"), ["bucket", "set_id"], "left_anti"), n))
+        rows = gathered(kept.join(sets.select("set_id", "picks").hint("merge"), "set_id"), n)
+    counts = durable(gathered(_members(kept), n))
+    leaves.append(durable(gathered(kept.select("set_id", "bucket").join(sized(counts), "bucket"), n)))
+    dealt = F.sum(F.col("members") * F.ceil(F.col("members") / plan.block))
+    total += counts.agg(F.coalesce(dealt, F.lit(0))).first()[0]
+    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges), total
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
 
 
 def _blocks(rows: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -285,22 +300,19 @@ def _blocks(rows: DataFrame, plan: JoinPlan) -> DataFrame:
     )
 
 
-def _search(leaves: DataFrame, sets: DataFrame, plan: JoinPlan) -> DataFrame:
-    """Edges ``a, b`` from sets to the leaders that their sketches come near, in every leaf.
+def _search(leaves: DataFrame, n: int, sets: DataFrame, plan: JoinPlan) -> DataFrame:
+    """Edges ``a, b`` from sets to the leaders that their sketches come near, in every leaf; ``n`` rows are dealt out.
 
     Small buckets that hold the same sets, as near copies do in most runs, are searched once.
     """
+    buckets = leaves.where(F.col("members") <= plan.leaf).groupBy("bucket").agg(F.sort_array(F.collect_set("set_id")).alias("all"))
     small = (
-        leaves.where(F.col("members") <= plan.leaf)
-        .groupBy("bucket")
-        .agg(F.sort_array(F.collect_set("set_id")).alias("all"))
-        .select("all")
-        .distinct()
+        gathered(gathered(buckets.select("all"), n).distinct(), n)
         .where(F.size("all") > 1)
         .select(F.xxhash64("all").alias("bucket"), F.size("all").cast("long").alias("members"), F.explode("all").alias("set_id"))
     )
     rows = small.unionByName(leaves.where(F.col("members") > plan.leaf).select(*small.columns))
-    units = _blocks(rows, plan).join(sets.select("set_id", "sketch").hint("merge"), "set_id")
+    units = gathered(_blocks(rows, plan).join(sets.select("set_id", "sketch").hint("merge"), "set_id"), n)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in grouped(batches, "unit"):
@@ -338,8 +350,9 @@ LINKED = "a binary, b binary, links long"
 
 def _verified(docs: DataFrame, sets: DataFrame, coarse: DataFrame, plan: JoinPlan, doc_id: str, text: str) -> DataFrame:
     """Exact comparison of all pairs in a coarse group: ``a``, a set linked with it (or itself), rows linked with it."""
+    n = coarse.count()
     counts = coarse.groupBy(F.col("component").alias("node")).agg(F.count(F.lit(1)).alias("component"))
-    members = look_up(coarse.withColumnRenamed("component", "key"), counts)
+    members = gathered(look_up(coarse.withColumnRenamed("component", "key"), gathered(counts, n)), n)
     dealt = _blocks(
         members.select(F.hex("key").alias("bucket"), F.col("node").alias("set_id"), F.col("found").alias("members")), plan
     )
@@ -417,16 +430,17 @@ def intersections(items: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
-def _answer(signed: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+def _answer(signed: DataFrame, sets: DataFrame, n: int, links: DataFrame) -> DataFrame:
     per_set = links.groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
     fine = components(links.where("a <> b").select("a", "b")).withColumnRenamed("node", "set_id")
-    known = durable(
+    known = (
         sets.select("set_id", "rep", "copies")
         .join(per_set.hint("merge"), "set_id", "left")
         .join(fine.hint("merge"), "set_id", "left")
         .withColumn("class", F.coalesce("component", "set_id"))
         .drop("component")
     )
+    known = durable(gathered(known, n))
     grouped_sets = known.where("class <> set_id OR links > 0").groupBy(F.col("class").alias("node")).agg(
         F.struct(F.min("rep").alias("id"), F.sum("copies").alias("rows")).alias("component")
     )

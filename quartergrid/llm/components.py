@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartergrid.llm.joins import look_up
+from quartergrid.llm.joins import gathered, look_up
 from quartergrid.session import durable
 
 
@@ -16,20 +16,22 @@ def components(edges: DataFrame) -> DataFrame:
     spread over tasks, and halves the longest chain of labels; the rounds end when no
     label changes.
     """
-    both = durable(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .where("a <> b")
-        .distinct()
-    )
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    # Not a union of both ways, which would work out the edges twice.
+    both = durable(edges.where("a <> b").select(F.inline(ways)).distinct())
+    n = both.count()
+    both = gathered(both, n)
+    least = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component"))
+    labels = durable(gathered(least, n))
     while True:
         near = (
-            look_up(both.withColumnRenamed("a", "key"), labels)
+            gathered(look_up(both.withColumnRenamed("a", "key"), labels), n)
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("found").alias("near"))
         )
         closer = labels.join(near.hint("merge"), "node").select("node", "component", F.least("component", "near").alias("key"))
-        jumped = durable(look_up(closer, labels).select("node", F.col("found").alias("new"), "component"))
+        found = look_up(gathered(closer, n), labels).select("node", F.col("found").alias("new"), "component")
+        jumped = durable(gathered(found, n))
         moved = jumped.where("new <> component").limit(1).count()
         labels = jumped.select("node", F.col("new").alias("component"))
         if not moved:

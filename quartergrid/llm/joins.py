@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+TASK_ROWS = 50_000
 
 
 def look_up(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -23,6 +26,15 @@ def look_up(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["key", "salt"])
 
 
+def gathered(rows: DataFrame, n: float) -> DataFrame:
+    """``rows``, some ``n`` narrow ones, in a task for each ``TASK_ROWS`` of them, but one for each core at least.
+
+    A step that is repeated on a small table would else start a task, and write files, for each
+    shuffle partition, however few rows there are. More tasks than partitions are never made.
+    """
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS)))
+
+
 def free(base: str, *frames: DataFrame) -> str:
     """``base``, lengthened until no frame has a column of that name in any case."""
     taken = {c.lower() for f in frames for c in f.columns}

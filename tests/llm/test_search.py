@@ -160,3 +160,30 @@ def test_rounds_of_small_joins_hold_no_broadcast(spark):
     found = look_up(rows, labels)
     assert [(r["key"], r["found"]) for r in found.collect()] == [("x", 1)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_on_small_tables_take_few_tasks_and_files(spark):
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long")
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        labels = components(edges)
+        assert labels.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {r["component"] for r in labels.collect()} == {0}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_both_ways_of_the_edges_come_from_one_pass(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long").mapInArrow(counted, "a long, b long")
+    assert components(edges).count() == 51 and read.value == 50
