@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.llm.tokens import worker_tokens
-from quartergrid.llm.words import SLICE_BYTES, slices
+from quartergrid.llm.words import SLICE_BYTES, give_back, slices
 
 END_ID = 2
 WINDOW = 1024
@@ -154,24 +154,29 @@ def pack(
     )
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(limits)
-        number = TaskContext.get().partitionId() << 33
-        ready: list[list[Piece]] = []
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
-                for piece in _pieces(part, tokenizer_path, end_id):
-                    ready.extend(packer.add(piece))
-                if ready:
-                    yield _rows(ready, number)
-                    number += len(ready)
-                    ready = []
-        ready = list(packer.finish())
-        if ready:
-            yield _rows(ready, number)
+        yield from packed(batches, TaskContext.get().partitionId() << 33, tokenizer_path, limits, end_id)
 
     return rows.mapInArrow(tasks, SCHEMA)
 
 
+def packed(
+    batches: Iterator[pa.RecordBatch], number: int, path: str, limits: Limits, end_id: int
+) -> Iterator[pa.RecordBatch]:
+    """The sequences of one task's rows, numbered from ``number``; memory freed by a slice is returned before the next."""
+    packer = Packer(limits)
+    for batch in batches:
+        for part in slices(batch, "text", SLICE_BYTES // 4):
+            ready = [s for piece in _pieces(part, path, end_id) for s in packer.add(piece)]
+            if ready:
+                yield _rows(ready, number)
+                number += len(ready)
+            del ready
+            give_back()
+    ready = list(packer.finish())
+    if ready:
+        yield _rows(ready, number)
+
+
 def _pieces(part: pa.RecordBatch, path: str, end_id: int) -> Iterator[Piece]:
     encoder = worker_tokens(path)
     ids, counts = encoder.ids(part["text"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -29,10 +30,12 @@ class WordTokens:
     """Encode texts with a tokenizer whose pre-tokens never hold white space.
 
     For such tokenizers a text's ids are those of its words in turn. At most
-    ``CACHED_WORDS`` short words are remembered; others are encoded again.
+    ``CACHED_WORDS`` short words are remembered; others are encoded again. Words are encoded
+    on one thread: a task has one core, and every further thread would keep memory of its own.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 

@@ -1,4 +1,9 @@
+import os
+import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quartergrid.llm import packing
 from quartergrid.llm.packing import Limits, Packer, Piece, pack
 from quartergrid.llm.token_files import LANES, decode_segment, encode_segment, frequencies, round_trip
 from quartergrid.llm.tokens import WordTokens
@@ -130,3 +136,35 @@ def test_best_dot_product_is_placed_first():
         packer.waiting.append(Piece(k, 0, np.zeros(n, np.uint32), 0, n))
     first = next(packer._pack())
     assert first[0].doc_id == 1 and sum(len(p.ids) for p in first) == 10
+
+
+PACK_AND_MEASURE = """
+import random, re
+from pathlib import Path
+import pyarrow as pa
+import public_tokenizers
+from quartergrid.llm import packing
+
+def status(field):
+    return int(re.search(field + r":\\s+([0-9]+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+rng = random.Random(5)
+words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) + rng.choice(["", "$$$"]) for _ in range(200_000)]
+texts = [" ".join(rng.choices(words, k=500)) for _ in range(3000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([""] * 3000), pa.array(texts)], ["doc_id", "prompt", "text"])
+del texts, words
+path = public_tokenizers.path("word_bpe_49k.json")
+packing.worker_tokens(path)
+Path("/proc/self/clear_refs").write_text("5")  # the peak starts anew
+before = status("VmRSS")
+assert sum(b.num_rows for b in packing.packed(iter([batch]), 0, path, packing.Limits(), 2)) >= 3000
+print("GREW", status("VmHWM") - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/clear_refs").exists(), reason="memory can't be read here")
+def test_packing_keeps_no_memory_of_earlier_slices():
+    env = os.environ | {"PYTHONPATH": str(Path(packing.__file__).parents[2])}
+    run = subprocess.run([sys.executable, "-c", PACK_AND_MEASURE], capture_output=True, text=True, timeout=300, env=env)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert float(re.search(r"GREW (.*)", run.stdout)[1]) < 130
