@@ -18,14 +18,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.llm.components import components
 from quartergrid.llm.joins import free, gathered, keyed, look_up, sized
 from quartergrid.llm.token_files import fresh_path
 from quartergrid.llm.words import factorize, give_back, grouped, slices
-from quartergrid.session import durable
+from quartergrid.session import durable, tidy
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SKETCH = 64
@@ -190,16 +190,25 @@ def class_table(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str = "doc
     sets = spark.read.parquet(place)
     n = sets.count()
     edges, gone = _absorbed(sets, n, plan)
+    tidy(spark)
     active = sets.join(sized(gone), "set_id", "left_anti")
     leaves, more, n_leaves = _leaves(active, n, plan)
     coarse = components(_search(leaves, n_leaves, active, plan).unionByName(edges).unionByName(more))
-    return _answer(signed, sets, n, _verified(docs, sets, coarse, plan, doc_id, text))
+    tidy(spark)
+    links = _verified(docs, sets, coarse, plan, doc_id, text)
+    tidy(spark)
+    return _answer(signed, sets, n, links)
 
 
-def _buckets(rows: DataFrame, plan: JoinPlan, level: int) -> DataFrame:
-    """Rows of the buckets that the sets' picks of one level open below ``bucket``."""
-    item = F.explode(F.element_at("picks", F.col("run") * plan.levels + level + 1))
-    return rows.withColumn("item", item).withColumn("bucket", F.xxhash64("bucket", F.lit(level), "item")).drop("item", "picks")
+def _buckets(rows: DataFrame, level: int) -> DataFrame:
+    """Rows of the buckets that the sets' ``picked`` of one level open below ``bucket``."""
+    item = F.explode("picked")
+    return rows.withColumn("item", item).withColumn("bucket", F.xxhash64("bucket", F.lit(level), "item")).drop("item", "picked")
+
+
+def _picked_at(plan: JoinPlan, level: int) -> Column:
+    """The picks of a set for one level of a run; null behind the last one."""
+    return F.try_element_at("picks", F.col("run") * plan.levels + level + 1).alias("picked")
 
 
 def _with_leaders(split: DataFrame, n: float, plan: JoinPlan) -> DataFrame:
@@ -231,9 +240,10 @@ def _absorbed(sets: DataFrame, n: int, plan: JoinPlan) -> tuple[DataFrame, DataF
     This takes large groups of near copies apart before any bucket is searched in full.
     """
     runs = F.explode(F.sequence(F.lit(0), F.lit(plan.absorbing_runs - 1)))
-    rows = sets.select("set_id", "sketch", "picks", runs.alias("run")).withColumn("bucket", F.col("run").cast("long"))
+    rows = sets.select("set_id", "sketch", "picks", runs.alias("run"))
+    rows = rows.select("set_id", "sketch", "run", _picked_at(plan, 0), F.col("run").cast("long").alias("bucket"))
     n_rows = n * plan.absorbing_runs * plan.first_sample
-    found = _with_leaders(_buckets(rows, plan, 0), n_rows, plan)
+    found = _with_leaders(_buckets(rows, 0), n_rows, plan)
     near = found.where(F.col("alike") >= plan.absorbed)
     best = durable(gathered(near.groupBy("a").agg(F.min(F.struct("order", "leader"))["leader"].alias("b")), n))
     gone = best.join(sized(best.select(F.col("a").alias("b"))), "b", "left_anti").select(F.col("a").alias("set_id"))
@@ -248,12 +258,13 @@ def _leaves(sets: DataFrame, n: float, plan: JoinPlan) -> tuple[DataFrame, DataF
     And the number of rows that the search deals out to units; there are at most ``n`` sets.
     """
     runs = F.explode(F.sequence(F.lit(0), F.lit(plan.runs() - 1)))
-    rows = sets.select("set_id", "picks", runs.alias("run")).withColumn("bucket", F.col("run").cast("long"))
+    rows = sets.select("set_id", "picks", runs.alias("run"))
+    rows = rows.select("set_id", "run", _picked_at(plan, 0), F.col("run").cast("long").alias("bucket"))
     leaves, edges, total = [], [sets.sparkSession.createDataFrame([], "a binary, b binary")], 0
     n *= plan.runs()
     for level, sample in enumerate(plan.samples()):
         n *= sample
-        split = _buckets(rows, plan, level).select("set_id", "run", "bucket")
+        split = _buckets(rows, level).select("set_id", "run", "bucket")
         counts = durable(gathered(_members(split), n))
         small = F.col("members") <= plan.leaf
         in_small, n = counts.agg(*(F.coalesce(F.sum(F.when(c, F.col("members"))), F.lit(0)) for c in (small, ~small))).first()
@@ -264,12 +275,17 @@ def _leaves(sets: DataFrame, n: float, plan: JoinPlan) -> tuple[DataFrame, DataF
             return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, edges), total
         large = counts.where(~small).select("bucket")
         kept = durable(gathered(split.join(sized(large), "bucket", "left_semi"), n))
-        sketched = gathered(kept.join(sets.select("set_id", "sketch").hint("merge"), "set_id"), n)
-        found = _with_leaders(sketched, n, plan)
+        left = kept.select("set_id").distinct().hint("merge")
+        sets = durable(gathered(sets.select("set_id", "sketch", "picks").join(left, "set_id", "left_semi"), n))
+        # Joined once for this level's leaders and the next one's buckets.
+        joined = kept.join(sets.hint("merge"), "set_id").select("set_id", "run", "bucket", "sketch", _picked_at(plan, level + 1))
+        joined = durable(gathered(joined, n))
+        found = _with_leaders(joined.select("set_id", "bucket", "sketch"), n, plan)
         edges.append(found.select("a", F.col("leader").alias("b")).distinct())
         taken = found.where(F.col("alike") >= plan.absorbed).select("bucket", F.col("a").alias("set_id"))
-        kept = durable(gathered(kept.join(taken.hint("merge"), ["bucket", "set_id"], "left_anti"), n))
-        rows = gathered(kept.join(sets.select("set_id", "picks").hint("merge"), "set_id"), n)
+        rows = joined.drop("sketch").join(taken.hint("merge"), ["bucket", "set_id"], "left_anti")
+        rows = kept = durable(gathered(rows, n))
+        tidy(sets.sparkSession)
     counts = durable(gathered(_members(kept), n))
     leaves.append(durable(gathered(kept.select("set_id", "bucket").join(sized(counts), "bucket"), n)))
     dealt = F.sum(F.col("members") * F.ceil(F.col("members") / plan.block))
@@ -285,7 +301,8 @@ def _blocks(rows: DataFrame, plan: JoinPlan) -> DataFrame:
     """Deal the members of large buckets to blocks, and pairs of blocks to units.
 
     A unit holds one block, or two of which only pairs across are compared; so every pair
-    of a bucket is compared in one unit, whatever the bucket's size.
+    of a bucket is compared in one unit, whatever the bucket's size. Units are small, so a
+    hash deals them out; ranges would work out the rows twice and send the driver a sample.
     """
     blocks = F.ceil(F.col("members") / plan.block).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -324,7 +341,7 @@ def _search(leaves: DataFrame, n: int, sets: DataFrame, plan: JoinPlan) -> DataF
                     [pa.array(names[list(a)], pa.binary()), pa.array(names[list(b)], pa.binary())], ["a", "b"]
                 )
 
-    dealt = units.select("unit", "set_id", "sketch").repartitionByRange("unit").sortWithinPartitions("unit")
+    dealt = units.select("unit", "set_id", "sketch").repartition("unit").sortWithinPartitions("unit")
     return dealt.mapInArrow(tasks, "a binary, b binary").distinct()
 
 
@@ -382,7 +399,7 @@ def _verified(docs: DataFrame, sets: DataFrame, coarse: DataFrame, plan: JoinPla
             yield _compared(unit, plan.similarity)
         give_back()
 
-    return durable(rows.repartitionByRange("unit").sortWithinPartitions("unit").mapInArrow(compare, LINKED))
+    return durable(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, LINKED))
 
 
 def _compared(unit: pa.Table, similarity: float) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartergrid.llm.joins import gathered, look_up
-from quartergrid.session import durable
+from quartergrid.session import durable, tidy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = durable(gathered(found, n))
         moved = jumped.where("new <> component").limit(1).count()
         labels = jumped.select("node", F.col("new").alias("component"))
+        tidy(edges.sparkSession)
         if not moved:
             return labels

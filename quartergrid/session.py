@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from typing import TypeVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.util import inheritable_thread_target
 
@@ -59,6 +61,24 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage and return freed memory to the system.
+
+    A long job else grows the driver's heap step by step, and Spark drops the shuffles,
+    broadcasts and checkpoints of finished steps only when the driver collects.
+    """
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with suppress(Py4JError):  # not every JVM can trim what its compiler threads freed
+        call = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        call[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        call[1] = "systemTrimNativeHeap"
+        # By the interface's method; the server's own class is not open to callers.
+        methods = jvm.Class.forName("javax.management.MBeanServer").getMethods()
+        invoke = next(m for m in methods if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+
+
 def together(spark: SparkSession, calls: Iterable[Callable[[], Result]], at_once: int = 4) -> list[Result]:
     """Results of independent calls that submit their Spark jobs side by side, in order."""
     shared_folder(spark)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quartergrid.llm.chosen_path import JoinPlan, class_table, drop_near_copies, intersections
+from quartergrid.llm.chosen_path import JoinPlan, _leaves, class_table, drop_near_copies, intersections, signatures
 from quartergrid.llm.components import components
 from quartergrid.llm.joins import look_up
 from quartergrid.llm.metric_topk import Shape, build, search, top_products
@@ -187,3 +187,31 @@ def test_both_ways_of_the_edges_come_from_one_pass(spark):
 
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long").mapInArrow(counted, "a long, b long")
     assert components(edges).count() == 51 and read.value == 50
+
+
+def counting(frame, read):
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(counted, frame.schema)
+
+
+def test_texts_are_compared_in_one_pass_without_a_sample(spark):
+    read, docs = spark.sparkContext.accumulator(0), near_copies()
+    table = class_table(counting(spark.createDataFrame(docs, "doc_id long, text string"), read))
+    assert read.value == 2 * len(docs)
+    assert sorted(map(tuple, table.select("doc_id", "class_id", "n_links").collect())) == brute_classes(docs)
+
+
+def test_later_levels_do_not_read_all_sets(spark):
+    frame = spark.createDataFrame([(k, " ".join(f"{c}{k}" for c in "abcdefgh")) for k in range(400)], "doc_id long, text string")
+    reads = {}
+    for levels in (2, 4):
+        plan = JoinPlan(leaf=0, levels=levels)
+        sets = signatures(frame.union(frame.limit(9)), plan, "doc_id", "text").localCheckpoint()
+        read = spark.sparkContext.accumulator(0)
+        _leaves(counting(sets, read), sets.count(), plan)
+        reads[levels] = read.value
+    assert reads[2] == reads[4]
