@@ -329,7 +329,8 @@ def _search(leaves: DataFrame, n: int, sets: DataFrame, plan: JoinPlan) -> DataF
         .select(F.xxhash64("all").alias("bucket"), F.size("all").cast("long").alias("members"), F.explode("all").alias("set_id"))
     )
     rows = small.unionByName(leaves.where(F.col("members") > plan.leaf).select(*small.columns))
-    units = gathered(_blocks(rows, plan).join(sets.select("set_id", "sketch").hint("merge"), "set_id"), n)
+    # Sketches are joined before the rows are dealt out, so a large bucket's are not looked up once a block.
+    units = _blocks(gathered(rows.join(sets.select("set_id", "sketch").hint("merge"), "set_id"), n), plan)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in grouped(batches, "unit"):
